@@ -127,3 +127,57 @@ FROM (
   WHERE lat IS NOT NULL AND long IS NOT NULL
 ) x
 """
+
+
+def station_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide station-day readings: station = supplier, day = ship date; one row per line item.
+    Precipitation is missing on 'N' lines and wind on open lines, so both null rules trigger;
+    WT01 marks returned lines; the other weather-type columns are absent."""
+    li = read_table(
+        spark, sf_dir, "lineitem",
+        "l_suppkey", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_extendedprice",
+        "l_returnflag", "l_linestatus",
+    )
+    return li.select(
+        F.col("l_suppkey").alias("STATION"),
+        F.to_date("l_shipdate").alias("DATE"),
+        F.col("l_quantity").alias("TMAX"),
+        (F.col("l_discount") * 100.0).alias("TMIN"),
+        F.when(F.col("l_returnflag") != "N", F.col("l_tax") * 100.0).alias("PRCP"),
+        F.when(F.col("l_linestatus") == "F", F.col("l_extendedprice") / 1000.0).alias("AWND"),
+        F.when(F.col("l_returnflag") == "R", F.lit(1)).alias("WT01"),
+    )
+
+
+# Event types standing in for weather datatypes.
+EVENT_DATATYPE = {"purchase": "PRCP", "view": "TMAX", "click": "TMIN", "signup": "AWND", "error": "SNOW"}
+
+
+def readings_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long-form readings (station, date, datatype, value) from events."""
+    ev = read_table(spark, sf_dir, "events", "event_id", "ts", "user_id", "event_type", "value")
+    mapping = F.create_map(*[F.lit(x) for kv in EVENT_DATATYPE.items() for x in kv])
+    return ev.select(
+        F.col("user_id").alias("station"),
+        F.to_date("ts").alias("date"),
+        mapping[F.col("event_type")].alias("datatype"),
+        "value",
+        F.col("event_id").alias("reading_id"),
+    )
+
+
+STATION_DAY_SQL = """
+SELECT l_suppkey AS STATION, CAST(l_shipdate AS DATE) AS DATE, l_quantity AS TMAX, l_discount * 100.0 AS TMIN,
+       CASE WHEN l_returnflag <> 'N' THEN l_tax * 100.0 END AS PRCP,
+       CASE WHEN l_linestatus = 'F' THEN l_extendedprice / 1000.0 END AS AWND,
+       CASE WHEN l_returnflag = 'R' THEN 1 END AS WT01
+FROM lineitem
+"""
+
+READINGS_LONG_SQL = """
+SELECT user_id AS station, CAST(ts AS DATE) AS date,
+       CASE event_type WHEN 'purchase' THEN 'PRCP' WHEN 'view' THEN 'TMAX' WHEN 'click' THEN 'TMIN'
+                       WHEN 'signup' THEN 'AWND' WHEN 'error' THEN 'SNOW' END AS datatype,
+       value, event_id AS reading_id
+FROM events
+"""
