@@ -181,3 +181,22 @@ SELECT user_id AS station, CAST(ts AS DATE) AS date,
        value, event_id AS reading_id
 FROM events
 """
+
+
+# The training window of the stand-in order series starts on a Monday.
+SERIES_START = "1996-01-01"
+
+
+def zone_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their zone (customer -> nation -> region); the weekly-series input."""
+    orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
+    places = customer_places(spark, sf_dir).select("c_custkey", "cluster")
+    return orders.join(places, orders.o_custkey == places.c_custkey).select(
+        "o_orderkey", F.col("o_orderdate").alias("requested_datetime"), "cluster"
+    )
+
+
+ZONE_ORDERS_SQL = """
+SELECT o.o_orderkey, o.o_orderdate AS requested_datetime, n.n_regionkey + 1 AS cluster
+FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
+"""
