@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 # Modules that expose QUERIES (and optionally ORACLE) dicts.
-_MODULES = ("requests", "weather", "series")
+_MODULES = ("requests", "weather", "series", "forecast")
 
 
 def _load():

@@ -8,8 +8,9 @@ from civicflow.operators import series as S
 from civicflow.plans.standins import SERIES_START, ZONE_ORDERS_SQL, zone_orders
 
 
-def dense(spark, sf_dir):
-    counts = S.weekly_counts(zone_orders(spark, sf_dir), "requested_datetime", "cluster", SERIES_START)
+def dense(spark, sf_dir, zone: str = "cluster"):
+    """Dense weekly order series per zone (region by default, or nation) plus the city."""
+    counts = S.weekly_counts(zone_orders(spark, sf_dir), "requested_datetime", zone, SERIES_START)
     return S.dense_series(counts)
 
 
@@ -30,7 +31,7 @@ def q_autocorr_lag52(spark, sf_dir):
 
 
 def q_sparse_classification(spark, sf_dir):
-    return S.classify_sparse(dense(spark, sf_dir))
+    return S.classify_sparse(dense(spark, sf_dir, "nation_zone"))
 
 
 def q_error_metrics(spark, sf_dir):
@@ -48,8 +49,9 @@ QUERIES = {
     "error_metrics": q_error_metrics,
 }
 
-DENSE_SQL = f"""
-WITH ev AS (SELECT cluster AS zone, CAST(date_trunc('week', requested_datetime) AS DATE) AS week_start
+def dense_sql(zone: str = "cluster") -> str:
+    return f"""
+WITH ev AS (SELECT {zone} AS zone, CAST(date_trunc('week', requested_datetime) AS DATE) AS week_start
             FROM ({ZONE_ORDERS_SQL}) z),
 agg AS (SELECT zone, week_start, count(*) AS n FROM ev WHERE week_start >= DATE '{SERIES_START}' GROUP BY ALL),
 b AS (SELECT min(week_start) AS lo, max(week_start) AS hi FROM agg),
@@ -61,6 +63,10 @@ SELECT k.series_id, c.week_start, CAST(coalesce(cnt.n, 0) AS DOUBLE) AS y
 FROM keys k CROSS JOIN cal c LEFT JOIN cnt ON cnt.series_id = k.series_id AND cnt.week_start = c.week_start
 """
 
+
+DENSE_SQL = dense_sql()
+NATION_DENSE_SQL = dense_sql("nation_zone")
+
 SPLIT_SQL = f"""
 SELECT series_id, week_start, y,
        CASE WHEN row_number() OVER (PARTITION BY series_id ORDER BY week_start DESC) <= 13 THEN 'test'
@@ -82,7 +88,7 @@ SELECT series_id, CAST(count(*) AS BIGINT) AS n_weeks,
 FROM (SELECT *, lag(y, 52) OVER (PARTITION BY series_id ORDER BY week_start) AS lg FROM ({DENSE_SQL}) d) t
 GROUP BY series_id""",
     "sparse_classification": f"""
-WITH d AS ({DENSE_SQL}),
+WITH d AS ({NATION_DENSE_SQL}),
 ct AS (SELECT sum(y) AS city_total FROM d WHERE series_id = 'city'),
 z AS (SELECT series_id, avg(y) AS m, avg(CAST(y = 0 AS DOUBLE)) AS zp, sum(y) AS s FROM d
       WHERE series_id <> 'city' GROUP BY series_id)

@@ -190,13 +190,19 @@ SERIES_START = "1996-01-01"
 def zone_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with their zone (customer -> nation -> region); the weekly-series input."""
     orders = read_table(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderdate")
-    places = customer_places(spark, sf_dir).select("c_custkey", "cluster")
+    customer = read_table(spark, sf_dir, "customer", "c_custkey", "c_nationkey")
+    nation = read_table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
+    places = customer.join(F.broadcast(nation), customer.c_nationkey == nation.n_nationkey)
     return orders.join(places, orders.o_custkey == places.c_custkey).select(
-        "o_orderkey", F.col("o_orderdate").alias("requested_datetime"), "cluster"
+        "o_orderkey",
+        F.col("o_orderdate").alias("requested_datetime"),
+        (F.col("n_regionkey") + 1).alias("cluster"),
+        (F.col("n_nationkey") + 1).alias("nation_zone"),
     )
 
 
 ZONE_ORDERS_SQL = """
-SELECT o.o_orderkey, o.o_orderdate AS requested_datetime, n.n_regionkey + 1 AS cluster
+SELECT o.o_orderkey, o.o_orderdate AS requested_datetime, n.n_regionkey + 1 AS cluster,
+       n.n_nationkey + 1 AS nation_zone
 FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey
 """
