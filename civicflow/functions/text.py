@@ -28,10 +28,11 @@ def shorten_category(c: Column) -> Column:
     return F.trim(F.split_part(c, F.lit(CATEGORY_SEPARATOR), F.lit(1)))
 
 
-def normalise_text(c: Column) -> Column:
+def normalise_text(c: Column, strip_urls: bool = True) -> Column:
     """Lower, strip URLs, punctuation -> space, collapse whitespace, trim."""
     t = F.lower(c)
-    t = F.regexp_replace(t, URL_PATTERN, " ")
+    if strip_urls:
+        t = F.regexp_replace(t, URL_PATTERN, " ")
     t = F.regexp_replace(t, NON_WORD_PATTERN, " ")
     t = F.regexp_replace(t, WS_RUN_PATTERN, " ")
     return F.trim(t)
