@@ -59,9 +59,22 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, ACCENT_SRC, ACCENT_DST)
 
 
-def tokens(c: Column, min_len: int = 2) -> Column:
-    """Words of at least ``min_len`` characters from normalised text."""
-    return F.filter(F.split(c, " "), lambda w: F.length(w) >= min_len)
+SHORT_WORD_PATTERN = r"(?<!\S)\S(?!\S)"
+
+
+def tokens(c: Column) -> Column:
+    """Words of at least two characters from normalised (single-spaced) text.
+    One-character words are removed by a regex, so no per-element lambda runs."""
+    kept = F.trim(F.regexp_replace(F.regexp_replace(c, SHORT_WORD_PATTERN, ""), " +", " "))
+    return F.array_remove(F.split(kept, " "), "")
+
+
+def bigrams(words: Column) -> Column:
+    """Neighbouring word pairs of a token array, built by one regex on the joined
+    text: every inner word is doubled around a '|' ("a b c" -> "a b|b c"), then split."""
+    joined = F.array_join(words, " ")
+    paired = F.regexp_replace(joined, r"(?<= )(\S+)(?= )", "$1|$1")
+    return F.when(F.size(words) >= 2, F.split(paired, r"\|")).otherwise(F.array().cast("array<string>"))
 
 
 def format_terms(terms: Column, term_field: str = "term", weight_field: str = "weight") -> Column:

@@ -394,3 +394,9 @@ def bootstrap_intervals(
         F.greatest(F.round(F.col("_q")[0], 1), F.lit(0.0)).alias("lo_95"),
         F.round(F.col("_q")[3], 1).alias("hi_95"),
     )
+
+
+def score_params(rows: DataFrame, seasonal: bool = False) -> DataFrame:
+    """Evaluate given (series, model, alpha, beta, phi, gamma) rows: least-squares initial
+    states, SSE, AIC and end state (the same fold the grid search uses)."""
+    return _evaluate(rows, None, seasonal)

@@ -16,6 +16,7 @@ An optional ``group`` column runs independent TF-IDF models per corpus slice.
 
 from __future__ import annotations
 
+from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,9 +33,7 @@ def ngram_terms(tokens: Column, max_n: int = 2) -> Column:
     """Unigrams plus, when max_n == 2, space-joined neighbouring pairs."""
     if max_n == 1:
         return tokens
-    nxt = F.slice(tokens, F.lit(2), F.greatest(F.size(tokens) - 1, F.lit(0)))
-    bigrams = F.array_compact(F.zip_with(tokens, nxt, lambda a, b: F.concat(a, F.lit(" "), b)))
-    return F.concat(tokens, bigrams)
+    return F.concat(tokens, T.bigrams(tokens))
 
 
 def term_counts(
@@ -47,11 +46,14 @@ def term_counts(
 ) -> DataFrame:
     """(group..., doc, term, tf) from normalised text."""
     group = group or []
-    tokens = T.tokens(F.col(norm_col))
+    toks = docs.select(*group, F.col(id_col).alias("doc"), T.tokens(F.col(norm_col)).alias("_tok"))
     if stop_words:
-        stop = F.array(*[F.lit(w) for w in sorted(set(stop_words))])
-        tokens = F.filter(tokens, lambda w: ~F.array_contains(stop, w))
-    terms = docs.select(*group, F.col(id_col).alias("doc"), F.explode(ngram_terms(tokens, max_n)).alias("term"))
+        # Stop words go before pairing (as the reference vectoriser does); the JVM
+        # remover does a hash-set lookup per token.
+        remover = StopWordsRemover(inputCol="_tok", outputCol="_kept", stopWords=sorted(set(stop_words)),
+                                   caseSensitive=True)
+        toks = remover.transform(toks).drop("_tok").withColumnRenamed("_kept", "_tok")
+    terms = toks.select(*group, "doc", F.explode(ngram_terms(F.col("_tok"), max_n)).alias("term"))
     return terms.groupBy(*group, "doc", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
