@@ -25,6 +25,7 @@ from civicflow.operators.common import top_k_per_group
 # Classifier settings of the reference (C, iterations, vectoriser).
 C = 1.0
 MAX_ITER = 1000
+TOL = 1e-4  # the reference solver's default stopping tolerance
 MAX_FEATURES, MIN_DF, MAX_DF = 10000, 2, 0.95
 
 
@@ -92,7 +93,7 @@ def fit(train: DataFrame, id_col: str, label_col: str) -> TextModel:
     n = data.count()
     lr = LogisticRegression(
         featuresCol="features", labelCol="label_idx", family="multinomial",
-        regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False, maxIter=MAX_ITER,
+        regParam=1.0 / (C * n), elasticNetParam=0.0, standardization=False, maxIter=MAX_ITER, tol=TOL,
     ).fit(data)
     return TextModel(vocab, labels, n_features, lr)
 
@@ -103,7 +104,7 @@ def predict(model: TextModel, docs: DataFrame, id_col: str) -> DataFrame:
     scored = model.lr.transform(feats)
     probs = vector_to_array("probability")
     out = scored.select(id_col, F.col("prediction").alias("label_idx"), probs.alias("probs"))
-    out = out.join(F.broadcast(model.labels), "label_idx")  # one row per class
+    out = out.join(model.labels, "label_idx")  # one row per class; AQE sizes the join
     conf = F.array_max("probs")
     return out.select(
         id_col, F.col("label").alias("predicted"), F.round(conf, 3).alias("confidence"),
@@ -114,7 +115,7 @@ def predict(model: TextModel, docs: DataFrame, id_col: str) -> DataFrame:
 def top_classes(model: TextModel, scored: DataFrame, id_col: str, k: int = 5) -> DataFrame:
     """The k most probable classes per text (classes per text are few)."""
     ex = scored.select(id_col, F.posexplode("probs").alias("pos", "probability"))
-    ex = ex.join(F.broadcast(model.labels), F.col("pos").cast("double") == F.col("label_idx"))
+    ex = ex.join(model.labels, F.col("pos").cast("double") == F.col("label_idx"))
     w = Window.partitionBy(id_col).orderBy(F.desc("probability"), "label")
     return (
         ex.withColumn("rank", F.row_number().over(w))

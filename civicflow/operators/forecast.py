@@ -2,10 +2,11 @@
 (F1-F6, F9, F13).
 
 Model (additive trend, optional damping phi, optional additive season m):
-    forecast  f_t = l + phi*b (+ s_{t-m})
-    level     l'  = alpha*(y - s_{t-m}) + (1 - alpha)*(l + phi*b)
-    trend     b'  = beta*(l' - l) + (1 - beta)*phi*b
-    season    s_t = gamma*(y - l - phi*b) + (1 - gamma)*s_{t-m}
+    forecast  f_t = l + phi*b (+ s_{t-m}),   error e = y - f_t
+    level     l'  = alpha*(y - s_{t-m}) + (1 - alpha)*(l + phi*b)   = l + phi*b + alpha*e
+    trend     b'  = beta*(l' - l) + (1 - beta)*phi*b                = phi*b + alpha*beta*e
+    season    s_t = gamma*(y - l - phi*b) + (1 - gamma)*s_{t-m}     = s_{t-m} + gamma*e
+(the folds use the error-correction form on the right: fewer operations per step).
 
 For fixed smoothing parameters every state is affine in the initial level and
 trend (l0, b0). One ``aggregate`` fold therefore carries three trajectories --
@@ -134,8 +135,10 @@ def _seasonal_grid(rows: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def _trend_fold(ys: Column, alpha: Column, beta: Column, phi: Column) -> Column:
-    """Three-trajectory fold for the non-seasonal models; returns the accumulated struct."""
+    """Three-trajectory fold for the non-seasonal models (error-correction form:
+    f = l + phi*b, e = y - f, l' = f + alpha*e, b' = phi*b + alpha*beta*e)."""
     z = F.lit(0.0)
+    ab = alpha * beta
     init = F.struct(
         z.alias("lz"), z.alias("bz"), F.lit(1.0).alias("lu"), z.alias("bu"), z.alias("lv"), F.lit(1.0).alias("bv"),
         z.alias("see"), z.alias("sef1"), z.alias("sef2"), z.alias("sf11"), z.alias("sf12"), z.alias("sf22"),
@@ -146,16 +149,13 @@ def _trend_fold(ys: Column, alpha: Column, beta: Column, phi: Column) -> Column:
         fu = acc["lu"] + phi * acc["bu"]
         fv = acc["lv"] + phi * acc["bv"]
         e0 = y - fz
-        lz = fz + alpha * e0
-        lu = fu - alpha * fu
-        lv = fv - alpha * fv
         return F.struct(
-            lz.alias("lz"),
-            (beta * (lz - acc["lz"]) + (1.0 - beta) * phi * acc["bz"]).alias("bz"),
-            lu.alias("lu"),
-            (beta * (lu - acc["lu"]) + (1.0 - beta) * phi * acc["bu"]).alias("bu"),
-            lv.alias("lv"),
-            (beta * (lv - acc["lv"]) + (1.0 - beta) * phi * acc["bv"]).alias("bv"),
+            (fz + alpha * e0).alias("lz"),
+            (phi * acc["bz"] + ab * e0).alias("bz"),
+            (fu - alpha * fu).alias("lu"),
+            (phi * acc["bu"] - ab * fu).alias("bu"),
+            (fv - alpha * fv).alias("lv"),
+            (phi * acc["bv"] - ab * fv).alias("bv"),
             (acc["see"] + e0 * e0).alias("see"),
             (acc["sef1"] + e0 * fu).alias("sef1"),
             (acc["sef2"] + e0 * fv).alias("sef2"),
@@ -168,13 +168,15 @@ def _trend_fold(ys: Column, alpha: Column, beta: Column, phi: Column) -> Column:
 
 
 def _seasonal_fold(ys: Column, alpha: Column, beta: Column, gamma: Column, m: int = SEASON) -> Column:
-    """Same fold with additive season; initial seasonals = first-season deviations from
-    its mean (fixed), level/trend by least squares. Season arrays roll left each step."""
+    """Same fold with additive season (undamped): t = l + b, f = t + s, e = y - f,
+    l' = t + alpha*e, b' = b + alpha*beta*e, s' = s + gamma*e. Initial seasonals =
+    first-season deviations from its mean (fixed); season arrays roll left each step."""
     first = F.slice(ys, 1, m)
     mean0 = F.aggregate(first, F.lit(0.0), lambda a, x: a + x) / F.lit(float(m))
     s0 = F.transform(first, lambda x: x - mean0)
     zeros = F.array_repeat(F.lit(0.0), m)
     z = F.lit(0.0)
+    ab = alpha * beta
     init = F.struct(
         z.alias("lz"), z.alias("bz"), s0.alias("sz"),
         F.lit(1.0).alias("lu"), z.alias("bu"), zeros.alias("su"),
@@ -190,16 +192,10 @@ def _seasonal_fold(ys: Column, alpha: Column, beta: Column, gamma: Column, m: in
         sz, su, sv = acc["sz"][0], acc["su"][0], acc["sv"][0]
         fz, fu, fv = tz + sz, tu + su, tv + sv
         e0 = y - fz
-        lz = alpha * (y - sz) + (1.0 - alpha) * tz
-        lu = alpha * (0.0 - su) + (1.0 - alpha) * tu
-        lv = alpha * (0.0 - sv) + (1.0 - alpha) * tv
         return F.struct(
-            lz.alias("lz"), (beta * (lz - acc["lz"]) + (1.0 - beta) * acc["bz"]).alias("bz"),
-            roll(acc["sz"], gamma * (y - tz) + (1.0 - gamma) * sz).alias("sz"),
-            lu.alias("lu"), (beta * (lu - acc["lu"]) + (1.0 - beta) * acc["bu"]).alias("bu"),
-            roll(acc["su"], gamma * (0.0 - tu) + (1.0 - gamma) * su).alias("su"),
-            lv.alias("lv"), (beta * (lv - acc["lv"]) + (1.0 - beta) * acc["bv"]).alias("bv"),
-            roll(acc["sv"], gamma * (0.0 - tv) + (1.0 - gamma) * sv).alias("sv"),
+            (tz + alpha * e0).alias("lz"), (acc["bz"] + ab * e0).alias("bz"), roll(acc["sz"], sz + gamma * e0).alias("sz"),
+            (tu - alpha * fu).alias("lu"), (acc["bu"] - ab * fu).alias("bu"), roll(acc["su"], su - gamma * fu).alias("su"),
+            (tv - alpha * fv).alias("lv"), (acc["bv"] - ab * fv).alias("bv"), roll(acc["sv"], sv - gamma * fv).alias("sv"),
             (acc["see"] + e0 * e0).alias("see"),
             (acc["sef1"] + e0 * fu).alias("sef1"),
             (acc["sef2"] + e0 * fv).alias("sef2"),
@@ -322,34 +318,29 @@ def forecast_path(model_rows: DataFrame, horizon: int = HORIZON) -> DataFrame:
 
 def fitted_residuals(model_rows: DataFrame) -> DataFrame:
     """Second pass for the chosen model only: one-step errors y - f along the series
-    (used by the bootstrap), as an array per series."""
-    phi, alpha, beta, gamma = F.col("phi"), F.col("alpha"), F.col("beta"), F.col("gamma")
+    (used by the bootstrap), as an array per series (same recursion as the fit)."""
+    phi, alpha, gamma = F.col("phi"), F.col("alpha"), F.col("gamma")
+    ab = F.col("alpha") * F.col("beta")
     m = SEASON
-    init_season = F.when(
-        F.col("model") == SEASONAL,
-        F.transform(F.slice("ys", 1, m), lambda x: x - F.aggregate(F.slice("ys", 1, m), F.lit(0.0), lambda a, v: a + v) / m),
-    ).otherwise(F.array_repeat(F.lit(0.0), m))
-    # Season array of the fitted initial state (fixed seasonals; l0/b0 enter through level/trend).
+    first = F.slice("ys", 1, m)
+    mean0 = F.aggregate(first, F.lit(0.0), lambda a, v: a + v) / F.lit(float(m))
+    use_season = F.col("model") == SEASONAL
+    init_season = F.when(use_season, F.transform(first, lambda x: x - mean0)).otherwise(F.array_repeat(F.lit(0.0), m))
     init = F.struct(
         F.col("l0").alias("l"),
         F.col("b0").alias("b"),
         init_season.alias("s"),
         F.array().cast("array<double>").alias("res"),
     )
-    use_season = F.col("model") == SEASONAL
 
     def step(acc, y):
-        t = acc["l"] + phi * acc["b"]
         s = F.when(use_season, acc["s"][0]).otherwise(F.lit(0.0))
-        f = t + s
-        e = y - f
-        lvl = alpha * (y - s) + (1.0 - alpha) * t
+        t = acc["l"] + phi * acc["b"]
+        e = y - (t + s)
         return F.struct(
-            lvl.alias("l"),
-            (beta * (lvl - acc["l"]) + (1.0 - beta) * phi * acc["b"]).alias("b"),
-            F.when(use_season, F.concat(F.slice(acc["s"], 2, m - 1), F.array(gamma * (y - t) + (1.0 - gamma) * s)))
-            .otherwise(acc["s"])
-            .alias("s"),
+            (t + alpha * e).alias("l"),
+            (phi * acc["b"] + ab * e).alias("b"),
+            F.when(use_season, F.concat(F.slice(acc["s"], 2, m - 1), F.array(s + gamma * e))).otherwise(acc["s"]).alias("s"),
             F.concat(acc["res"], F.array(e)).alias("res"),
         )
 

@@ -291,3 +291,12 @@ def nearest(points: DataFrame, stations: DataFrame, key: str, station_key: str,
             break
         radius *= 2
     return done
+
+
+def line_length_km(path: Column) -> Column:
+    """Great-circle length of a polyline (array<struct<x=lon, y=lat>>)."""
+    return F.aggregate(
+        F.sequence(F.lit(0), F.size(path) - 2),
+        F.lit(0.0),
+        lambda acc, i: acc + haversine_km(path[i]["y"], path[i]["x"], path[i + 1]["y"], path[i + 1]["x"]),
+    )

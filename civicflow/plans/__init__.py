@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 # Modules that expose QUERIES (and optionally ORACLE) dicts.
-_MODULES = ("requests", "weather", "series", "forecast", "staffing", "text", "classify", "zones", "geo", "sources", "streaming")
+_MODULES = ("requests", "weather", "series", "forecast", "staffing", "text", "classify", "zones", "geo", "sources", "streaming", "presentation")
 
 
 def _load():

@@ -19,17 +19,14 @@ def trend_fold(ys: str = "ys") -> str:
     fu = "(acc.lu + phi * acc.bu)"
     fv = "(acc.lv + phi * acc.bv)"
     e0 = f"(y - {fz})"
-    lz = f"({fz} + alpha * {e0})"
-    lu = f"({fu} - alpha * {fu})"
-    lv = f"({fv} - alpha * {fv})"
-    one = _d(1.0)
+    ab = "(alpha * beta)"
     body = ", ".join([
-        f"'lz': {lz}",
-        f"'bz': beta * ({lz} - acc.lz) + ({one} - beta) * phi * acc.bz",
-        f"'lu': {lu}",
-        f"'bu': beta * ({lu} - acc.lu) + ({one} - beta) * phi * acc.bu",
-        f"'lv': {lv}",
-        f"'bv': beta * ({lv} - acc.lv) + ({one} - beta) * phi * acc.bv",
+        f"'lz': {fz} + alpha * {e0}",
+        f"'bz': phi * acc.bz + {ab} * {e0}",
+        f"'lu': {fu} - alpha * {fu}",
+        f"'bu': phi * acc.bu - {ab} * {fu}",
+        f"'lv': {fv} - alpha * {fv}",
+        f"'bv': phi * acc.bv - {ab} * {fv}",
         f"'see': acc.see + {e0} * {e0}",
         f"'sef1': acc.sef1 + {e0} * {fu}",
         f"'sef2': acc.sef2 + {e0} * {fv}",
@@ -37,7 +34,7 @@ def trend_fold(ys: str = "ys") -> str:
         f"'sf12': acc.sf12 + {fu} * {fv}",
         f"'sf22': acc.sf22 + {fv} * {fv}",
     ])
-    z = _d(0.0)
+    z, one = _d(0.0), _d(1.0)
     init = (
         f"{{'lz': {z}, 'bz': {z}, 'lu': {one}, 'bu': {z}, 'lv': {z}, 'bv': {one}, "
         f"'see': {z}, 'sef1': {z}, 'sef2': {z}, 'sf11': {z}, 'sf12': {z}, 'sf22': {z}}}"
@@ -55,23 +52,21 @@ def seasonal_fold(ys: str = "ys", m: int = FC.SEASON) -> str:
     sz, su, sv = "acc.sz[1]", "acc.su[1]", "acc.sv[1]"
     fz, fu, fv = f"({tz} + {sz})", f"({tu} + {su})", f"({tv} + {sv})"
     e0 = f"(y - {fz})"
-    lz = f"(alpha * (y - {sz}) + ({one} - alpha) * {tz})"
-    lu = f"(alpha * ({z} - {su}) + ({one} - alpha) * {tu})"
-    lv = f"(alpha * ({z} - {sv}) + ({one} - alpha) * {tv})"
+    ab = "(alpha * beta)"
 
     def roll(arr: str, new: str) -> str:
         return f"list_concat(list_slice({arr}, 2, {m}), [{new}])"
 
     body = ", ".join([
-        f"'lz': {lz}",
-        f"'bz': beta * ({lz} - acc.lz) + ({one} - beta) * acc.bz",
-        f"'sz': {roll('acc.sz', f'gamma * (y - {tz}) + ({one} - gamma) * {sz}')}",
-        f"'lu': {lu}",
-        f"'bu': beta * ({lu} - acc.lu) + ({one} - beta) * acc.bu",
-        f"'su': {roll('acc.su', f'gamma * ({z} - {tu}) + ({one} - gamma) * {su}')}",
-        f"'lv': {lv}",
-        f"'bv': beta * ({lv} - acc.lv) + ({one} - beta) * acc.bv",
-        f"'sv': {roll('acc.sv', f'gamma * ({z} - {tv}) + ({one} - gamma) * {sv}')}",
+        f"'lz': {tz} + alpha * {e0}",
+        f"'bz': acc.bz + {ab} * {e0}",
+        f"'sz': {roll('acc.sz', f'{sz} + gamma * {e0}')}",
+        f"'lu': {tu} - alpha * {fu}",
+        f"'bu': acc.bu - {ab} * {fu}",
+        f"'su': {roll('acc.su', f'{su} - gamma * {fu}')}",
+        f"'lv': {tv} - alpha * {fv}",
+        f"'bv': acc.bv - {ab} * {fv}",
+        f"'sv': {roll('acc.sv', f'{sv} - gamma * {fv}')}",
         f"'see': acc.see + {e0} * {e0}",
         f"'sef1': acc.sef1 + {e0} * {fu}",
         f"'sef2': acc.sef2 + {e0} * {fv}",

@@ -114,6 +114,30 @@ def q_attribute_table(spark, sf_dir):
     return S.read_csv(spark, f"{base}/csv", LAYER_PROPS)
 
 
+ROAD_PROPS = T.StructType([T.StructField("ROAD_ID", T.StringType()), T.StructField("REGION", T.IntegerType())])
+
+
+def q_road_layer(spark, sf_dir):
+    """A line layer (one road per region through its tracts' centres, in nation order)
+    landed as GeoJSON and read back; vertex count and great-circle length per road."""
+    from civicflow.operators.geo import line_length_km
+
+    n = read_table(spark, sf_dir, "nation", "n_nationkey", "n_regionkey")
+    cx = F.lit(PG.GRID_X0) + (F.col("n_nationkey") % PG.GRID_COLS) * PG.TRACT_SIDE + PG.TRACT_SIDE / 2
+    cy = F.lit(PG.GRID_Y0) + F.floor(F.col("n_nationkey") / PG.GRID_COLS) * PG.TRACT_SIDE + PG.TRACT_SIDE / 2
+    pts = n.select("n_regionkey", F.struct(F.col("n_nationkey").alias("k"), cx.alias("x"), cy.alias("y")).alias("p"))
+    roads = pts.groupBy("n_regionkey").agg(F.sort_array(F.collect_list("p")).alias("_p")).select(  # <= 25 vertices
+        F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("ROAD_ID"),
+        F.col("n_regionkey").cast("int").alias("REGION"),
+        F.transform("_p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("path"),
+    )
+    path = _scratch(spark, "roads")
+    S.write_geojson_lines(roads, ["ROAD_ID", "REGION"], path, "REGION")
+    layer = S.read_geojson_lines(spark, path, ROAD_PROPS)
+    return layer.select("ROAD_ID", "REGION", "part", F.size("path").alias("n_vertices"),
+                        F.round(line_length_km(F.col("path")), 4).alias("length_km"))
+
+
 def q_row_cap(spark, sf_dir):
     """The first 100 records by id (the ingest's max_records option)."""
     return S.first_rows(read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate"), "o_orderkey", 100)
@@ -127,6 +151,7 @@ QUERIES = {
     "polygon_layer": q_polygon_layer,
     "layer_summary": q_layer_summary,
     "attribute_table": q_attribute_table,
+    "road_layer": q_road_layer,
     "row_cap": q_row_cap,
 }
 
@@ -159,4 +184,16 @@ FROM (SELECT geoid, unnest(flatten(rings)) AS p FROM ({PG._tracts_sql()}) t) v""
 SELECT {_GEOID} AS GEOID, CASE WHEN n_regionkey = 4 THEN '013' ELSE '041' END AS COUNTYFP,
        'Tract ' || CAST(n_nationkey AS VARCHAR) AS NAME FROM nation""",
     "row_cap": "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderkey LIMIT 100",
+    "road_layer": f"""
+WITH c AS (
+  SELECT n_regionkey, n_nationkey,
+         {PG._d(PG.GRID_X0)} + CAST(n_nationkey % {PG.GRID_COLS} AS DOUBLE) * {PG._d(PG.TRACT_SIDE)} + {PG._d(PG.TRACT_SIDE / 2)} AS x,
+         {PG._d(PG.GRID_Y0)} + floor(n_nationkey / {PG.GRID_COLS}) * {PG._d(PG.TRACT_SIDE)} + {PG._d(PG.TRACT_SIDE / 2)} AS y
+  FROM nation),
+s AS (SELECT *, lag(x) OVER w AS px, lag(y) OVER w AS py FROM c WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey))
+SELECT 'R' || CAST(n_regionkey AS VARCHAR) AS ROAD_ID, CAST(n_regionkey AS INTEGER) AS REGION, 0 AS part,
+       CAST(count(*) AS INTEGER) AS n_vertices,
+       round(coalesce(sum(CASE WHEN px IS NOT NULL THEN {PG._d(2 * 6371.0088)} * asin(sqrt(pow(sin((radians(y) - radians(py)) / 2), 2)
+             + cos(radians(py)) * cos(radians(y)) * pow(sin(radians(x - px) / 2), 2))) END), 0.0), 4) AS length_km
+FROM s GROUP BY n_regionkey""",
 }

@@ -137,6 +137,13 @@ def q_classification_report(spark, sf_dir):
     return rep.select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1_score", "support")])
 
 
+def q_report_by_f1(spark, sf_dir):
+    """B12 + L3: class rows only (summary rows excluded), best F1 first."""
+    rep = EV.classification_report(EV.confusion_long(labelled(spark, sf_dir), EVAL_LABELS))
+    return EV.class_rows_by_f1(rep).select("class", F.round("f1_score", 6).alias("f1_score"),
+                                            F.round("support", 6).alias("support"))
+
+
 def q_top_confusions(spark, sf_dir):
     return EV.top_confusions(EV.confusion_long(labelled(spark, sf_dir), EVAL_LABELS))
 
@@ -174,6 +181,7 @@ QUERIES = {
     "confusion_wide": q_confusion_wide,
     "classification_report": q_classification_report,
     "top_confusions": q_top_confusions,
+    "report_by_f1": q_report_by_f1,
     "stratified_split": q_stratified_split,
     "split_counts": q_split_counts,
     "seeded_sample": q_seeded_sample,
@@ -322,6 +330,8 @@ SELECT class, round(precision, 6) AS precision, round(recall, 6) AS recall, roun
   UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1_score), sum(support) FROM ({_PER_F1}) c
   UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support),
                    sum(f1_score * support) / sum(support), sum(support) FROM ({_PER_F1}) d) r""",
+    "report_by_f1": f"""
+SELECT class, round(f1_score, 6) AS f1_score, round(support, 6) AS support FROM ({_PER_F1}) p""",
     "top_confusions": f"""
 SELECT true_label, pred_label, n FROM ({_CONF}) c WHERE true_label <> pred_label AND n > 0
 ORDER BY n DESC, true_label, pred_label LIMIT 10""",

@@ -165,3 +165,38 @@ def layer_summary(polys: DataFrame) -> DataFrame:
         F.min("p.x").alias("min_x"), F.min("p.y").alias("min_y"), F.max("p.x").alias("max_x"), F.max("p.y").alias("max_y")
     )
     return polys.agg(F.count(F.lit(1)).cast("long").alias("n_features")).crossJoin(bounds)  # two one-row frames
+
+
+_LINE = T.ArrayType(T.ArrayType(T.DoubleType()))
+_MULTILINE = T.ArrayType(_LINE)
+
+
+def write_geojson_lines(lines: DataFrame, props: list[str], path: str, group: str) -> None:
+    """A8 sink side: LineString features (``path`` array<struct<x,y>>), one collection per group."""
+    coords = F.transform("path", lambda p: F.array(p["x"], p["y"]))
+    feat = F.struct(
+        F.lit("Feature").alias("type"),
+        F.struct(*[F.col(p) for p in props]).alias("properties"),
+        F.struct(F.lit("LineString").alias("type"), coords.alias("coordinates")).alias("geometry"),
+    )
+    fc = lines.groupBy(group).agg(F.collect_list(feat).alias("features"))  # one group's lines
+    fc.select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), "features")).alias("value")).write.mode(
+        "overwrite"
+    ).text(path)
+
+
+def read_geojson_lines(spark: SparkSession, path: str, props: T.StructType) -> DataFrame:
+    """Road-style line layers; LineString and MultiLineString -> one row per part
+    with ``path`` array<struct<x,y>>."""
+    docs = spark.read.text(path).select(F.from_json("value", geojson_schema(props)).alias("d"))
+    f = docs.select(F.explode("d.features").alias("f")).select(
+        "f.properties.*", F.col("f.geometry.type").alias("gtype"), F.col("f.geometry.coordinates").alias("coords")
+    )
+    multi = F.when(F.col("gtype") == "MultiLineString", F.from_json("coords", _MULTILINE)).otherwise(
+        F.array(F.from_json("coords", _LINE))
+    )
+    parts = f.select(*[c for c in f.columns if c not in ("gtype", "coords")], F.posexplode(multi).alias("part", "line"))
+    return parts.select(
+        *[c for c in parts.columns if c != "line"],
+        F.transform("line", lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))).alias("path"),
+    )
