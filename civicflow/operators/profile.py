@@ -26,50 +26,71 @@ def _pct(part, whole, digits=1):
     return F.round(part / F.nullif(whole, F.lit(0)) * 100.0, digits)
 
 
-def top_by_count(df: DataFrame, group: str, key: str, out: str) -> DataFrame:
-    """Most frequent ``key`` per ``group``; null keys skipped, ties -> name order."""
-    counts = df.filter(F.col(key).isNotNull()).groupBy(group, key).agg(F.count(F.lit(1)).alias("_n"))
+def histogram(requests: DataFrame) -> DataFrame:
+    """One pass over the request fact: counts and coordinate sums per
+    (zone, category, resolution days). Resolution days are quantised (0.01 in
+    [0, 1825]), so this table is bounded by zones x categories x 182,502 values no
+    matter how many requests there are, and every profile below is derived from it
+    (exact medians through ``percentile(value, p, frequency)``).
+
+    It is checkpointed (reliably, into the shared checkpoint folder): the profiles read
+    it several times with different filters, which would otherwise defeat exchange
+    reuse and re-scan the fact once per branch."""
+    return requests.filter(F.col(ZONE).isNotNull()).groupBy(ZONE, CATEGORY, RES).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("lat").alias("sum_lat"), F.sum("long").alias("sum_long")
+    ).checkpoint()
+
+
+def _wmedian(value: str = RES):
+    return F.percentile(F.col(value), F.lit(0.5), F.col("n"))
+
+
+def top_by_count(df: DataFrame, group: str, key: str, out: str, weight: str | None = None) -> DataFrame:
+    """Most frequent ``key`` per ``group``; null keys skipped, ties -> name order.
+    ``weight`` names a count column when ``df`` is already aggregated."""
+    cnt = F.sum(weight) if weight else F.count(F.lit(1))
+    counts = df.filter(F.col(key).isNotNull()).groupBy(group, key).agg(cnt.alias("_n"))
     w = Window.partitionBy(group).orderBy(F.desc("_n"), F.asc(key))
     return counts.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").select(group, F.col(key).alias(out))
 
 
-def city_median(closed: DataFrame) -> DataFrame:
+def city_median(hist: DataFrame) -> DataFrame:
     """One-row frame with the city-wide median of closed requests."""
-    return closed.agg(F.median(RES).alias("city_median"))
+    return hist.filter(F.col(RES).isNotNull()).agg(_wmedian().alias("city_median"))
 
 
 def zone_summary(requests: DataFrame) -> DataFrame:
     """G3 + S28: per zone count, centroid means, share of all rows, top category."""
-    base = requests.filter(F.col(ZONE).isNotNull())
-    agg = base.groupBy(ZONE).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.round(F.avg("lat"), 6).alias("lat_centroid"),
-        F.round(F.avg("long"), 6).alias("lon_centroid"),
+    h = histogram(requests)
+    agg = h.groupBy(ZONE).agg(
+        F.sum("n").alias("count"),
+        F.round(F.sum("sum_lat") / F.sum("n"), 6).alias("lat_centroid"),
+        F.round(F.sum("sum_long") / F.sum("n"), 6).alias("lon_centroid"),
     )
-    total = F.sum("count").over(Window.partitionBy())
+    total = F.sum("count").over(Window.partitionBy())  # one row per zone
     agg = agg.withColumn("pct_of_total", F.round(F.col("count") / total * 100.0, 1))
-    return agg.join(top_by_count(base, ZONE, CATEGORY, "top_category"), ZONE, "left")
+    return agg.join(top_by_count(h, ZONE, CATEGORY, "top_category", "n"), ZONE, "left")
 
 
 def zone_performance(requests: DataFrame) -> DataFrame:
-    """G4 + G5 + S19 + W2 + J3: one row per zone with the response profile and tier."""
-    base = requests.filter(F.col(ZONE).isNotNull())
-    res = F.col(RES)
-    closed_n = F.count(res)
-    perf = base.groupBy(ZONE).agg(
-        F.count(F.lit(1)).alias("n_total"),
+    """G4 + G5 + S19 + W2 + J3: one row per zone with the response profile and tier,
+    all from one histogram (one scan of the fact, one shuffle)."""
+    h = histogram(requests)
+    res, n = F.col(RES), F.col("n")
+    closed_n = F.sum(F.when(res.isNotNull(), n).otherwise(F.lit(0)))
+    perf = h.groupBy(ZONE).agg(
+        F.sum("n").alias("n_total"),
         closed_n.alias("n_closed"),
-        F.median(res).alias("_median"),
-        F.avg(res).alias("_mean"),
-        F.count_if(res > 7).alias("_o7"),
-        F.count_if(res > 30).alias("_o30"),
-        F.count_if(res > 90).alias("_o90"),
-        F.avg("lat").alias("_lat"),
-        F.avg("long").alias("_lon"),
+        F.percentile(F.when(res.isNotNull(), res), F.lit(0.5), n).alias("_median"),
+        (F.sum(res * n) / F.sum(F.when(res.isNotNull(), n))).alias("_mean"),
+        F.sum(F.when(res > 7, n)).alias("_o7"),
+        F.sum(F.when(res > 30, n)).alias("_o30"),
+        F.sum(F.when(res > 90, n)).alias("_o90"),
+        (F.sum("sum_lat") / F.sum("n")).alias("_lat"),
+        (F.sum("sum_long") / F.sum("n")).alias("_lon"),
     )
-    closed = base.filter(res.isNotNull())
     # One-row benchmark; a crossJoin with a single row is a broadcast of 8 bytes.
-    perf = perf.crossJoin(F.broadcast(city_median(closed)))
+    perf = perf.crossJoin(F.broadcast(city_median(h)))
     perf = perf.select(
         ZONE,
         F.col("n_total").cast("long").alias("n_total"),
@@ -77,18 +98,18 @@ def zone_performance(requests: DataFrame) -> DataFrame:
         _pct(F.col("n_closed"), F.col("n_total")).alias("pct_closed"),
         F.round("_median", 2).alias("median_days"),
         F.round("_mean", 2).alias("mean_days"),
-        _pct(F.col("_o7"), F.col("n_closed")).alias("pct_over_7d"),
-        _pct(F.col("_o30"), F.col("n_closed")).alias("pct_over_30d"),
-        _pct(F.col("_o90"), F.col("n_closed")).alias("pct_over_90d"),
+        _pct(F.coalesce("_o7", F.lit(0)), F.col("n_closed")).alias("pct_over_7d"),
+        _pct(F.coalesce("_o30", F.lit(0)), F.col("n_closed")).alias("pct_over_30d"),
+        _pct(F.coalesce("_o90", F.lit(0)), F.col("n_closed")).alias("pct_over_90d"),
         F.round("_lat", 6).alias("lat_centroid"),
         F.round("_lon", 6).alias("lon_centroid"),
         labels.response_tier(F.round("_median", 2), F.col("city_median")).alias("response_tier"),
     )
-    top = top_by_count(base, ZONE, CATEGORY, "top_category")
+    top = top_by_count(h, ZONE, CATEGORY, "top_category", "n")
     slow = (
-        closed.filter(F.col(CATEGORY).isNotNull())
+        h.filter(res.isNotNull() & F.col(CATEGORY).isNotNull())
         .groupBy(ZONE, CATEGORY)
-        .agg(F.median(res).alias("_m"))
+        .agg(_wmedian().alias("_m"))
         .withColumn("_rn", F.row_number().over(Window.partitionBy(ZONE).orderBy(F.desc("_m"), F.asc(CATEGORY))))
         .filter("_rn = 1")
         .select(ZONE, F.col(CATEGORY).alias("slowest_category"), F.round("_m", 4).alias("slowest_cat_median_days"))
@@ -97,28 +118,30 @@ def zone_performance(requests: DataFrame) -> DataFrame:
     return perf.join(top, ZONE, "left").join(slow, ZONE, "left")
 
 
-def top_categories(requests: DataFrame, n: int = TOP_N_CATEGORIES) -> DataFrame:
-    """Category counts, top ``n`` by count then name (a top-k report)."""
-    counts = requests.filter(F.col(CATEGORY).isNotNull()).groupBy(CATEGORY).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("n"), F.asc(CATEGORY))
-    # The frame has one row per category, so the un-partitioned window is over a small set.
-    return counts.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+def top_categories(requests: DataFrame, n: int = TOP_N_CATEGORIES, hist: DataFrame | None = None) -> DataFrame:
+    """Category counts, top ``n`` by count then name (a top-k report). The cut is a
+    distributed take-ordered (per-partition top n, then a merge); only the n survivors
+    are numbered."""
+    h = hist if hist is not None else histogram(requests)
+    counts = h.filter(F.col(CATEGORY).isNotNull()).groupBy(CATEGORY).agg(F.sum("n").alias("n"))
+    top = counts.orderBy(F.desc("n"), F.asc(CATEGORY)).limit(n)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), F.asc(CATEGORY))))
 
 
 def category_gap(requests: DataFrame, n: int = TOP_N_CATEGORIES) -> DataFrame:
     """G6 + J5 + J6 + S20: zone x top-category closed-time profile vs the city median
     of that category; gap = rounded zone median - unrounded city median."""
-    top = top_categories(requests, n).select(CATEGORY)
-    closed = requests.filter(F.col(RES).isNotNull() & F.col(ZONE).isNotNull())
-    closed = closed.join(F.broadcast(top), CATEGORY, "left_semi")  # n rows: bounded by the parameter
-    res = F.col(RES)
+    h = histogram(requests)
+    top = top_categories(requests, n, h).select(CATEGORY)
+    closed = h.filter(F.col(RES).isNotNull()).join(F.broadcast(top), CATEGORY, "left_semi")  # n rows (parameter)
+    res, cnt = F.col(RES), F.col("n")
     per_zone = closed.groupBy(ZONE, CATEGORY).agg(
-        F.count(res).cast("long").alias("n_closed"),
-        F.median(res).alias("_median"),
-        F.avg(res).alias("_mean"),
-        (F.count_if(res > 30) / F.count(res) * 100.0).alias("_o30"),
+        F.sum("n").cast("long").alias("n_closed"),
+        _wmedian().alias("_median"),
+        (F.sum(res * cnt) / F.sum("n")).alias("_mean"),
+        (F.coalesce(F.sum(F.when(res > 30, cnt)), F.lit(0)) / F.sum("n") * 100.0).alias("_o30"),
     )
-    city = closed.groupBy(CATEGORY).agg(F.median(res).alias("city_median_days"))
+    city = closed.groupBy(CATEGORY).agg(_wmedian().alias("city_median_days"))
     out = per_zone.join(city, CATEGORY)
     median_days = F.round("_median", 2)
     return out.select(
@@ -148,7 +171,7 @@ def gap_pivot(gaps: DataFrame, zones: list[int]) -> DataFrame:
 def zone_distribution(requests: DataFrame) -> DataFrame:
     """Rows per zone and percent of all rows."""
     counts = requests.filter(F.col(ZONE).isNotNull()).groupBy(ZONE).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy())
+    total = F.sum("n").over(Window.partitionBy())  # one row per zone
     return counts.select(ZONE, F.col("n").cast("long").alias("n"), F.round(F.col("n") / total * 100.0, 2).alias("pct"))
 
 
@@ -156,5 +179,6 @@ def relabel_by_size(df: DataFrame, label: str = "raw_cluster", out: str = ZONE)
     """Relabel groups 1..k by size, biggest first (ties by old label)."""
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_size"))
     order = Window.orderBy(F.desc("_size"), F.asc(label))
-    mapping = sizes.select(label, F.row_number().over(order).alias(out))  # one row per label
+    # One row per label: the labels are a small set (k clusters, the nations, ...).
+    mapping = sizes.select(label, F.row_number().over(order).alias(out))
     return df.join(F.broadcast(mapping), label).drop(label)

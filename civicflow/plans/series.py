@@ -8,10 +8,20 @@ from civicflow.operators import series as S
 from civicflow.plans.standins import SERIES_START, ZONE_ORDERS_SQL, zone_orders
 
 
+_SERIES: dict = {}
+
+
 def dense(spark, sf_dir, zone: str = "cluster"):
-    """Dense weekly order series per zone (region by default, or nation) plus the city."""
-    counts = S.weekly_counts(zone_orders(spark, sf_dir), "requested_datetime", zone, SERIES_START)
-    return S.dense_series(counts)
+    """Dense weekly order series per zone (region by default, or nation) plus the city.
+
+    This is the stage boundary between request data and the forecasting stage (the
+    reference writes it to a file): it is checkpointed once per session and data
+    folder into the shared checkpoint dir, and every forecasting query reads it."""
+    key = (id(spark), spark.conf.get("spark.checkpoint.dir", ""), sf_dir, zone)
+    if key not in _SERIES:
+        counts = S.weekly_counts(zone_orders(spark, sf_dir), "requested_datetime", zone, SERIES_START)
+        _SERIES[key] = S.dense_series(counts).checkpoint()
+    return _SERIES[key]
 
 
 def q_weekly_series_dense(spark, sf_dir):

@@ -42,8 +42,8 @@ def perf(spark, sf_dir) -> DataFrame:
     return profile.zone_performance(cleaned(spark, sf_dir))
 
 
-def index_naive(spark, sf_dir) -> DataFrame:
-    return staffing.workload_index(naive_zone_forecast(spark, sf_dir), perf(spark, sf_dir))
+def index_naive(spark, sf_dir, p: DataFrame | None = None) -> DataFrame:
+    return staffing.workload_index(naive_zone_forecast(spark, sf_dir), p if p is not None else perf(spark, sf_dir))
 
 
 def q_workload_index(spark, sf_dir):
@@ -68,7 +68,7 @@ def q_workload_premium(spark, sf_dir):
 def q_kpi_context(spark, sf_dir):
     """G16 + G17 + G23: one row of headline numbers."""
     p = perf(spark, sf_dir)
-    summ = staffing.staffing_summary(index_naive(spark, sf_dir))
+    summ = staffing.staffing_summary(index_naive(spark, sf_dir, p))
     prem = staffing.workload_premium(summ)
     base = p.agg(F.sum("n_total").cast("long").alias("n_clustered"), F.count_distinct("cluster").alias("n_clusters"))
     top = staffing.arg_max(p, "n_total").select(F.col("cluster").alias("top_cluster"))
@@ -110,7 +110,7 @@ def zone_forecasts_holt(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("Proportional ("), F.col("city_model"), F.lit(")")).alias("model"),
         "h", "week_start", (F.col("cf") * F.col("prop_share")).alias("forecast"),
     )
-    prop_res = sparse.crossJoin(city_res).select(
+    prop_res = sparse.crossJoin(F.broadcast(city_res)).select(  # city_res: one row (the residual array)
         "series_id", F.transform("residuals", lambda r: r * F.col("prop_share")).alias("residuals")
     ).withColumn("model", F.lit(None).cast("string"))
     prop = FC.bootstrap_intervals(prop_fc, prop_res.drop("model").join(prop_fc.select("series_id", "model").distinct(), "series_id"))
