@@ -14,7 +14,7 @@ from civicflow.operators import evaluation as EV
 from civicflow.plans.text import MIN_CLASS_SIZE, docs
 from civicflow.operators import text as X
 from civicflow.session import scratch_path
-from civicflow.sources.tables import read_table
+from civicflow.sources.tables import read_table, spread
 
 LABEL = "lang"
 _MODELS: dict = {}
@@ -84,7 +84,7 @@ def q_miscategorised(spark, sf_dir):
 def q_live_scoring(spark, sf_dir):
     """Top-5 categories for new texts (user turns of conversations)."""
     _, model = trained(spark, sf_dir)
-    conv = read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").filter(F.col("role") == "user")
+    conv = spread(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")).filter(F.col("role") == "user")
     conv = CL.prepare(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text"), "text")
     return CL.top_classes(model, CL.predict(model, conv, "msg_id"), "msg_id")
 

@@ -16,7 +16,7 @@ from civicflow.functions import stopwords
 from civicflow.functions import text as T
 from civicflow.operators import evaluation as EV
 from civicflow.operators import text as X
-from civicflow.sources.tables import read_table
+from civicflow.sources.tables import read_table, spread
 
 # Vectoriser settings of the classifier and of the two dashboard pages.
 MAX_FEATURES, MIN_DF, MAX_DF = 10000, 2, 0.95
@@ -28,7 +28,8 @@ EVAL_LABELS = ["good", "poor", "toxic"]
 
 
 def docs(spark, sf_dir) -> DataFrame:
-    return read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
+    # Text work is CPU-heavy per row: make sure the scan has a task per core.
+    return spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
 def q_text_normalise(spark, sf_dir):
@@ -81,7 +82,7 @@ def q_slice_term_list(spark, sf_dir):
 def zone_scores(spark, sf_dir) -> DataFrame:
     """M17 + G24: zones as documents without building one text per zone: per-description
     term counts are summed per zone (so no bigram spans two descriptions)."""
-    d = read_table(spark, sf_dir, "documents", "doc_id", "text", "source").withColumnRenamed("source", "zone")
+    d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "source")).withColumnRenamed("source", "zone")
     norm = d.select("zone", "doc_id", T.normalise_text(F.col("text"), strip_urls=False).alias("norm"))
     per_doc = X.term_counts(norm, "doc_id", "norm", group=["zone"], stop_words=stopwords.ZONE_STOP_WORDS)
     per_zone = per_doc.groupBy("zone", "term").agg(F.sum("tf").alias("tf")).withColumnRenamed("zone", "doc")
