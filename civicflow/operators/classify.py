@@ -43,9 +43,9 @@ class TextModel:
     lr: LogisticRegressionModel
 
 
-def fit_vectoriser(train: DataFrame, id_col: str, norm_col: str) -> DataFrame:
+def fit_vectoriser(train: DataFrame, id_col: str, norm_col: str, counts: DataFrame | None = None) -> DataFrame:
     """Vocabulary (alphabetical index, like the reference's feature order) and idf of the training texts."""
-    counts = X.term_counts(train, id_col, norm_col)
+    counts = counts if counts is not None else X.term_counts(train, id_col, norm_col)
     vocab = X.vocabulary(counts, X.doc_count(train), min_df=MIN_DF, max_df=MAX_DF, max_features=MAX_FEATURES)
     vocab = vocab.select(
         "term", (F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0).alias("idf")
@@ -54,10 +54,11 @@ def fit_vectoriser(train: DataFrame, id_col: str, norm_col: str) -> DataFrame:
     return vocab.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
 
 
-def vectorise(docs: DataFrame, id_col: str, norm_col: str, vocab: DataFrame, n_features: int) -> DataFrame:
+def vectorise(docs: DataFrame, id_col: str, norm_col: str, vocab: DataFrame, n_features: int,
+              counts: DataFrame | None = None) -> DataFrame:
     """(id, features) with sublinear tf x train idf, L2-normalised; texts without any
     vocabulary term get an empty vector."""
-    counts = X.term_counts(docs, id_col, norm_col)
+    counts = counts if counts is not None else X.term_counts(docs, id_col, norm_col)
     j = counts.join(F.broadcast(vocab), "term")  # vocabulary: bounded by MAX_FEATURES
     j = j.withColumn("_w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
     per_doc = j.groupBy("doc").agg(
@@ -82,12 +83,13 @@ def prepare(docs: DataFrame, text_col: str) -> DataFrame:
 
 def fit(train: DataFrame, id_col: str, label_col: str) -> TextModel:
     """M8: vectoriser + LR(multinomial, L2 with sklearn's C scaled to Spark's regParam)."""
-    vocab = fit_vectoriser(train, id_col, "norm").checkpoint()
+    counts = X.term_counts(train, id_col, "norm").checkpoint()  # read by the vocabulary and the features
+    vocab = fit_vectoriser(train, id_col, "norm", counts).checkpoint()
     n_features = vocab.count()
     labels = train.select(label_col).distinct()
     labels = labels.withColumn("label_idx", (F.row_number().over(Window.orderBy(label_col)) - 1).cast("double"))
     labels = labels.withColumnRenamed(label_col, "label").checkpoint()  # one row per class
-    feats = vectorise(train, id_col, "norm", vocab, n_features)
+    feats = vectorise(train, id_col, "norm", vocab, n_features, counts)
     data = feats.join(train.select(id_col, F.col(label_col).alias("label")), id_col).join(labels, "label")
     data = data.select("features", "label_idx").checkpoint()
     n = data.count()

@@ -36,6 +36,8 @@ def histogram(requests: DataFrame) -> DataFrame:
     It is checkpointed (reliably, into the shared checkpoint folder): the profiles read
     it several times with different filters, which would otherwise defeat exchange
     reuse and re-scan the fact once per branch."""
+    if RES not in requests.columns:  # e.g. zones of plain points: counts and centroids only
+        requests = requests.withColumn(RES, F.lit(None).cast("double"))
     return requests.filter(F.col(ZONE).isNotNull()).groupBy(ZONE, CATEGORY, RES).agg(
         F.count(F.lit(1)).alias("n"), F.sum("lat").alias("sum_lat"), F.sum("long").alias("sum_long")
     ).checkpoint()

@@ -43,8 +43,10 @@ def term_counts(
     group: list[str] | None = None,
     stop_words: list[str] | None = None,
     max_n: int = 2,
+    per_doc: bool = True,
 ) -> DataFrame:
-    """(group..., doc, term, tf) from normalised text."""
+    """(group..., doc, term, tf) from normalised text; with ``per_doc=False`` the
+    counts are summed straight to (group..., term) (zones as documents)."""
     group = group or []
     toks = docs.select(*group, F.col(id_col).alias("doc"), T.tokens(F.col(norm_col)).alias("_tok"))
     if stop_words:
@@ -54,7 +56,8 @@ def term_counts(
                                    caseSensitive=True)
         toks = remover.transform(toks).drop("_tok").withColumnRenamed("_kept", "_tok")
     terms = toks.select(*group, "doc", F.explode(ngram_terms(F.col("_tok"), max_n)).alias("term"))
-    return terms.groupBy(*group, "doc", "term").agg(F.count(F.lit(1)).alias("tf"))
+    keys = [*group, "doc", "term"] if per_doc else [*group, "term"]
+    return terms.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
 
 
 def vocabulary(

@@ -84,8 +84,8 @@ def zone_scores(spark, sf_dir) -> DataFrame:
     term counts are summed per zone (so no bigram spans two descriptions)."""
     d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "source")).withColumnRenamed("source", "zone")
     norm = d.select("zone", "doc_id", T.normalise_text(F.col("text"), strip_urls=False).alias("norm"))
-    per_doc = X.term_counts(norm, "doc_id", "norm", group=["zone"], stop_words=stopwords.ZONE_STOP_WORDS)
-    per_zone = per_doc.groupBy("zone", "term").agg(F.sum("tf").alias("tf")).withColumnRenamed("zone", "doc")
+    per_zone = X.term_counts(norm, "doc_id", "norm", group=["zone"], stop_words=stopwords.ZONE_STOP_WORDS,
+                             per_doc=False).withColumnRenamed("zone", "doc")
     n_zones = per_zone.agg(F.count_distinct("doc").alias("n_docs"))
     vocab = X.vocabulary(per_zone, n_zones, min_df=1, max_features=ZONE_MAX_FEATURES)
     w = X.tfidf(per_zone, vocab).withColumnRenamed("doc", "zone")
