@@ -29,7 +29,7 @@ N_INIT = 10
 CATEGORY_K = 3
 TOP_N_CATEGORIES = 5
 MIN_CATEGORY_SIZE = 200
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 
 def standardise(df: DataFrame, cols=("lat", "long"), group: str | None = None) -> DataFrame:

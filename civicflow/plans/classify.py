@@ -7,6 +7,8 @@ which the text actually determines; ``source`` is random with respect to text.""
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 
 from civicflow.operators import classify as CL
@@ -17,6 +19,7 @@ from civicflow.session import scratch_path
 from civicflow.sources.tables import read_table, spread
 
 LABEL = "lang"
+CV_PARALLEL = 5
 _MODELS: dict = {}
 
 
@@ -94,15 +97,19 @@ def q_text_cv(spark, sf_dir):
     each fold refits the vectoriser and the model on the other four folds."""
     split, _ = trained(spark, sf_dir)
     train = EV.assign_folds(split.filter(F.col("split") == "train"), LABEL, "doc_id").checkpoint()
-    scores = []
-    for k in range(1, 6):  # five model fits: the folds are the unit of work, not data
+
+    def fold_score(k: int):
         fit_part = train.filter(F.col("fold") != k)
         held = train.filter(F.col("fold") == k)
         m = CL.fit(fit_part, "doc_id", LABEL)
         p = CL.predict(m, held, "doc_id").join(held.select("doc_id", F.col(LABEL).alias("true_category")), "doc_id")
-        labels = [r[0] for r in m.labels.orderBy("label").collect()]
+        labels = [r[0] for r in m.labels.orderBy("label").collect()]  # the class list
         rep = EV.classification_report(EV.confusion_long(p, labels, "true_category", "predicted"))
-        scores.append(rep.filter(F.col("class") == "weighted avg").select(F.lit(k).alias("fold"), F.col("f1_score")))
+        return rep.filter(F.col("class") == "weighted avg").select(F.lit(k).alias("fold"), F.col("f1_score")).checkpoint()
+
+    # Five independent model fits (the folds are the unit of work, not data): concurrent jobs.
+    with ThreadPoolExecutor(CV_PARALLEL) as pool:
+        scores = list(pool.map(fold_score, range(1, 6)))
     allf = scores[0]
     for s in scores[1:]:
         allf = allf.unionByName(s)

@@ -11,7 +11,6 @@ from civicflow.operators import forecast as FC
 from civicflow.operators import series as S
 from civicflow.plans import forecast as PF
 from civicflow.plans import geo as PG
-from civicflow.plans.forecast import _FULL_FC
 from civicflow.plans.requests import _CLEAN, cleaned
 from civicflow.plans.series import DENSE_SQL, dense
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from civicflow.operators import classify as CL
 from civicflow.plans import classify as PC
-from civicflow.plans.standins import STATION_DAY_SQL
 from civicflow.plans.weather import ORACLE as WEATHER_ORACLE
 from civicflow.sources.tables import table_path
 from civicflow.streaming import jobs

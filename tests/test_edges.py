@@ -2,7 +2,6 @@
 
 import datetime as dt
 
-import pytest
 from pyspark.sql import functions as F
 
 from civicflow.operators import clean, evaluation as EV, geo as G, profile, series as S, weather

@@ -4,7 +4,6 @@
 import math
 
 import pandas as pd
-import pytest
 from pyspark.sql import functions as F
 
 from civicflow.operators import evaluation as EV
