@@ -184,3 +184,21 @@ def forecast_sql(rows: str, horizon: int = FC.HORIZON) -> str:
 SELECT series_id, model, CAST(h AS INTEGER) AS h, CAST(last_week + INTERVAL (h * 7) DAY AS DATE) AS week_start,
        level + ({damp}) * trend + ({seas}) AS forecast
 FROM ({rows}) r, range(1, {horizon + 1}) t(h)"""
+
+
+def residuals_sql(rows: str, m: int = FC.SEASON) -> str:
+    """Twin of ``fitted_residuals``: one-step errors of the chosen model, as a list."""
+    one, z = _d(1.0), _d(0.0)
+    first = f"list_slice(ys, 1, {m})"
+    mean0 = f"(list_reduce({first}, lambda a, x: a + x, {z}) / {_d(float(m))})"
+    init_s = (f"CASE WHEN model = '{FC.SEASONAL}' THEN list_transform({first}, lambda x: x - {mean0}) "
+              f"ELSE list_transform(range(0, {m}), lambda i: {z}) END")
+    seas = f"CASE WHEN model = '{FC.SEASONAL}' THEN acc.s[1] ELSE {z} END"
+    t = "(acc.l + phi * acc.b)"
+    e = f"(y - ({t} + {seas}))"
+    roll = (f"CASE WHEN model = '{FC.SEASONAL}' THEN list_concat(list_slice(acc.s, 2, {m}), [{seas} + gamma * {e}]) "
+            f"ELSE acc.s END")
+    body = (f"'l': {t} + alpha * {e}, 'b': phi * acc.b + (alpha * beta) * {e}, 's': {roll}, "
+            f"'res': list_concat(acc.res, [{e}])")
+    init = f"{{'l': l0, 'b': b0, 's': {init_s}, 'res': CAST([] AS DOUBLE[])}}"
+    return f"SELECT series_id, model, list_reduce(ys, lambda acc, y: {{{body}}}, {init}).res AS residuals FROM ({rows}) r"

@@ -12,7 +12,8 @@ from civicflow.operators import series as S
 from civicflow.plans import forecast as PF
 from civicflow.plans import geo as PG
 from civicflow.plans.requests import _CLEAN, cleaned
-from civicflow.plans.series import DENSE_SQL, dense
+from civicflow.plans import forecast_sql as FS
+from civicflow.plans.series import DENSE_SQL, SPLIT_SQL, dense
 
 # Page parameters (the selections a user makes).
 ZONES = [1, 2, 4]
@@ -93,7 +94,20 @@ _PROP = PF.ORACLE["proportional_forecast"]
 _TWM = PG.ORACLE["tract_weighted_means"]
 _ZTS = PG.ORACLE["zone_terrain_summary"]
 
+_HISTORY = f"""
+WITH res AS ({FS.residuals_sql(PF._WIN_TRAIN)}),
+r AS (SELECT series_id, unnest(generate_series(0, len(residuals) - 1)) AS pos, unnest(residuals) AS resid FROM res),
+sp AS (SELECT *, row_number() OVER (PARTITION BY series_id, split ORDER BY week_start) - 1 AS pos FROM ({SPLIT_SQL}) s),
+hold AS (SELECT series_id, week_start, forecast FROM ({FS.forecast_sql(PF._WIN_TRAIN)}) h)
+SELECT sp.series_id, sp.week_start, sp.y AS actual, 'train' AS type, round(sp.y - r.resid, 1) AS fitted
+FROM sp LEFT JOIN r ON r.series_id = sp.series_id AND r.pos = sp.pos WHERE sp.split = 'train'
+UNION ALL
+SELECT sp.series_id, sp.week_start, sp.y, 'test', round(h.forecast, 1)
+FROM sp LEFT JOIN hold h ON h.series_id = sp.series_id AND h.week_start = sp.week_start WHERE sp.split = 'test'
+"""
+
 ORACLE = {
+    "forecast_history": _HISTORY,
     "zone_enriched_display": f"""
 SELECT 'Z' || CAST(t.cluster AS VARCHAR) AS zone, format('{{:,.0f}}', CAST(total_population AS DOUBLE)) AS population,
        printf('%.1f', round(incidents_per_1k_res, 1)) AS inc_per_1k,

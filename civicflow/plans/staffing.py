@@ -16,7 +16,8 @@ from civicflow.operators import profile, staffing
 from civicflow.operators import series as S
 from civicflow.plans import forecast as PF
 from civicflow.plans.requests import _ZONE_PERF, cleaned
-from civicflow.plans.series import DENSE_SQL, dense
+from civicflow.plans import forecast_sql as FS
+from civicflow.plans.series import DENSE_SQL, SPLIT_SQL, dense
 
 HEADCOUNT = 20  # default total field staff on the allocation page
 
@@ -179,6 +180,40 @@ QUERIES = {
     "sparse_note": q_sparse_note,
 }
 
+_ZONE_METRICS = f"""
+WITH d AS ({DENSE_SQL}),
+ct AS (SELECT sum(y) AS city_total FROM d WHERE series_id = 'city'),
+z AS (SELECT series_id, avg(y) AS m, avg(CAST(y = 0 AS DOUBLE)) AS zp, sum(y) AS s FROM d
+      WHERE series_id <> 'city' GROUP BY series_id),
+cls AS (SELECT series_id, round(m, 2) AS mean_vol, round(zp, 4) AS zero_pct, (m < 8 OR zp > 0.2) AS is_sparse,
+               round(CASE WHEN city_total > 0 THEN s / city_total ELSE 0.0 END, 4) AS prop_share FROM z CROSS JOIN ct),
+hold AS (SELECT series_id, week_start, forecast FROM ({FS.forecast_sql(PF._WIN_TRAIN)}) h),
+cp AS (SELECT week_start, forecast AS cf FROM hold WHERE series_id = 'city'),
+tst AS (SELECT series_id, week_start, y FROM ({SPLIT_SQL}) sp WHERE split = 'test' AND series_id <> 'city'),
+pred AS (SELECT t.series_id, t.y, CASE WHEN c.is_sparse THEN cp.cf * c.prop_share ELSE h.forecast END AS p
+         FROM tst t JOIN cls c USING (series_id) LEFT JOIN hold h USING (series_id, week_start)
+         LEFT JOIN cp USING (week_start)),
+err AS (SELECT series_id, round(round(avg(abs(y - p)), 4), 2) AS mae,
+               round(round(sqrt(avg((y - p) * (y - p))), 4), 2) AS rmse,
+               round(round(avg(CASE WHEN y > 0 THEN abs(y - p) / y END) * 100.0, 4), 1) AS mape
+        FROM pred GROUP BY series_id),
+trn AS (SELECT series_id, CAST(count(*) AS BIGINT) AS n_train_weeks FROM ({SPLIT_SQL}) sp
+        WHERE split = 'train' GROUP BY series_id),
+fullfc AS (SELECT * FROM ({PF._FULL_FC}) f),
+own AS (SELECT f.series_id, f.model, greatest(round(f.forecast, 1), 0.0) AS fc FROM fullfc f
+        JOIN cls c USING (series_id) WHERE NOT c.is_sparse),
+prop AS (SELECT c.series_id, 'Proportional (' || f.model || ')' AS model,
+                greatest(round(f.forecast * c.prop_share, 1), 0.0) AS fc
+         FROM cls c CROSS JOIN fullfc f WHERE c.is_sparse AND f.series_id = 'city'),
+fct AS (SELECT series_id, any_value(model) AS model, round(sum(fc), 1) AS fc_13wk_total
+        FROM (SELECT * FROM own UNION ALL SELECT * FROM prop) u GROUP BY series_id)
+SELECT CAST(c.series_id AS INTEGER) AS cluster, fct.model, c.is_sparse AS is_proportional,
+       CASE WHEN c.is_sparse THEN c.prop_share END AS prop_share, trn.n_train_weeks,
+       c.mean_vol AS mean_weekly, round(c.zero_pct * 100.0, 1) AS zero_week_pct, err.mae, err.rmse, err.mape,
+       fct.fc_13wk_total
+FROM cls c JOIN err USING (series_id) JOIN trn USING (series_id) JOIN fct USING (series_id)
+"""
+
 _NAIVE = f"""
 WITH d AS ({DENSE_SQL}),
 z AS (SELECT * FROM d WHERE series_id <> 'city'),
@@ -226,6 +261,12 @@ def _argmax(src: str, value: str, alias_key: str, alias_val: str | None = None)
 
 
 ORACLE = {
+    "zone_forecast_metrics": _ZONE_METRICS,
+    "sparse_note": f"""
+SELECT CASE WHEN count(*) > 0 THEN 'Proportional model used for zone(s) '
+         || string_agg(printf('%s (%.1f%% of city)', CAST(cluster AS VARCHAR), prop_share * 100.0), ', ' ORDER BY cluster)
+         || ': too sparse for a stable Holt-Winters fit.' ELSE '' END AS note
+FROM ({_ZONE_METRICS}) m WHERE is_proportional""",
     "workload_index": f"""
 SELECT cluster, week_start, forecast, complexity_weight, backlog_rate, raw_workload, round(city_total, 3) AS city_total,
        workload_share FROM ({_INDEX}) i""",
