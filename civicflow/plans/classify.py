@@ -31,7 +31,7 @@ def _split(spark, sf_dir):
 
 def trained(spark, sf_dir):
     """Fit once per session and data folder; inputs and model tables are checkpointed."""
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir)
     if key not in _MODELS:
         split = _split(spark, sf_dir)
         model = CL.fit(split.filter(F.col("split") == "train"), "doc_id", LABEL)

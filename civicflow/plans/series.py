@@ -17,7 +17,7 @@ def dense(spark, sf_dir, zone: str = "cluster"):
     This is the stage boundary between request data and the forecasting stage (the
     reference writes it to a file): it is checkpointed once per session and data
     folder into the shared checkpoint dir, and every forecasting query reads it."""
-    key = (id(spark), spark.conf.get("spark.checkpoint.dir", ""), sf_dir, zone)
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir, zone)
     if key not in _SERIES:
         counts = S.weekly_counts(zone_orders(spark, sf_dir), "requested_datetime", zone, SERIES_START)
         _SERIES[key] = S.dense_series(counts).checkpoint()

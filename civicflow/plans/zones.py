@@ -28,7 +28,7 @@ def points(spark, sf_dir):
 
 
 def fitted(spark, sf_dir):
-    key = (id(spark), sf_dir)
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir)
     if key not in _FITS:
         pts = Z.standardise(points(spark, sf_dir)).checkpoint()
         _FITS[key] = (pts, Z.fit_best(pts, Z.K))
