@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicflow.plans import geo as PG
+from civicflow.plans.weather import _MERGED, merged
 from civicflow.plans.standins import key_to_lat, key_to_lon, sql_lat, sql_lon
 from civicflow.session import scratch_path
 from civicflow.sources import files as S
@@ -138,6 +139,18 @@ def q_road_layer(spark, sf_dir):
                         F.round(line_length_km(F.col("path")), 4).alias("length_km"))
 
 
+def q_merged_partitioned_sink(spark, sf_dir):
+    """E1 + A2: the cleaned requests joined to daily weather, written as Parquet partitioned
+    by request year and month (plus CSV), then one year read back: the year filter prunes
+    partitions at listing time, so only that year's files are opened."""
+    base = _scratch(spark, "merged")
+    m = merged(spark, sf_dir).drop("requested_datetime", "date_closed")
+    S.write_csv_and_parquet(m, f"{base}/csv", f"{base}/parquet", ["requested_year", "requested_month"])
+    back = spark.read.parquet(f"{base}/parquet").filter(F.col("requested_year") == 1996)
+    return back.select("object_id", "requested_year", "requested_month", "requested_date", "cluster",
+                        "resolution_days", "tmax_avg", "prcp_avg")
+
+
 def q_row_cap(spark, sf_dir):
     """The first 100 records by id (the ingest's max_records option)."""
     return S.first_rows(read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate"), "o_orderkey", 100)
@@ -153,12 +166,18 @@ QUERIES = {
     "attribute_table": q_attribute_table,
     "road_layer": q_road_layer,
     "row_cap": q_row_cap,
+    "merged_partitioned_sink": q_merged_partitioned_sink,
 }
 
 _GEOID = ("lpad('6', 2, '0') || lpad(CASE WHEN n_regionkey = 4 THEN '13' ELSE '41' END, 3, '0') "
           "|| lpad(CAST(n_nationkey * 100 + 1 AS VARCHAR), 6, '0')")
 
+
+
 ORACLE = {
+    "merged_partitioned_sink": f"""
+SELECT object_id, requested_year, requested_month, requested_date, cluster, resolution_days, tmax_avg, prcp_avg
+FROM ({_MERGED}) m WHERE requested_year = 1996""",
     "csv_parquet_roundtrip": "SELECT * FROM customer",
     "parquet_roundtrip": "SELECT * FROM customer",
     "feature_pages": f"""
