@@ -30,10 +30,11 @@ def confusion_long(pairs: DataFrame, labels: list[str], true: str = "true_label"
     )
     lab = _labels(spark, labels)
     grid = lab.select(F.col("label").alias("true_label")).crossJoin(lab.select(F.col("label").alias("pred_label")))
-    # grid is labels x labels (the class list squared), a parameter-sized frame.
+    # grid is labels x labels (the class list squared), a parameter-sized frame. The
+    # result is that small too, and the report reads it several times: checkpoint it.
     return grid.join(counts, ["true_label", "pred_label"], "left").select(
         "true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("long").alias("n")
-    )
+    ).checkpoint()
 
 
 def confusion_matrix(pairs: DataFrame, labels: list[str], true: str = "true_label", pred: str = "pred_label") -> DataFrame:
