@@ -14,6 +14,7 @@ from civicflow.plans import geo as PG
 from civicflow.plans.requests import _CLEAN, cleaned
 from civicflow.plans import forecast_sql as FS
 from civicflow.plans.series import DENSE_SQL, SPLIT_SQL, dense
+from civicflow.plans.staffing import _ZONE_METRICS, q_zone_forecast_metrics
 
 # Page parameters (the selections a user makes).
 ZONES = [1, 2, 4]
@@ -54,6 +55,20 @@ def q_model_display(spark, sf_dir):
     ).orderBy("series_id", "week_start")
 
 
+def q_zone_forecast_display(spark, sf_dir):
+    """B13 + S25: the zone forecast-metrics table as displayed (Z-labels, model names
+    without their parenthesised suffix, rounded errors)."""
+    m = q_zone_forecast_metrics(spark, sf_dir)
+    return m.select(
+        F.concat(F.lit("Z"), F.col("cluster").cast("string")).alias("zone"),
+        T.strip_parenthesised_suffix(F.col("model")).alias("model"),
+        F.round("mean_weekly", 1).alias("mean_wk"),
+        F.round("mae", 2).alias("mae"),
+        F.round("rmse", 2).alias("rmse"),
+        F.round("mape", 1).alias("mape_pct"),
+    )
+
+
 def q_recent_weeks(spark, sf_dir):
     """W6 + L1: the last 13 weeks of each series, flagged if inside the last 52."""
     d = dense(spark, sf_dir)
@@ -86,6 +101,7 @@ QUERIES = {
     "zone_category_filter": q_zone_category_filter,
     "zone_enriched_display": q_zone_enriched_display,
     "model_display": q_model_display,
+    "zone_forecast_display": q_zone_forecast_display,
     "recent_weeks": q_recent_weeks,
     "forecast_history": q_forecast_history,
 }
@@ -108,6 +124,10 @@ FROM sp LEFT JOIN hold h ON h.series_id = sp.series_id AND h.week_start = sp.wee
 
 ORACLE = {
     "forecast_history": _HISTORY,
+    "zone_forecast_display": f"""
+SELECT 'Z' || CAST(cluster AS VARCHAR) AS zone, trim(regexp_replace(model, '\\s*\\([^)]*\\)\\s*$', '')) AS model,
+       round(mean_weekly, 1) AS mean_wk, round(mae, 2) AS mae, round(rmse, 2) AS rmse, round(mape, 1) AS mape_pct
+FROM ({_ZONE_METRICS}) m""",
     "zone_enriched_display": f"""
 SELECT 'Z' || CAST(t.cluster AS VARCHAR) AS zone, format('{{:,.0f}}', CAST(total_population AS DOUBLE)) AS population,
        printf('%.1f', round(incidents_per_1k_res, 1)) AS inc_per_1k,
