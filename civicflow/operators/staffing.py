@@ -112,7 +112,8 @@ def sparse_note(metrics: DataFrame) -> DataFrame:
             F.concat(
                 F.lit("Proportional model used for zone(s) "),
                 F.array_join(
-                    F.transform("_p", lambda p: F.format_string("%s (%.1f%% of city)", p[ZONE].cast("string"), p["prop_share"] * 100.0)),
+                    F.transform("_p", lambda p: F.format_string(
+                        "%s (%.1f%% of city)", p[ZONE].cast("string"), F.round(p["prop_share"] * 100.0, 1))),
                     ", ",
                 ),
                 F.lit(": too sparse for a stable Holt-Winters fit."),

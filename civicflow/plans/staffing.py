@@ -264,7 +264,7 @@ ORACLE = {
     "zone_forecast_metrics": _ZONE_METRICS,
     "sparse_note": f"""
 SELECT CASE WHEN count(*) > 0 THEN 'Proportional model used for zone(s) '
-         || string_agg(printf('%s (%.1f%% of city)', CAST(cluster AS VARCHAR), prop_share * 100.0), ', ' ORDER BY cluster)
+         || string_agg(printf('%s (%.1f%% of city)', CAST(cluster AS VARCHAR), round(prop_share * 100.0, 1)), ', ' ORDER BY cluster)
          || ': too sparse for a stable Holt-Winters fit.' ELSE '' END AS note
 FROM ({_ZONE_METRICS}) m WHERE is_proportional""",
     "workload_index": f"""
