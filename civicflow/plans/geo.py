@@ -166,7 +166,10 @@ def q_tract_weighted_means(spark, sf_dir):
 
     t = ut.groupBy("cluster").agg(
         F.sum("population").cast("long").alias("total_population"),
-        F.round(F.avg("pop_density_per_sqkm"), 1).alias("mean_pop_density_sqkm"),
+        # Densities carry one decimal: average them as whole tenths so the sum is exact
+        # and the result does not depend on summation order.
+        F.round(F.sum(F.round(F.col("pop_density_per_sqkm") * 10.0)) / F.count("pop_density_per_sqkm") / 10.0, 1)
+        .alias("mean_pop_density_sqkm"),
         F.round(wavg("median_income"), 0).alias("wtd_median_income"),
         F.round(wavg("median_home_value"), 0).alias("wtd_median_home_value"),
     )
@@ -183,7 +186,7 @@ def q_zone_terrain_summary(spark, sf_dir):
     e = e.withColumn("terrain_class", L.elevation_band(F.col("elevation_m")))
     s = e.groupBy("cluster").agg(
         F.count(F.lit(1)).cast("long").alias("n_incidents"),
-        F.round(F.avg("elevation_m"), 1).alias("elevation_mean_m"),
+        F.round(F.sum(F.round(F.col("elevation_m") * 10.0)) / F.count("elevation_m") / 10.0, 1).alias("elevation_mean_m"),
         F.round(F.stddev_samp("elevation_m"), 1).alias("elevation_std_m"),
         F.round(F.min("elevation_m"), 1).alias("elevation_min_m"),
         F.round(F.max("elevation_m"), 1).alias("elevation_max_m"),
@@ -345,7 +348,7 @@ WITH e AS (SELECT * FROM {_JOINED} j),
 n AS (SELECT cluster, CAST(count(*) AS BIGINT) AS n_incidents FROM e GROUP BY cluster),
 ut AS (SELECT DISTINCT ON (cluster, geoid) * FROM e WHERE geoid IS NOT NULL ORDER BY cluster, geoid),
 t AS (SELECT cluster, CAST(sum(population) AS BIGINT) AS total_population,
-             round(avg(pop_density_per_sqkm), 1) AS mean_pop_density_sqkm,
+             round(sum(round(pop_density_per_sqkm * 10.0)) / count(pop_density_per_sqkm) / 10.0, 1) AS mean_pop_density_sqkm,
              round(sum(CASE WHEN median_income IS NOT NULL AND population IS NOT NULL THEN median_income * CAST(population AS DOUBLE) END)
                    / sum(CASE WHEN median_income IS NOT NULL AND population IS NOT NULL THEN CAST(population AS DOUBLE) END), 0) AS wtd_median_income,
              round(sum(CASE WHEN median_home_value IS NOT NULL AND population IS NOT NULL THEN median_home_value * CAST(population AS DOUBLE) END)
@@ -359,7 +362,8 @@ WITH e AS (SELECT *, {_BAND} AS terrain_class FROM {_SAMPLE} s),
 dom AS (SELECT cluster, terrain_class AS dominant_terrain FROM (
           SELECT cluster, terrain_class, row_number() OVER (PARTITION BY cluster ORDER BY count(*) DESC, terrain_class) AS rn
           FROM e WHERE terrain_class IS NOT NULL GROUP BY cluster, terrain_class) d WHERE rn = 1)
-SELECT cluster, CAST(count(*) AS BIGINT) AS n_incidents, round(avg(elevation_m), 1) AS elevation_mean_m,
+SELECT cluster, CAST(count(*) AS BIGINT) AS n_incidents,
+       round(sum(round(elevation_m * 10.0)) / count(elevation_m) / 10.0, 1) AS elevation_mean_m,
        round(stddev_samp(elevation_m), 1) AS elevation_std_m, round(min(elevation_m), 1) AS elevation_min_m,
        round(max(elevation_m), 1) AS elevation_max_m, round(avg(lat), 6) AS lat_centroid, round(avg(long), 6) AS lon_centroid,
        any_value(dominant_terrain) AS dominant_terrain

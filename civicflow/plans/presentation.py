@@ -40,7 +40,8 @@ def q_zone_enriched_display(spark, sf_dir):
         F.format_number(F.round("mean_pop_density_sqkm", 0), 0).alias("density"),
         F.when(F.col("wtd_median_income").isNull(), F.lit("-"))
         .otherwise(F.concat(F.lit("$"), F.format_number(F.col("wtd_median_income"), 0))).alias("med_income"),
-        F.concat(F.format_string("%.0f", F.round("elevation_mean_m", 0)), F.lit("m")).alias("elev"),
+        F.when(F.col("elevation_mean_m").isNull(), F.lit("-"))
+        .otherwise(F.concat(F.format_string("%.0f", F.round("elevation_mean_m", 0)), F.lit("m"))).alias("elev"),
     )
 
 
@@ -133,7 +134,7 @@ SELECT 'Z' || CAST(t.cluster AS VARCHAR) AS zone, format('{{:,.0f}}', CAST(total
        printf('%.1f', round(incidents_per_1k_res, 1)) AS inc_per_1k,
        format('{{:,.0f}}', round(mean_pop_density_sqkm, 0)) AS density,
        CASE WHEN wtd_median_income IS NULL THEN '-' ELSE '$' || format('{{:,.0f}}', wtd_median_income) END AS med_income,
-       printf('%.0f', round(elevation_mean_m, 0)) || 'm' AS elev
+       CASE WHEN elevation_mean_m IS NULL THEN '-' ELSE printf('%.0f', round(elevation_mean_m, 0)) || 'm' END AS elev
 FROM ({_TWM}) t LEFT JOIN ({_ZTS}) e USING (cluster)""",
     "model_display": f"""
 SELECT series_id, week_start, trim(regexp_replace(model, '\\s*\\([^)]*\\)\\s*$', '')) AS model,
