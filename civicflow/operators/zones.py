@@ -90,7 +90,8 @@ def category_clusters(df: DataFrame, category: str, top_n: int = TOP_N_CATEGORIE
     for cat in cats:
         sub = scaled.filter(F.col(category) == cat)
         m = fit_best(sub, k)
-        stats = sub.select("lat_mean", "lat_std", "long_mean", "long_std").limit(1)
+        # The scaling statistics are constant within the category: one aggregate row.
+        stats = sub.agg(*[F.max(c).alias(c) for c in ("lat_mean", "lat_std", "long_mean", "long_std")])
         centres = spark.createDataFrame(
             [(i + 1, float(c[0]), float(c[1])) for i, c in enumerate(m.clusterCenters())],
             "cat_cluster int, lat_z double, long_z double",
