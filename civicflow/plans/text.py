@@ -9,7 +9,6 @@ for the zone-term page = ``source``; the evaluated predictions compare
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,8 +42,9 @@ def q_text_normalise(spark, sf_dir):
 def tfidf_weights(spark, sf_dir) -> DataFrame:
     d = docs(spark, sf_dir)
     norm = d.select("doc_id", X.normalise(d, "text").alias("norm"))
-    # Read twice (vocabulary, weights): kept after the first pass instead of re-tokenising.
-    counts = X.term_counts(norm, "doc_id", "norm").persist(StorageLevel.MEMORY_AND_DISK)
+    # Read twice (vocabulary, weights): materialised once in the shared checkpoint folder
+    # instead of re-tokenising for each branch (and no session-long cache is left behind).
+    counts = X.term_counts(norm, "doc_id", "norm").checkpoint()
     vocab = X.vocabulary(counts, X.doc_count(d), min_df=MIN_DF, max_df=MAX_DF, max_features=MAX_FEATURES)
     return X.tfidf(counts, vocab)
 
@@ -58,7 +58,7 @@ def slice_scores(spark, sf_dir) -> DataFrame:
     d = docs(spark, sf_dir)
     norm = d.select("lang", "doc_id", X.normalise(d, "text", strip_accents=False).alias("norm"))
     counts = X.term_counts(norm, "doc_id", "norm", group=["lang"], stop_words=list(stopwords.english()))
-    counts = counts.persist(StorageLevel.MEMORY_AND_DISK)
+    counts = counts.checkpoint()
     n = X.doc_count(d, ["lang"])
     vocab = X.vocabulary(counts, n, ["lang"], min_df=MIN_DF, max_features=SLICE_MAX_FEATURES)
     return X.mean_weights(X.tfidf(counts, vocab, ["lang"]), n, ["lang"])
@@ -90,7 +90,7 @@ def zone_scores(spark, sf_dir) -> DataFrame:
     d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "source")).withColumnRenamed("source", "zone")
     norm = d.select("zone", "doc_id", T.normalise_text(F.col("text"), strip_urls=False).alias("norm"))
     per_zone = X.term_counts(norm, "doc_id", "norm", group=["zone"], stop_words=stopwords.ZONE_STOP_WORDS,
-                             per_doc=False).withColumnRenamed("zone", "doc").persist(StorageLevel.MEMORY_AND_DISK)
+                             per_doc=False).withColumnRenamed("zone", "doc").checkpoint()
     n_zones = per_zone.agg(F.count_distinct("doc").alias("n_docs"))
     vocab = X.vocabulary(per_zone, n_zones, min_df=1, max_features=ZONE_MAX_FEATURES)
     w = X.tfidf(per_zone, vocab).withColumnRenamed("doc", "zone")
