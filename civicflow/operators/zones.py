@@ -64,12 +64,24 @@ def silhouette(model: KMeansModel, points: DataFrame) -> float:
 
 
 def elbow(points: DataFrame, k_range=K_RANGE, n_init: int = N_INIT) -> DataFrame:
-    """M3: inertia and silhouette for each k (one row per k)."""
+    """M3: inertia and silhouette for each k (one row per k). All (k, seed) fits are
+    independent, so they share one pool of concurrent jobs (no barrier per k)."""
     spark = points.sparkSession
-    rows = []
-    for k in k_range:  # the k values are a parameter list, not data
-        m = fit_best(points, k, n_init)
-        rows.append((k, round(m.summary.trainingCost, 2), round(silhouette(m, points), 4)))
+    jobs = [(k, SEED + i) for k in k_range for i in range(n_init)]  # a parameter grid, not data
+
+    def one(job):
+        k, s = job
+        return k, KMeans(k=k, seed=s, featuresCol="features", predictionCol="raw_cluster").fit(points)
+
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        fits = list(pool.map(one, jobs))
+    best: dict[int, KMeansModel] = {}
+    for k, m in fits:
+        if k not in best or m.summary.trainingCost < best[k].summary.trainingCost:
+            best[k] = m
+    with ThreadPoolExecutor(PARALLEL_FITS) as pool:
+        sils = dict(zip(best, pool.map(lambda m: silhouette(m, points), best.values())))
+    rows = [(k, round(best[k].summary.trainingCost, 2), round(sils[k], 4)) for k in sorted(best)]
     return spark.createDataFrame(rows, "k int, inertia double, silhouette double")
 
 
