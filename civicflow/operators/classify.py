@@ -82,7 +82,7 @@ def prepare(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def fit(train: DataFrame, id_col: str, label_col: str) -> TextModel:
-    """M8: vectoriser + LR(multinomial, L2 with sklearn's C scaled to Spark's regParam)."""
+    """M8: vectoriser + LR (multinomial, L2; inverse strength C mapped to regParam = 1 / (C n))."""
     counts = X.term_counts(train, id_col, "norm").checkpoint()  # read by the vocabulary and the features
     vocab = fit_vectoriser(train, id_col, "norm", counts).checkpoint()
     n_features = vocab.count()
