@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from civicflow.llm import bpe, edit_counts, token_files
+from civicflow.llm import bpe, edit_counts, licenses, token_files, toxicity, vectors
 from civicflow.llm.common import read
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_token_files(spark, sf_dir):
     return token_files.token_files_digest(read(spark, sf_dir, "documents"))
 
@@ -14,9 +18,18 @@ def op7_bpe(spark, sf_dir):
     return bpe.encode_digests(read(spark, sf_dir, "documents"))
 
 
+def op8_embedding_near_dedup(spark, sf_dir):
+    return vectors.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
+def op9_license_scan(spark, sf_dir):
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def op10_edit_counts(spark, sf_dir):
     return edit_counts.recount(edit_counts.revision_edits(read(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op6_token_files, op7_bpe, op10_edit_counts)}
+QUERIES = {f.__name__: f for f in (
+    op2_toxicity, op6_token_files, op7_bpe, op8_embedding_near_dedup, op9_license_scan, op10_edit_counts)}
 ORACLE_SQL: dict[str, str] = {}
