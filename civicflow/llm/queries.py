@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from civicflow.llm import bpe, edit_counts, licenses, token_files, toxicity, vectors
+from civicflow.llm import bpe, edit_counts, licenses, lines, token_files, toxicity, vectors
 from civicflow.llm.common import read
 
 
@@ -10,6 +10,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark, sf_dir):
+    return lines.dedup_lines(read(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark, sf_dir):
     return token_files.token_files_digest(read(spark, sf_dir, "documents"))
 
@@ -31,5 +35,5 @@ def op10_edit_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_toxicity, op6_token_files, op7_bpe, op8_embedding_near_dedup, op9_license_scan, op10_edit_counts)}
-ORACLE_SQL: dict[str, str] = {}
+    op2_toxicity, op4_line_dedup, op6_token_files, op7_bpe, op8_embedding_near_dedup, op9_license_scan, op10_edit_counts)}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": lines.SQL}
