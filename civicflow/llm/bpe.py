@@ -32,6 +32,8 @@ VOCABULARY = "byte_bpe_50k.json"
 SHORT = 128
 MEMO = 1_000_000
 NONE = 1 << 60
+#: Below this character Python and the pattern agree on what a letter is.
+LATIN_END = "\u0250"
 #: A space at either end or next to another blank: where a cut before it would not be safe.
 BLANKS = re.compile(r"\s | \s|^ | $")
 
@@ -53,55 +55,57 @@ class Codec:
         shown = byte_alphabet()
         hidden = {c: b for b, c in shown.items()}
         self.first = [vocab[shown[b]] for b in range(256)]
-        self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, (left, right) in enumerate(spec["model"]["merges"]):
-            self.pairs.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+        merges = spec["model"]["merges"]
+        self.ranks: dict[tuple[int, int], int] = {}
+        for rank, (left, right) in enumerate(merges):
+            self.ranks.setdefault((vocab[left], vocab[right]), rank)
+        self.made = [vocab[left + right] for left, right in merges]
         self.bytes_of = {i: bytes(hidden[c] for c in t) for t, i in vocab.items()}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of.update({i: t.encode() for t, i in self.added.items()})
+        self.names = {i: str(i) for i in self.bytes_of}
         self.cut_added = regex.compile("(" + "|".join(map(regex.escape, self.added)) + ")") if self.added else None
         self.pre = regex.compile(public_tokenizers.PATTERN)
         self.memo: dict[str, tuple[tuple[int, ...], str, bytes]] = {}
+        self.sizes: dict[str, int] = {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         ids = [self.first[b] for b in piece]
         if len(ids) > SHORT:
             return self._merge_long(ids)
-        pairs = self.pairs
-        none = (NONE, 0)
-        ranks = [pairs.get(p, none)[0] for p in zip(ids, ids[1:])]
+        rank_of, made = self.ranks.get, self.made
+        ranks = [rank_of(p, NONE) for p in zip(ids, ids[1:])]
         while ranks:
             low = min(ranks)
             if low == NONE:
                 break
             i = ranks.index(low)
-            ids[i] = pairs[ids[i], ids[i + 1]][1]
-            del ids[i + 1]
-            del ranks[i]
+            ids[i] = new = made[low]
+            del ids[i + 1], ranks[i]
             if i < len(ranks):
-                ranks[i] = pairs.get((ids[i], ids[i + 1]), none)[0]
+                ranks[i] = rank_of((new, ids[i + 1]), NONE)
             if i:
-                ranks[i - 1] = pairs.get((ids[i - 1], ids[i]), none)[0]
+                ranks[i - 1] = rank_of((ids[i - 1], new), NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
-        n, pairs = len(ids), self.pairs
+        n, rank_of, made = len(ids), self.ranks.get, self.made
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(r[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := pairs.get((ids[i], ids[i + 1])))]
+        heap = [(r, i, ids[i], ids[i + 1]) for i in range(n - 1) if (r := rank_of((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         while heap:
-            _, i, left, right = heapq.heappop(heap)
+            rank, i, left, right = heapq.heappop(heap)
             j = after[i] if ids[i] == left else n
             if j >= n or ids[j] != right:
                 continue
-            ids[i], ids[j] = pairs[left, right][1], -1
+            ids[i], ids[j] = made[rank], -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for a in (before[i], i):
-                if a >= 0 and (b := after[a]) < n and (r := pairs.get((ids[a], ids[b]))):
-                    heapq.heappush(heap, (r[0], a, ids[a], ids[b]))
+                if a >= 0 and (b := after[a]) < n and (r := rank_of((ids[a], ids[b]))) is not None:
+                    heapq.heappush(heap, (r, a, ids[a], ids[b]))
         return [x for x in ids if x >= 0]
 
     def chunks(self, text: str) -> list[str]:
@@ -123,13 +127,45 @@ class Codec:
     def chunk(self, text: str) -> tuple[tuple[int, ...], str, bytes]:
         """(ids, their decimal text, decoded bytes) of one chunk."""
         known = self.memo.get(text)
-        if known is None:
-            ids = [i for m in self.pre.finditer(text) for i in self.merge(m.group().encode("utf-8"))]
-            known = (tuple(ids), ",".join(map(str, ids)), self.decode_bytes(ids))
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            if len(text) <= SHORT:
-                self.memo[text] = known
+        if known is not None:
+            return known
+        if text[-1] in ".," and text[1:-1].isalpha() and max(text) < LATIN_END:  # a word, likely known, and a mark
+            (ids, shown, raw), (end, mark, tail) = self.chunk(text[:-1]), self.chunk(text[-1])
+            return ids + end, f"{shown},{mark}", raw + tail
+        ids, names = self.chunk_ids(text), self.names
+        known = (tuple(ids), ",".join([names[i] for i in ids]), self.decode_bytes(ids))
+        if len(self.memo) >= MEMO:
+            self.memo.clear()
+        if len(text) <= SHORT:
+            self.memo[text] = known
+        return known
+
+    def chunk_ids(self, text: str) -> list[int]:
+        if text[1:].isalpha() and max(text) < LATIN_END and (text[0] == " " or text[0].isalpha()):  # one pre-token
+            return self.merge(text.encode("utf-8"))
+        return [i for m in self.pre.finditer(text) for i in self.merge(m.group().encode("utf-8"))]
+
+    def counts(self, chunks: list[str]) -> list[int]:
+        """Number of ids of each chunk; added tokens count as one."""
+        get = self.sizes.get
+        out = [get(c) for c in chunks]
+        if None in out:
+            out = [self.size(c) if n is None else n for c, n in zip(chunks, out)]
+        return out
+
+    def size(self, chunk: str) -> int:
+        known = self.sizes.get(chunk)
+        if known is not None:
+            return known
+        if self.cut_added and self.cut_added.search(chunk):
+            return len(self.encode(chunk))
+        if chunk[-1:] in (".", ",") and chunk[1:-1].isalpha() and max(chunk) < LATIN_END:
+            return self.size(chunk[:-1]) + self.size(chunk[-1])
+        known = len(self.chunk_ids(chunk)) if chunk else 0
+        if len(self.sizes) >= MEMO:
+            self.sizes.clear()
+        if len(chunk) <= SHORT:
+            self.sizes[chunk] = known
         return known
 
     def encoded(self, text: str) -> list[tuple[tuple[int, ...], str, bytes]]:
