@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from civicflow.llm import bpe, edit_counts, licenses, lines, token_files, toxicity, vectors
+from civicflow.llm import bpe, decontaminate, edit_counts, jaccard, licenses, lines, token_files, toxicity, vectors
 from civicflow.llm.common import read
 
 
@@ -10,10 +10,18 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op3_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.find_contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_line_dedup(spark, sf_dir):
     return lines.dedup_lines(read(spark, sf_dir, "documents"))
 
 
+def op5_ngram_jaccard(spark, sf_dir):
+    return jaccard.components(read(spark, sf_dir, "documents"))
+
+
 def op6_token_files(spark, sf_dir):
     return token_files.token_files_digest(read(spark, sf_dir, "documents"))
 
@@ -35,5 +43,6 @@ def op10_edit_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_toxicity, op4_line_dedup, op6_token_files, op7_bpe, op8_embedding_near_dedup, op9_license_scan, op10_edit_counts)}
+    op2_toxicity, op3_benchmark_decontamination, op4_line_dedup, op5_ngram_jaccard, op6_token_files,
+    op7_bpe, op8_embedding_near_dedup, op9_license_scan, op10_edit_counts)}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": lines.SQL}
