@@ -60,6 +60,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` (staged, narrow rows) with a broadcast hint if it has at most ``rows`` rows;
+    beyond that the join is left to shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def connected_components(edges: DataFrame, name: str = "cc") -> DataFrame:
     """``edges(a, b)`` (longs) -> ``(node, component)`` for every node with an edge,
     ``component`` the smallest node reachable.

@@ -17,6 +17,7 @@ their multiplicity, null doc_id included.
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,18 +38,20 @@ class CountTree:
         self.size = 1
         while self.size < len(self.leaves):
             self.size *= 2
-        self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
-        for i, leaf in enumerate(self.leaves):
-            self.chars[self.size + i] = len(leaf)
-            self.tokens[self.size + i] = self.count(leaf)
-        for i in range(self.size - 1, 0, -1):
-            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
-            self.tokens[i] = self.tokens[2 * i] + self.tokens[2 * i + 1]
+        self.chars = self.sums([len(leaf) for leaf in self.leaves])
+        self.tokens = self.sums(c.counts(self.leaves))
         self.leaves += [""] * (self.size - len(self.leaves))
         self.encoded_chars = 0
 
-    def count(self, leaf: str) -> int:
-        return sum([len(part[0]) for part in self.codec.encoded(leaf)])
+    def sums(self, values: list[int]) -> list[int]:
+        """Leaf values and, level by level, the sums above them; the root is at 1."""
+        out = np.zeros(2 * self.size, dtype=np.int64)
+        out[self.size : self.size + len(values)] = values
+        level = self.size
+        while level > 1:
+            out[level // 2 : level] = out[level : 2 * level : 2] + out[level + 1 : 2 * level : 2]
+            level //= 2
+        return out.tolist()
 
     @property
     def total(self) -> int:
@@ -102,7 +105,7 @@ class CountTree:
         for i, part in enumerate(parts, first):
             self.leaves[i] = part
             self.chars[self.size + i] = len(part)
-            self.tokens[self.size + i] = self.count(part) if part else 0
+            self.tokens[self.size + i] = self.codec.size(part)
             self.encoded_chars += len(part)
         low, high = first + self.size, last + self.size
         while low > 1:
@@ -146,16 +149,17 @@ def recount(docs: DataFrame, path: str | None = None) -> DataFrame:
                        F.col("edits").cast(EDITS).alias("edits")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
 
 
+#: What the revisions of ``revision_edits`` write; the empty one is a deletion.
+PHRASES = ("", " corrected", ", see note 12.", "\n\n", " (revised 2024-05-01)", "-", " über", "The editors removed a sentence here. ")
+
+
 def revision_edits(docs: DataFrame) -> DataFrame:
     """A revision of every document, as edits: one for each started 1,000 characters, at a
-    place drawn from (doc_id, number). It replaces up to 40 characters by a passage of up to
-    60 characters from elsewhere in the same text (sometimes by nothing: a deletion)."""
-    n = "length(coalesce(text, ''))"
-    at = f"pmod(xxhash64(doc_id, i), {n} + 1)"
-    return docs.selectExpr(
+    place drawn from (doc_id, number). It replaces up to 40 characters by one of ``PHRASES``."""
+    phrases = "array(" + ", ".join("'" + p.replace("\n", "\\n") + "'" for p in PHRASES) + ")"
+    at = "pmod(xxhash64(doc_id, i), n + 1)"
+    return docs.selectExpr("doc_id", "text", "cast(length(coalesce(text, '')) as long) n").selectExpr(
         "doc_id", "text",
-        f"""transform(sequence(0L, cast({n} div 1000 as long)), i -> named_struct(
-              'start', cast({at} as long),
-              'end', cast({at} + pmod(xxhash64(i, doc_id), 41) as long),
-              'text', coalesce(substring(text, cast(1 + pmod(xxhash64(doc_id, i, 7), {n} + 1) as int),
-                                         cast(pmod(xxhash64(doc_id, i, 9), 61) as int)), ''))) edits""")
+        f"""transform(sequence(0L, n div 1000), i -> named_struct(
+              'start', {at}, 'end', {at} + pmod(xxhash64(i, doc_id), 41),
+              'text', element_at({phrases}, cast(1 + pmod(xxhash64(doc_id, i, 9), {len(PHRASES)}) as int)))) edits""")

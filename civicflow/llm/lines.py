@@ -27,17 +27,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import staged
+from civicflow.llm.common import checked_broadcast, staged
 
 MIN_WORDS = 4
 NEAR_WORDS = 8
 BLANKS = "[ \\\\t\\\\x0B\\\\f\\\\r]+"
+#: Blanks that a line may have beside single spaces between words.
+ODD_BLANKS = ("  ", "\\t", "\\x0B", "\\f", "\\r")
 MASK = (1 << 35) - 1
 CLASS = ["h1", "h2"]
-
-
-def _words(line: str) -> str:
-    return f"split(regexp_replace({line}, '^{BLANKS}|{BLANKS}$', ''), '{BLANKS}')"
+#: A side of at most so many narrow rows (some 10 MB) is broadcast.
+BROADCAST_ROWS = 200_000
+PLACE = "named_struct('none', __id is null, 'id', __id, 'row', __row, 'line_no', line_no)"
 
 
 def _identified(docs: DataFrame) -> DataFrame:
@@ -46,72 +47,81 @@ def _identified(docs: DataFrame) -> DataFrame:
         "__row", F.xxhash64("__text"))
 
 
+def _plain_blanks(text: str) -> str:
+    """The text with every run of blanks as one space; most texts have no other."""
+    odd = " or ".join(f"contains({text}, chr({ord(b.encode().decode('unicode_escape'))}))" if len(b) > 1 and b != "  " else f"contains({text}, '{b}')"
+                      for b in ODD_BLANKS)
+    return f"if({odd}, regexp_replace({text}, '{BLANKS}', ' '), {text})"
+
+
 def line_table(docs: DataFrame) -> DataFrame:
     """One row per line of at least MIN_WORDS words: place, class hash, keys of its halves."""
-    words = (_identified(docs).where("__text is not null")
-             .select("__id", "__row", F.posexplode(F.split("__text", "\n")).alias("line_no", "line"))
-             .select("__id", "__row", "line_no", F.expr(_words("line")).alias("w"))
-             .withColumn("n", F.expr("size(w)")).where(f"n >= {MIN_WORDS}"))
+    rows = (_identified(docs).where("__text is not null")
+            .select("__id", "__row", F.posexplode(F.split(F.expr(_plain_blanks("__text")), "\n")).alias("line_no", "line"))
+            .select("__id", "__row", "line_no", F.expr("trim(line)").alias("line"))
+            .withColumn("n", F.expr("cast(octet_length(line) - octet_length(replace(line, ' ', '')) + 1 as int)")).where(f"n >= {MIN_WORDS}"))
     halves = []
     for j, h in enumerate(("n div 2", "(n - 1) div 2")):
-        for side, start in (("first", "1"), ("last", f"n - ({h}) + 1")):
-            key = f"xxhash64('{side}', {h}, slice(w, cast({start} as int), cast({h} as int)))"
+        for side, sign in (("first", ""), ("last", "-")):
+            key = f"xxhash64('{side}', {h}, substring_index(line, ' ', cast({sign}({h}) as int)))"
             unless = "" if j == 0 else " and n % 2 = 0"
             halves.append(f"if(n >= {NEAR_WORDS}{unless}, {key}, null) k{len(halves)}")
-    return words.selectExpr("__id", "__row", "line_no", "n", "xxhash64(w) h1", "xxhash64(n, w) h2", *halves)
-
-
-PLACE = "named_struct('none', __id is null, 'id', __id, 'row', __row, 'line_no', line_no)"
-
-
-def line_classes(lines: DataFrame) -> DataFrame:
-    return lines.groupBy(*CLASS).agg(F.min(F.expr(PLACE)).alias("place"), F.count("*").alias("n_lines"), F.max("n").alias("n"),
-                                     *[F.max(f"k{i}").alias(f"k{i}") for i in range(4)])
+    return rows.selectExpr("__id", "__row", "line_no", "xxhash64(line) h1", "xxhash64(n, line) h2", *halves)
 
 
-def near_classes(docs: DataFrame, classes: DataFrame) -> DataFrame:
+def near_classes(docs: DataFrame, lines: DataFrame) -> DataFrame:
     """h1, h2 of the classes that have an earlier class within one edit."""
-    keys = classes.where(f"n >= {NEAR_WORDS}").select(*CLASS, "place", F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("k")).where("k is not null")
-    shared = keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k")
-    candidates = keys.join(shared, "k", "left_semi").select(*CLASS, "place").distinct()
-    per_doc = (candidates.groupBy(F.col("place.id").alias("__i"), F.col("place.row").alias("__r"))
-               .agg(F.collect_list(F.struct(*CLASS, "place")).alias("found")))
-    source = _identified(docs).where("__text is not null").select("__id", "__row", "__text").dropDuplicates(["__id", "__row"])
-    texts = (source.join(per_doc, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__row") == F.col("__r")))
-             .select(F.split("__text", "\n").alias("lines"), F.explode("found").alias("c"))
-             .select("c.*", F.expr(_words("lines[c.place.line_no]")).alias("w")))
-    texts = staged(texts.withColumn("n", F.size("w")), "lines-near")
-
-    over = Window.partitionBy(*CLASS).orderBy("pos")
-    words = (texts.select(*CLASS, "place", "n", F.posexplode("w").alias("pos", "word"))
+    keys = lines.select(*CLASS, F.explode(F.array(*[f"k{i}" for i in range(4)])).alias("k")).where("k is not null")
+    shared = staged(keys.groupBy("k").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("k"), "lines-halves")
+    places = lines.selectExpr(*CLASS, f"{PLACE} place", "explode(array(k0, k1, k2, k3)) k")
+    candidates = (places.join(checked_broadcast(shared, BROADCAST_ROWS), "k", "left_semi")
+                  .groupBy(*CLASS).agg(F.min("place").alias("place")))
+    candidates = staged(candidates, "lines-candidates")
+    wanted = candidates.select(*CLASS, F.col("place.id").alias("__i"), F.col("place.row").alias("__r"), F.col("place.line_no").alias("__l"))
+    source = _identified(docs).where("__text is not null").select("__id", "__row", "__text")
+    here = F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__row") == F.col("__r"))
+    if candidates.count() <= BROADCAST_ROWS:
+        here = here & (F.col("line_no") == F.col("__l"))
+        texts = (source.select("__id", "__row", F.posexplode(F.split(F.expr(_plain_blanks("__text")), "\n")).alias("line_no", "line"))
+                 .join(F.broadcast(wanted), here).select(*CLASS, "line"))
+    else:
+        per_doc = wanted.groupBy("__i", "__r").agg(F.collect_list(F.struct(*CLASS, "__l")).alias("found"))  # lines of one document
+        texts = (source.join(per_doc, here).select(F.split(F.expr(_plain_blanks("__text")), "\n").alias("lines"), F.explode("found").alias("c"))
+                 .select("c.h1", "c.h2", F.expr("lines[c.__l]").alias("line")))
+    texts = texts.selectExpr(*CLASS, "split(trim(line), ' ') w").dropDuplicates(CLASS)  # repeated rows give a line twice
+    # Sorted by place, so the running id has the order of the places.
+    texts = staged(candidates.join(texts, CLASS).orderBy("place").select(
+        *CLASS, F.monotonically_increasing_id().alias("ord"), "w", F.size("w").alias("n")), "lines-near")
+
+    over = Window.partitionBy("ord").orderBy("pos")
+    words = (texts.select("ord", "n", F.posexplode(F.expr("transform(w, x -> xxhash64(x))")).alias("pos", "word"))
+             .repartition("ord")
              .withColumn("p", F.xxhash64("word", "pos").bitwiseAND(F.lit(MASK)))
              .withColumn("s", F.xxhash64("word", F.col("n") - F.col("pos"), F.lit(1)).bitwiseAND(F.lit(MASK)))
              .withColumn("before", F.coalesce(F.sum("p").over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
              .withColumn("after", F.coalesce(F.sum("s").over(over.rowsBetween(1, Window.unboundedFollowing)), F.lit(0))))
-    variants = words.select(*CLASS, "place", F.explode(F.expr("""flatten(array(
-        array(xxhash64(n - 1, pos, before, after)),
-        array(xxhash64(n, pos, before, after + s)),
-        if(pos = n - 1, array(xxhash64(n, n, before + p, 0L)), array())))""")).alias("k"))
-    me = F.struct("place", *CLASS)
-    earliest = (variants.groupBy("k").agg(F.min(me).alias("first"), F.max(me).alias("last"))
-                .where("first <> last").select("k", "first"))
-    partner = (variants.join(earliest, "k").where((F.col("first.place") < F.col("place")))
-               .groupBy(*CLASS).agg(F.min("first").alias("first")))
-    a = texts.select(*CLASS, F.col("w").alias("a"))
-    b = texts.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2"), F.col("w").alias("b"))
-    pairs = (partner.join(a, CLASS).join(b, (F.col("first.h1") == F.col("__h1")) & (F.col("first.h2") == F.col("__h2"))))
+    variants = staged(words.select("ord", F.explode(F.expr("""concat(
+        array(xxhash64(n - 1, pos, before, after), xxhash64(n, pos, before, after + s)),
+        if(pos = n - 1, array(xxhash64(n, n, before + p, 0L)), array()))""")).alias("k")), "lines-variants")
+    earliest = staged(variants.groupBy("k").agg(F.min("ord").alias("first"), F.max("ord").alias("last"))
+                      .where("first < last").select("k", "first"), "lines-keys")
+    partner = (variants.join(checked_broadcast(earliest, BROADCAST_ROWS), "k").where("first < ord")
+               .groupBy("ord").agg(F.min("first").alias("first")))
+    a = texts.select(*CLASS, "ord", F.col("w").alias("a"))
+    b = texts.select(F.col("ord").alias("first"), F.col("w").alias("b"))
     same = "coalesce(nullif(array_position(zip_with({a}, {b}, (x, y) -> coalesce(x = y, false)), false), 0) - 1, size({a}))"
-    return pairs.where(f"""abs(size(a) - size(b)) <= 1 and {same.format(a='a', b='b')}
+    return a.join(partner, "ord").join(b, "first").where(f"""abs(size(a) - size(b)) <= 1 and {same.format(a='a', b='b')}
         + {same.format(a='reverse(a)', b='reverse(b)')} >= greatest(size(a), size(b)) - 1""").select(*CLASS)
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """__id, __row, removed (line numbers) of the documents that lose lines."""
     lines = staged(line_table(docs), "lines")
-    classes = staged(line_classes(lines), "lines-classes")
-    near = near_classes(docs, classes).withColumn("near", F.lit(True))
-    repeated = classes.join(near, CLASS, "left").where("n_lines > 1 or near").select(*CLASS, "place", "near")
-    gone = (lines.select("__id", "__row", "line_no", *CLASS).join(repeated, CLASS)
+    near = near_classes(docs, lines).withColumn("near", F.lit(True))
+    equal = (lines.groupBy(*CLASS).agg(F.min(F.expr(PLACE)).alias("place"), F.count("*").alias("n_lines"))
+             .where("n_lines > 1").select(*CLASS, "place"))
+    repeated = staged(equal.join(near, CLASS, "full"), "lines-repeated")
+    gone = (lines.select("__id", "__row", "line_no", *CLASS).join(checked_broadcast(repeated, BROADCAST_ROWS), CLASS)
             .where(F.coalesce("near", F.lit(False)) | (F.expr(PLACE) > F.col("place"))))
     return gone.groupBy("__id", "__row").agg(F.collect_set("line_no").alias("__removed"))
 
