@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from civicflow.llm import bpe, decontaminate, edit_counts, jaccard, licenses, lines, token_files, toxicity, vectors
+from civicflow.llm import bpe, decontaminate, edit_counts, jaccard, licenses, lines, substrings, token_files, toxicity, vectors
 from civicflow.llm.common import read
 
 
+def op1_substring_dedup(spark, sf_dir):
+    return substrings.dedup_substrings(read(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark, sf_dir):
     return toxicity.score_documents(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -43,6 +47,6 @@ def op10_edit_counts(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_toxicity, op3_benchmark_decontamination, op4_line_dedup, op5_ngram_jaccard, op6_token_files,
+    op1_substring_dedup, op2_toxicity, op3_benchmark_decontamination, op4_line_dedup, op5_ngram_jaccard, op6_token_files,
     op7_bpe, op8_embedding_near_dedup, op9_license_scan, op10_edit_counts)}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": lines.SQL}
