@@ -12,8 +12,9 @@ run of tokens that no extension or cut improves); only lexicon tokens and the ga
 them are touched.
 
 *Extreme values.* The best segment S of n tokens is turned into x = S - ln(n), whose
-distribution over non-toxic texts is fitted by a Gumbel law; -ln of its tail probability goes
-through a one-variable logistic fit, which gives the score. A passage is significant if its
+distribution over non-toxic texts with a segment is fitted by a Gumbel law; -ln of its tail
+probability (0 without a segment) goes through a one-variable logistic fit, which gives the
+score. Too few rows for a calibration lexicon: unit law and slope, training share as intercept. A passage is significant if its
 own tail probability is below ``SIGNIFICANT``.
 
 The calibration scores the training rows with crc32 remainder 3 by a lexicon of those with 0
@@ -168,12 +169,15 @@ class Scanner:
         return len(words), segments([(i, s) for i, s in enumerate(scores) if s > 0], self.gap)
 
 
-def statistic(n: int, found: list[tuple[int, int, float]]) -> float:
-    return max((s for *_, s in found), default=0.0) - math.log(max(n, 1))
+def statistic(n: int, found: list[tuple[int, int, float]]) -> float | None:
+    """x of the best segment; None for a text without segments, whatever its length."""
+    return max(s for *_, s in found) - math.log(n) if found else None
 
 
-def tail(x: float, law: tuple[float, float]) -> float:
-    """-ln P(X >= x) under the Gumbel law (location, scale)."""
+def tail(x: float | None, law: tuple[float, float]) -> float:
+    """-ln P(X >= x) under the Gumbel law (location, scale); 0 without a segment."""
+    if x is None:
+        return 0.0
     e = math.exp(min(50.0, -(x - law[0]) / law[1]))
     return min(60.0, -math.log(-math.expm1(-e))) if e > 1e-26 else 60.0
 
@@ -184,15 +188,18 @@ def calibrate(train: DataFrame, lexicon: dict[str, float], gap: float) -> tuple[
     def run(batches):
         scanner = Scanner(lexicon, gap)
         for batch in batches:
-            bins = [round(8 * min(200.0, max(-30.0, statistic(*scanner.scan(t))))) for t in batch.column(0).to_pylist()]
+            stats = [statistic(*scanner.scan(t)) for t in batch.column(0).to_pylist()]
+            bins = [None if x is None else round(8 * min(200.0, max(-30.0, x))) for x in stats]
             yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), batch.column(1)], names=["bin", "toxic"])
 
     bins = train.where("part = 1").select("text", "toxic").mapInArrow(run, "bin long, toxic int").groupBy("bin").agg(
         F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("clean")).collect()
-    bins = sorted((r["bin"] / 8, r["toxic"], r["clean"]) for r in bins)
-    clean = sum(b[2] for b in bins)
-    mean = sum(b[0] * b[2] for b in bins) / clean if clean else 0.0
-    spread = math.sqrt(sum((b[0] - mean) ** 2 * b[2] for b in bins) / clean) if clean else 1.0
+    bins = [(None if r["bin"] is None else r["bin"] / 8, r["toxic"], r["clean"]) for r in bins]
+    bins.sort(key=lambda b: (b[0] is not None, b[0] or 0.0))
+    found = [b for b in bins if b[0] is not None]
+    clean = sum(b[2] for b in found)
+    mean = sum(b[0] * b[2] for b in found) / clean if clean else 0.0
+    spread = math.sqrt(sum((b[0] - mean) ** 2 * b[2] for b in found) / clean) if clean else 1.0
     scale = max(0.25, spread * math.sqrt(6) / math.pi)
     law = (mean - 0.5772156649 * scale, scale)
     a, b = 0.0, 1.0
@@ -230,7 +237,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     lexicon, gap = fit_lexicon(counted)
     # The calibration rows must be new to the lexicon that scores them.
     half, half_gap = fit_lexicon(counted.where("part = 0"))
-    return Model(lexicon, gap, *(calibrate(train, half, half_gap) if half else ((0.0, 1.0), (0.0, 1.0))))
+    return Model(lexicon, gap, *(calibrate(train, half, half_gap) if half else uncalibrated(counted)))
+
+
+def uncalibrated(counted: DataFrame) -> tuple[tuple[float, float], tuple[float, float]]:
+    """Law and logistic where the first part gives no lexicon: unit law and slope, and the
+    toxic share of the training texts (one more clean) as the score without evidence."""
+    t = counted.where("f = '#texts'").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
+    return (0.0, 1.0), (math.log(((t["toxic"] or 0) + 0.5) / ((t["clean"] or 0) + 1.5)), 1.0)
 
 
 PASSAGES = "array<struct<first:long,last:long,score:double>>"

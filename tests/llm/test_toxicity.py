@@ -75,3 +75,17 @@ def test_odd_inputs(spark):
         kept = toxicity.drop_toxic(docs, lab)
         assert kept.columns == docs.columns and kept.count() == 5
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_texts_without_evidence_score_alike_and_stay(spark):
+    """Short, empty and null texts without lexicon words take the one score without evidence, also
+    where the training rows are too few to calibrate on."""
+    clean = [(i, f"plain words about topic number {i}") for i in range(40)]
+    toxic = [(100 + i, "vile slur insult here again") for i in range(12)]
+    bare = [(200, ""), (201, None), (202, "plain")]
+    docs = spark.createDataFrame(clean + toxic + bare, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i >= 100)) for i, _ in clean + toxic], "doc_id long, toxic int")
+    rows = {r["doc_id"]: r for r in toxicity.score_documents(docs, labels).collect()}
+    assert len({rows[i]["score"] for i in (200, 201, 202)}) == 1
+    assert {rows[i]["predicted"] for i in (200, 201, 202)} == {0}
+    assert {r["doc_id"] for r in toxicity.drop_toxic(docs, labels).collect()} >= {i for i, _ in clean + bare}
