@@ -221,8 +221,10 @@ def slope(pixels: DataFrame, dx_m: float, dy_m: float) -> DataFrame:
     v = F.col("value")
     left, right = F.lag("value").over(wx), F.lead("value").over(wx)
     up, down = F.lag("value").over(wy), F.lead("value").over(wy)
-    has_l, has_r = F.lag("col").over(wx).isNotNull(), F.lead("col").over(wx).isNotNull()
-    has_u, has_d = F.lag("row").over(wy).isNotNull(), F.lead("row").over(wy).isNotNull()
+    has_l, has_r = (F.coalesce(F.lag("col").over(wx) == F.col("col") - 1, F.lit(False)),
+                    F.coalesce(F.lead("col").over(wx) == F.col("col") + 1, F.lit(False)))
+    has_u, has_d = (F.coalesce(F.lag("row").over(wy) == F.col("row") - 1, F.lit(False)),
+                    F.coalesce(F.lead("row").over(wy) == F.col("row") + 1, F.lit(False)))
     gx = (
         F.when(has_l & has_r, (right - left) / (2.0 * dx_m))
         .when(has_r, (right - v) / dx_m)
@@ -280,6 +282,8 @@ def nearest(points: DataFrame, stations: DataFrame, key: str, station_key: str,
             (F.col("_py") - radius <= F.col("_y0")) & (F.col("_py") + radius >= F.col("_y1"))
             & (F.col("_px") - radius <= F.col("_x0")) & (F.col("_px") + radius >= F.col("_x1"))
         )
+        # No station at all, or a point without coordinates: final at once, with a null station.
+        covers = F.coalesce(covers, F.lit(True))
         scored = todo.join(best, key, "left").crossJoin(F.broadcast(ext))  # ext: one-row frame
         scored = scored.withColumn("_final", covers | F.coalesce(F.col("_b._d") <= bound, F.lit(False)))
         final = scored.filter("_final").select(

@@ -26,6 +26,7 @@ K = 4
 K_RANGE = range(2, 12)
 SEED = 42
 N_INIT = 10
+MAX_ITER = 300
 CATEGORY_K = 3
 TOP_N_CATEGORIES = 5
 MIN_CATEGORY_SIZE = 200
@@ -51,7 +52,7 @@ def standardise(df: DataFrame, cols=("lat", "long"), group: str | None = None) -
 def fit_best(points: DataFrame, k: int, n_init: int = N_INIT, seed: int = SEED) -> KMeansModel:
     """M2: the lowest within-cluster sum of squares over ``n_init`` seeded fits."""
     def one(s):
-        return KMeans(k=k, seed=s, featuresCol="features", predictionCol="raw_cluster").fit(points)
+        return KMeans(k=k, seed=s, maxIter=MAX_ITER, featuresCol="features", predictionCol="raw_cluster").fit(points)
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         models = list(pool.map(one, [seed + i for i in range(n_init)]))
@@ -71,7 +72,7 @@ def elbow(points: DataFrame, k_range=K_RANGE, n_init: int = N_INIT) -> DataFrame
 
     def one(job):
         k, s = job
-        return k, KMeans(k=k, seed=s, featuresCol="features", predictionCol="raw_cluster").fit(points)
+        return k, KMeans(k=k, seed=s, maxIter=MAX_ITER, featuresCol="features", predictionCol="raw_cluster").fit(points)
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         fits = list(pool.map(one, jobs))

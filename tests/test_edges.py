@@ -161,3 +161,17 @@ def test_tract_edge(spark):
     df = spark.createDataFrame([(6, 41, 101, -666666666)], "s int, c int, t int, inc long")
     r = df.select(L.geoid(F.col("s"), F.col("c"), F.col("t")).alias("g"), L.negative_to_null(F.col("inc")).alias("i")).collect()[0]
     assert r["g"] == "06041000101" and r["i"] is None
+
+
+def test_nearest_keeps_points_without_answer(spark):
+    pts = spark.createDataFrame([(1, 10.0, 20.0), (2, None, 20.0)], "k int, lat double, long double")
+    st = spark.createDataFrame([(7, 10.1, 20.1)], "sid int, lat double, long double")
+    got = {r["k"]: r["station"] for r in G.nearest(pts, st, "k", "sid", 0.5).collect()}
+    assert got == {1: 7, 2: None}
+    none = {r["k"]: r["station"] for r in G.nearest(pts, st.where("false"), "k", "sid", 0.5).collect()}
+    assert none == {1: None, 2: None}
+
+
+def test_slope_uses_adjacent_pixels_only(spark):
+    px = spark.createDataFrame([(r, c, float(c)) for r in range(4) for c in (0, 1, 3, 4)], "row int, col int, value double")
+    assert {r["slope_deg"] for r in G.slope(px, 1.0, 1.0).collect()} == {45.0}
