@@ -33,6 +33,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,7 @@ BLOCK = 1024
 BINS = 256
 SIEVE = 20  # m is one SIEVE-th of the smallest overlap
 BROADCAST_ROWS = 400_000
-MEMO = 1_000_000
+PART = 4 << 20
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -55,27 +56,52 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _parts(texts: pa.Array):
+    """Slices of about ``PART`` bytes of text, at least one row each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // PART)) + 1).tolist(), len(texts)]
+    return (texts.slice(i, j - i) for i, j in zip(cuts, cuts[1:]) if j > i)
+
+
+def _rolled(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all runs of n word hashes."""
+    if not 0 < n <= len(h):
+        return np.empty(0, dtype=np.uint64)
+    out = np.zeros(len(h) - n + 1, dtype=np.uint64)
+    for i in range(n):
+        out = mix(out * MULTIPLIER + h[i : len(h) - n + 1 + i])
+    return out
+
+
 class Shingler:
-    """Sets of shingle hashes; hashes of words are remembered."""
+    """Sets of shingle hashes."""
 
     def __init__(self, words: int):
-        self.words, self.memo = words, {}
+        self.words = words
 
     def set_of(self, text: str | None) -> np.ndarray:
-        ws = (text or "").encode("utf-8").lower().split()  # bytes: A-Z and ASCII blanks alone
-        if not ws:
-            return np.empty(0, dtype=np.uint64)
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
-        for w in set(ws).difference(memo):
-            memo[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(memo.__getitem__, ws), dtype=np.uint64, count=len(ws))
-        n = min(self.words, len(ws))
-        out = np.zeros(len(ws) - n + 1, dtype=np.uint64)
-        for i in range(n):
-            out = mix(out * MULTIPLIER + h[i : len(h) - n + 1 + i])
-        return np.unique(out + np.uint64(n))
+        return next(self.sets_of(pa.array([text], pa.string())))
+
+    def sets_of(self, texts: pa.Array):
+        """The sorted distinct shingle hashes of each text, in order. Only A-Z is lower-cased and
+        only ASCII blanks part words; a word is hashed once for each slice of the batch."""
+        for part in _parts(texts):
+            split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part, "")))
+            flat = split.flatten()
+            full = pc.greater(pc.binary_length(flat), 0)
+            doc = np.repeat(np.arange(len(part)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+            sizes = np.bincount(doc[full.to_numpy(zero_copy_only=False)], minlength=len(part))
+            coded = flat.filter(full).dictionary_encode()
+            known = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.to_pylist()), dtype=np.uint64, count=len(coded.dictionary))
+            h = known[coded.indices.to_numpy()]
+            rolled = _rolled(h, self.words)
+            start = 0
+            for size in sizes.tolist():
+                n = min(self.words, size)
+                found = rolled[start : start + size - n + 1] if n == self.words else _rolled(h[start : start + size], n)
+                start += size
+                found = np.sort(found + np.uint64(n))
+                yield found[np.append(True, found[1:] != found[:-1])] if len(found) else found
 
 
 def least_overlap(n, percent: int):
@@ -87,11 +113,9 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
     """doc_id, n, s1, s2 (hash of the set), low (first shingles by hash), need (how many of
     them must be shared)."""
     def run(batches):
-        shingler = Shingler(words)
         for batch in batches:
             cols: list[list] = [[], [], [], [], []]
-            for text in batch.column(1).to_pylist():
-                s = shingler.set_of(text)
+            for s in Shingler(words).sets_of(batch.column(1)):
                 n = len(s)
                 o = int(least_overlap(n, percent))
                 m = o // SIEVE
@@ -130,9 +154,8 @@ def _survivors(sets: DataFrame) -> DataFrame:
 def _tokens(docs: DataFrame, survivors: DataFrame, words: int) -> DataFrame:
     """node, n, tokens array<long> (the whole set) of the surviving nodes."""
     def run(batches):
-        shingler = Shingler(words)
         for batch in batches:
-            found = [shingler.set_of(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            found = [s.view(np.int64) for s in Shingler(words).sets_of(batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["node", "n", "tokens"])
 
