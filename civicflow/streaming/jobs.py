@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,11 +60,20 @@ def run_available_now(stream: DataFrame, out: str, checkpoint: str, mode: str =
     q.awaitTermination()
 
 
+def _written(spark: SparkSession, out: str) -> DataFrame | None:
+    """What a job wrote, None if it wrote no batch; every other read error is raised."""
+    try:
+        return spark.read.parquet(out)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def read_latest(spark: SparkSession, out: str, keys: list[str], schema: str) -> DataFrame:
     """Final table of an update-mode job: the newest version of each key."""
-    try:
-        df = spark.read.parquet(out)
-    except Exception:  # noqa: BLE001 - no batch written (empty input)
+    df = _written(spark, out)
+    if df is None:  # empty input
         return spark.createDataFrame([], schema)
     cols = [c for c in df.columns if c not in keys and c != "batch_id"]
     latest = df.groupBy(*keys).agg(F.max_by(F.struct(*cols), F.col("batch_id")).alias("_v"))
@@ -107,10 +117,8 @@ def dedupe_stream(spark: SparkSession, path: str, schema: str, key: str, ts: str
     d = ev.dropDuplicatesWithinWatermark([key]).select(key)
     out, ck = _paths(spark, "dedupe")
     run_available_now(d, out, ck, mode="append")
-    try:
-        return spark.read.parquet(out).select(key)
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], f"{key} long")
+    df = _written(spark, out)
+    return spark.createDataFrame([], f"{key} long") if df is None else df.select(key)
 
 
 def scoring_stream(spark: SparkSession, path: str, schema: str, score: Callable[[DataFrame], DataFrame],
@@ -119,10 +127,8 @@ def scoring_stream(spark: SparkSession, path: str, schema: str, score: Callable[
     src = file_stream(spark, path, schema)
     out, ck = _paths(spark, "scoring")
     run_available_now(src, out, ck, mode="append", transform=score)
-    try:
-        return spark.read.parquet(out).drop("batch_id")
-    except Exception:  # noqa: BLE001
-        return spark.createDataFrame([], out_schema)
+    df = _written(spark, out)
+    return spark.createDataFrame([], out_schema) if df is None else df.drop("batch_id")
 
 
 def batch_weekly_counts(df: DataFrame, ts: str, key: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Property checks on the scalable re-formulations."""
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -61,3 +62,11 @@ def test_stream_equals_batch(spark):
     stream = jobs.weekly_counts_stream(spark, path, schema, "o_orderdate", "o_orderpriority")
     batch = jobs.batch_weekly_counts(spark.read.parquet(path), "o_orderdate", "o_orderpriority")
     assert stream.exceptAll(batch).count() == 0 and batch.exceptAll(stream).count() == 0
+
+
+def test_stream_output_missing_is_empty_corrupt_is_an_error(spark, tmp_path):
+    assert jobs.read_latest(spark, str(tmp_path / "none"), ["k"], "k long, n long").count() == 0
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part-0.parquet").write_bytes(b"not a parquet file")
+    with pytest.raises(Exception):
+        jobs.read_latest(spark, str(tmp_path / "bad"), ["k"], "k long, n long")
