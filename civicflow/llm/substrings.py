@@ -17,7 +17,9 @@ document with a smaller doc_id. Windows are judged on the input.
 4. *Hot anchors.* An anchor with more than ``HOT`` distinct segments (the border of a passage that
    very many texts hold) would crowd one shard. Its segments are taken apart into windows, and
    equal windows find their smallest document by one aggregate: exact, and spread by window.
-5. The intervals are gathered per document, and the kept words are joined.
+5. What is found of a segment holds wherever its holder has it: intervals and hot windows go, as
+   places in the segment, to every other occurrence in rows of that doc_id.
+6. The intervals are gathered per document, and the kept words are joined.
 
 Defined cases: null text has no words; a document shorter than the window loses nothing; a
 repeated passage within one document stays; rows with one doc_id count as one document (each
@@ -241,7 +243,7 @@ def repeated_intervals(docs: np.ndarray, lengths: np.ndarray, ids: np.ndarray, w
 
 
 SEGMENT = "struct<anchor:long,h1:long,h2:long,pos:int,len:int>"
-INTERVAL = "doc long, row long, first int, last int"
+INTERVAL = "doc long, row long, pos int, first int, last int"  # first and last: words of the segment at pos
 
 
 def _scanned(docs: DataFrame, window: int, gram: int) -> DataFrame:
@@ -278,26 +280,26 @@ def _cut(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
                 rolled = Hashed(h) if any(p["shard"] is None for p in parts) else None
                 for p in parts:
                     if p["shard"] is not None:
-                        out.append((p["shard"], doc, row, p["pos"], b" ".join(words[p["pos"] : p["pos"] + p["len"]]), None, None))
+                        out.append((p["shard"], doc, row, p["pos"], 0, b" ".join(words[p["pos"] : p["pos"] + p["len"]]), None, None))
                     else:
                         at = np.arange(p["pos"], p["pos"] + p["len"] - window + 1)
                         one, two = (x.view(np.int64).tolist() for x in rolled.runs(at, window))
-                        out += [(None, doc, row, a, None, x, y) for a, x, y in zip(at.tolist(), one, two)]
+                        out += [(None, doc, row, p["pos"], a, None, x, y) for a, x, y in zip(range(len(at)), one, two)]
                 if len(out) > 50_000:
                     yield _batch(out)
                     out = []
             if out:
                 yield _batch(out)
 
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-    names = ["shard", "doc", "row", "pos", "words", "w1", "w2"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    names = ["shard", "doc", "row", "pos", "at", "words", "w1", "w2"]
 
     def _batch(out):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
 
     joined = docs.join(wanted.withColumnRenamed("doc", "__d").withColumnRenamed("row", "__r"),
                        (F.col("doc") == F.col("__d")) & (F.col("row") == F.col("__r")))
-    return joined.select("doc", "row", "text", "parts").mapInArrow(run, "shard long, doc long, row long, pos int, words binary, w1 long, w2 long")
+    return joined.select("doc", "row", "text", "parts").mapInArrow(run, "shard long, doc long, row long, pos int, at int, words binary, w1 long, w2 long")
 
 
 def _search(contents: DataFrame, shards: int, window: int) -> DataFrame:
@@ -305,15 +307,15 @@ def _search(contents: DataFrame, shards: int, window: int) -> DataFrame:
     def solve(rows):
         docs, lengths, ids, words = np.array([r[1] for r in rows]), [], [], {}
         for r in rows:
-            part = [words.setdefault(w, len(words) + 1) for w in r[4].split()]
+            part = [words.setdefault(w, len(words) + 1) for w in r[5].split()]
             lengths.append(len(part))
             ids += part
         which, first, last = repeated_intervals(docs, np.array(lengths), np.array(ids, dtype=np.int64), window)
         pos = np.array([r[3] for r in rows])[which]
         row = np.array([r[2] for r in rows])[which]
         return pa.RecordBatch.from_arrays(
-            [pa.array(docs[which]), pa.array(row), pa.array((pos + first).astype(np.int32)), pa.array((pos + last + window).astype(np.int32))],
-            names=["doc", "row", "first", "last"])
+            [pa.array(docs[which]), pa.array(row), pa.array(pos.astype(np.int32)), pa.array(first.astype(np.int32)),
+             pa.array((last + window).astype(np.int32))], names=["doc", "row", "pos", "first", "last"])
 
     def run(batches):
         now, rows = None, []
@@ -327,7 +329,7 @@ def _search(contents: DataFrame, shards: int, window: int) -> DataFrame:
         if rows:
             yield solve(rows)
 
-    own = contents.where("shard is not null").select("shard", "doc", "row", "pos", "words")
+    own = contents.where("shard is not null").select("shard", "doc", "row", "pos", "at", "words")
     return own.repartition(shards, "shard").sortWithinPartitions("shard").mapInArrow(run, INTERVAL)
 
 
@@ -338,8 +340,9 @@ def removed_intervals(docs: DataFrame, scanned: DataFrame, window: int) -> DataF
     held = staged(all_segments.join(checked_broadcast(shared, BROADCAST_ROWS), "anchor", "left_semi"), "substring-held")
     key = ["anchor", "h1", "h2"]
     distinct = staged(held.groupBy(*key).agg(F.min(F.struct("doc", "row", "pos", "len")).alias("f")), "substring-distinct")
-    copies = (held.join(distinct, key).where(F.col("doc") > F.col("f.doc"))
-              .select("doc", "row", F.col("pos").alias("first"), (F.col("pos") + F.col("len")).alias("last")))
+    others = staged(held.join(distinct, key).where("doc > f.doc or row <> f.row or pos <> f.pos").select(
+        "doc", "row", "pos", "len", F.col("f.doc").alias("of"), F.col("f.row").alias("of_row"), F.col("f.pos").alias("of_pos")), "substring-others")
+    copies = others.where("doc > of").select("doc", "row", F.col("pos").alias("first"), (F.col("pos") + F.col("len")).alias("last"))
     words = distinct.select(F.sum("f.len")).first()[0]
     if not words:
         return copies
@@ -350,11 +353,16 @@ def removed_intervals(docs: DataFrame, scanned: DataFrame, window: int) -> DataF
     wanted = staged(routed.groupBy("doc", "row").agg(F.collect_list(F.struct("shard", "pos", "len")).alias("parts")), "substring-wanted")
     contents = staged(_cut(_only(docs, wanted), wanted, window), "substring-contents")
     found = _search(contents, shards, window)
-    windows = contents.where("shard is null").select("doc", "row", "pos", "w1", "w2")
+    windows = contents.where("shard is null").select("doc", "row", "pos", "at", "w1", "w2")
     smallest = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
     apart = windows.join(smallest, ["w1", "w2"]).where("doc > least").select(
-        "doc", "row", F.col("pos").alias("first"), (F.col("pos") + window).alias("last"))
-    return copies.union(found).union(apart)
+        "doc", "row", "pos", F.col("at").alias("first"), (F.col("at") + window).alias("last"))
+    again = (others.where("doc = of").groupBy(F.col("of").alias("doc"), F.col("of_row").alias("row"), F.col("of_pos").alias("pos"))
+             .agg(F.collect_set(F.struct("row", "pos")).alias("again")))
+    here = F.array(F.struct("row", "pos"))
+    placed = (found.union(apart).join(again, ["doc", "row", "pos"], "left")
+              .select("doc", "first", "last", F.explode(F.when(F.col("again").isNull(), here).otherwise(F.concat(here, "again"))).alias("p")))
+    return copies.union(placed.select("doc", "p.row", F.col("p.pos") + F.col("first"), F.col("p.pos") + F.col("last")))
 
 
 def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -62,6 +62,17 @@ def test_equals_brute_force(spark, rows, monkeypatch):
     assert sorted(map(tuple, substrings.dedup_substrings(df, 6, 3).collect()), key=str) == want
 
 
+def test_block_repeated_in_one_document(spark, monkeypatch):
+    rng = random.Random(4)
+    x, p, y, z = ([f"{c}{rng.randint(0, 999)}" for _ in range(15)] for c in "xpyz")
+    rows = [(1, " ".join(z + p + z)), (2, " ".join(x + p + y + x + p + y)), (2, " ".join(y[3:] + x + p + y)), (5, " ".join(p + x + p + y))]
+    want = brute(rows, 6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, substrings.dedup_substrings(df, 6, 3).collect()), key=str) == want
+    monkeypatch.setattr(substrings, "HOT", 0)
+    assert sorted(map(tuple, substrings.dedup_substrings(df, 6, 3).collect()), key=str) == want
+
+
 def test_given_table(spark):
     df = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     want = brute([tuple(r) for r in df.select("doc_id", "text").collect()], 50)
