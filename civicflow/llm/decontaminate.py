@@ -12,7 +12,11 @@ a shingle is five words, or all words of an item that has fewer.
    differing bits at least one block differs in three bits or fewer, so each item stores
    every block value within three flips and each content looks up its four: no fingerprint
    within the radius is missed.
-4. *Verification.* Weighted Jaccard similarity (the weight of a shingle is its number of
+4. *Beyond the radius.* At a similarity of 0.8 some 2 % of fingerprints differ in more bits. A
+   content and an item that are similar enough share one of the first fifth of their shingles
+   in any common order; with the item shingles that fewest items have first (and shingles of
+   no item before them), one join on these prefixes adds every pair the index lacks.
+5. *Verification.* Weighted Jaccard similarity (the weight of a shingle is its number of
    occurrences), exactly, by one join on (item, shingle).
 
 Only DataFrame functions are used. The benchmark's shingles are broadcast if there are at
@@ -25,10 +29,10 @@ with a null id match nothing, repeated items count once; a document's other colu
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import staged
+from civicflow.llm.common import checked_broadcast, staged
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -74,6 +78,14 @@ def fingerprints(rows: DataFrame, by: list[str]) -> DataFrame:
     return sums.selectExpr(*by, f"({bits}) fp")
 
 
+def prefixes(rows: DataFrame, by: list[str], weight: str) -> DataFrame:
+    """by..., k, h: the shingles, by (f, h), that two sets of SIMILARITY cannot all differ in."""
+    over = Window.partitionBy(*by)
+    before = F.sum(weight).over(over.orderBy("f", "h").rowsBetween(Window.unboundedPreceding, -1))
+    return (rows.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("total", F.sum(weight).over(over))
+            .where(f"before <= total - ceil({SIMILARITY} * total) and f > 0").select(*by, "k", "h"))
+
+
 def contaminated_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """__id, __row, start, n (words), item, similarity of every verified window."""
     items = staged(benchmark_items(benchmark), "decontaminate-items")
@@ -116,11 +128,17 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stored = (item_fp.selectExpr("item", "k", "fp item_fp", f"explode(array({', '.join(blocks)})) b")
               .selectExpr("item", "k", "item_fp", "b.block block", f"explode(transform(array({masks}), m -> b.value ^ m)) value"))
     asked = content_fp.selectExpr(*CONTENT, "k", "fp", f"explode(array({', '.join(blocks)})) b").selectExpr(*CONTENT, "k", "fp", "b.block block", "b.value value")
-    candidates = (asked.join(stored, ["block", "value", "k"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS}")
-                  .select(*CONTENT, "item").distinct())
+    within = asked.join(stored, ["block", "value", "k"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS}").select(*CONTENT, "item")
+
+    weights = content_rows.groupBy(*CONTENT, "k", "h").agg(F.count("*").alias("a"))
+    item_weights = shingles.groupBy("item", "k", "h").agg(F.count("*").alias("b"))
+    held = staged(item_weights.groupBy("h").agg(F.count("*").alias("f")), "decontaminate-held")
+    first = staged(prefixes(item_weights.join(held, "h"), ["item"], "b"), "decontaminate-prefixes")
+    own = weights.join(checked_broadcast(held, BROADCAST_ROWS), "h", "left").withColumn("f", F.coalesce("f", F.lit(0)))
+    beyond = prefixes(own, CONTENT, "a").join(checked_broadcast(first, BROADCAST_ROWS), ["k", "h"]).select(*CONTENT, "item")
+    candidates = within.union(beyond).distinct()
 
-    weights = content_rows.groupBy(*CONTENT, "h").agg(F.count("*").alias("a"))
-    item_weights = shingles.groupBy("item", "h").agg(F.count("*").alias("b"))
+    weights, item_weights = weights.drop("k"), item_weights.drop("k")
     totals = content_rows.groupBy(*CONTENT).agg(F.count("*").alias("na"))
     item_totals = items.select("item", F.size("sh").alias("nb"))
     shared = (candidates.join(weights, CONTENT).join(item_weights, ["item", "h"])

@@ -86,6 +86,15 @@ def test_given_tables(spark):
     assert "Python" not in got._jdf.queryExecution().toString()
 
 
+def test_windows_at_the_threshold(spark):
+    rng = random.Random(6)
+    texts = [[f"w{rng.randint(0, 10**6)}" for _ in range(49)] for _ in range(300)]  # 45 shingles; one changed word leaves 40 of 50
+    items = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join([*w[:20], "changed", *w[21:]])) for i, w in enumerate(texts)], "doc_id long, text string")
+    got = op.find_contamination(docs, items).select("doc_id", "item_ids", "similarity").collect()
+    assert sorted(map(tuple, got)) == [(i, str(i), 0.8) for i in range(300)]
+
+
 def test_empty(spark, tables):
     docs, benchmark, *_ = tables
     assert op.find_contamination(docs.limit(0), benchmark).count() == 0
