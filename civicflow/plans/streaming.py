@@ -39,7 +39,7 @@ def q_stream_station_daily(spark, sf_dir):
 
 def q_stream_dedupe(spark, sf_dir):
     """Line items re-send their order; keep one record per order."""
-    return jobs.dedupe_stream(spark, table_path(sf_dir, "lineitem"), LINEITEM_SCHEMA, "l_orderkey", "l_shipdate")
+    return jobs.dedupe_stream(spark, table_path(sf_dir, "lineitem"), LINEITEM_SCHEMA, "l_orderkey")
 
 
 def q_stream_scoring(spark, sf_dir):

@@ -1,11 +1,12 @@
 """Structured Streaming versions of the batch operators.
 
-Every job reads a file source with an explicit schema, keeps state bounded with a
-watermark, and writes through ``foreachBatch`` into a Parquet table partitioned by
-batch id (overwriting a batch's partition makes a replayed batch idempotent).
-``read_latest`` then returns the newest row per key -- with update mode that is the
-final aggregate. ``availableNow`` processes what is there and stops, so a run over
-landed files equals the batch result.
+Every job reads a file source with an explicit schema and writes through
+``foreachBatch`` into a Parquet table partitioned by batch id (overwriting a batch's
+partition makes a replayed batch idempotent). Aggregates are written as the batch's
+partial counts and sums and merged at read, so no state is held between batches and a
+row counts however late it comes: landed files need not be in time order.
+``availableNow`` processes what is there and stops, so a run over landed files equals
+the batch result.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ from civicflow.functions.datetime import week_start
 from civicflow.operators import weather
 from civicflow.session import scratch_path
 
-# Monday-aligned weekly windows (the epoch is a Thursday, so +4 days).
-WEEK = "7 days"
-WEEK_OFFSET = "4 days"
+MEANS = {"TMAX": "tmax_avg", "TMIN": "tmin_avg", "PRCP": "prcp_avg"}
+FLAGS = {"AWND_bool": "severe_wind", "severe_weather_event": "severe_weather_event"}
 
 
 def file_stream(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -80,45 +80,45 @@ def read_latest(spark: SparkSession, out: str, keys: list[str], schema: str) ->
     return latest.select(*keys, "_v.*")
 
 
-def weekly_counts_stream(spark: SparkSession, path: str, schema: str, ts: str, key: str,
-                         watermark: str = "14 days") -> DataFrame:
-    """Weekly counts per key with a watermark; returns the final counts."""
-    src = file_stream(spark, path, schema)
-    ev = src.select(F.col(ts).cast("timestamp").alias("_ts"), F.col(key).alias("key")).withWatermark("_ts", watermark)
-    agg = ev.groupBy(F.window("_ts", WEEK, WEEK, WEEK_OFFSET).alias("w"), "key").agg(F.count(F.lit(1)).alias("n"))
-    agg = agg.select(F.to_date(F.col("w.start")).alias("week_start"), "key", F.col("n").cast("long").alias("n"))
+def weekly_counts_stream(spark: SparkSession, path: str, schema: str, ts: str, key: str) -> DataFrame:
+    """Weekly counts per key; returns the final counts."""
     out, ck = _paths(spark, "weekly")
-    run_available_now(agg, out, ck)
-    return read_latest(spark, out, ["week_start", "key"], "week_start date, key string, n long")
+    run_available_now(file_stream(spark, path, schema), out, ck, mode="append",
+                      transform=lambda batch: batch_weekly_counts(batch, ts, key))
+    df = _written(spark, out)
+    if df is None:  # empty input
+        return spark.createDataFrame([], "week_start date, key string, n long")
+    return df.groupBy("week_start", "key").agg(F.sum("n").alias("n"))
 
 
-def daily_station_stream(spark: SparkSession, path: str, schema: str, to_station_day: Callable[[DataFrame], DataFrame],
-                         watermark: str = "3 days") -> DataFrame:
-    """The daily weather aggregate (G1) kept current in update mode."""
-    src = file_stream(spark, path, schema)
-    sd = weather.station_day_flags(to_station_day(src))
-    sd = sd.withColumn("_ts", F.col("DATE").cast("timestamp")).withWatermark("_ts", watermark)
-    agg = sd.groupBy("_ts").agg(
-        F.avg("TMAX").alias("tmax_avg"), F.avg("TMIN").alias("tmin_avg"), F.avg("PRCP").alias("prcp_avg"),
-        F.max("AWND_bool").alias("severe_wind"), F.max("severe_weather_event").alias("severe_weather_event"),
-    ).select(F.to_date("_ts").alias("DATE"), "tmax_avg", "tmin_avg", "prcp_avg", "severe_wind", "severe_weather_event")
+def daily_station_stream(spark: SparkSession, path: str, schema: str,
+                         to_station_day: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The daily weather aggregate (G1), each batch as sums, counts and flags per day."""
+
+    def partial(batch: DataFrame) -> DataFrame:
+        sd = weather.station_day_flags(to_station_day(batch)).filter(F.col("DATE").isNotNull())
+        return sd.groupBy("DATE").agg(
+            *[f(c).alias(f"{c}_{name}") for c in MEANS for f, name in ((F.sum, "sum"), (F.count, "n"))],
+            *[F.max(c).alias(c) for c in FLAGS])
+
     out, ck = _paths(spark, "daily")
-    run_available_now(agg, out, ck)
-    return read_latest(
-        spark, out, ["DATE"],
-        "DATE date, tmax_avg double, tmin_avg double, prcp_avg double, severe_wind int, severe_weather_event int",
-    )
+    run_available_now(file_stream(spark, path, schema), out, ck, mode="append", transform=partial)
+    df = _written(spark, out)
+    if df is None:
+        return spark.createDataFrame(
+            [], "DATE date, tmax_avg double, tmin_avg double, prcp_avg double, severe_wind int, severe_weather_event int")
+    return df.groupBy("DATE").agg(
+        *[F.try_divide(F.sum(f"{c}_sum"), F.sum(f"{c}_n")).alias(a) for c, a in MEANS.items()],
+        *[F.max(c).alias(a) for c, a in FLAGS.items()])
 
 
-def dedupe_stream(spark: SparkSession, path: str, schema: str, key: str, ts: str, watermark: str = "30 days") -> DataFrame:
-    """Re-sent records dropped within the watermark (one row per key)."""
-    src = file_stream(spark, path, schema)
-    ev = src.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", watermark)
-    d = ev.dropDuplicatesWithinWatermark([key]).select(key)
+def dedupe_stream(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """Re-sent records dropped, whenever they come (one row per key)."""
     out, ck = _paths(spark, "dedupe")
-    run_available_now(d, out, ck, mode="append")
+    run_available_now(file_stream(spark, path, schema), out, ck, mode="append",
+                      transform=lambda batch: batch.select(key).distinct())
     df = _written(spark, out)
-    return spark.createDataFrame([], f"{key} long") if df is None else df.select(key)
+    return spark.createDataFrame([], f"{key} long") if df is None else df.select(key).distinct()
 
 
 def scoring_stream(spark: SparkSession, path: str, schema: str, score: Callable[[DataFrame], DataFrame],
@@ -132,7 +132,7 @@ def scoring_stream(spark: SparkSession, path: str, schema: str, score: Callable[
 
 
 def batch_weekly_counts(df: DataFrame, ts: str, key: str) -> DataFrame:
-    """The batch twin of T1 (for tests): date_trunc('week') counts."""
+    """Weekly counts of a table, or of one batch of T1: date_trunc('week') counts."""
     return df.groupBy(week_start(F.col(ts)).alias("week_start"), F.col(key).alias("key")).agg(
         F.count(F.lit(1)).cast("long").alias("n")
     )
