@@ -85,9 +85,9 @@ def q_miscategorised(spark, sf_dir):
 
 
 def q_live_scoring(spark, sf_dir):
-    """Top-5 categories for new texts (user turns of conversations)."""
+    """Top-5 categories for new texts (all turns of conversations)."""
     _, model = trained(spark, sf_dir)
-    conv = spread(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")).filter(F.col("role") == "user")
+    conv = spread(read_table(spark, sf_dir, "conversations", "conv_id", "turn", "text"))
     conv = CL.prepare(conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text"), "text")
     return CL.top_classes(model, CL.predict(model, conv, "msg_id"), "msg_id")
 

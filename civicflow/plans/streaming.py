@@ -43,12 +43,11 @@ def q_stream_dedupe(spark, sf_dir):
 
 
 def q_stream_scoring(spark, sf_dir):
-    """T4: user turns arriving as a stream, scored by the fitted classifier (top class)."""
+    """T4: conversation turns arriving as a stream, scored by the fitted classifier (top class)."""
     _, model = PC.trained(spark, sf_dir)
 
     def score(batch):
-        msgs = batch.filter(F.col("role") == "user").select(
-            (F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text")
+        msgs = batch.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text")
         return CL.predict(model, CL.prepare(msgs, "text"), "msg_id").select("msg_id", "predicted", "confidence")
 
     return jobs.scoring_stream(spark, table_path(sf_dir, "conversations"), CONV_SCHEMA, score,

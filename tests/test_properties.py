@@ -112,3 +112,14 @@ def test_stream_output_missing_is_empty_corrupt_is_an_error(spark, tmp_path):
     (tmp_path / "bad" / "part-0.parquet").write_bytes(b"not a parquet file")
     with pytest.raises(Exception):
         jobs.read_latest(spark, str(tmp_path / "bad"), ["k"], "k long, n long")
+
+
+def test_scoring_covers_every_turn(spark):
+    from civicflow.plans import classify as PC, streaming as PS
+    from civicflow.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    turns = spark.read.parquet(f"{SF_SMALL}/conversations.parquet").selectExpr("conv_id * 1000 + turn msg_id")
+    for query in (PC.q_live_scoring, PS.q_stream_scoring):
+        got = query(spark, SF_SMALL).select("msg_id").distinct()
+        assert turns.exceptAll(got).count() == 0 and got.exceptAll(turns).count() == 0
