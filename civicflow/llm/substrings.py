@@ -357,12 +357,13 @@ def removed_intervals(docs: DataFrame, scanned: DataFrame, window: int) -> DataF
     smallest = windows.groupBy("w1", "w2").agg(F.min("doc").alias("least"))
     apart = windows.join(smallest, ["w1", "w2"]).where("doc > least").select(
         "doc", "row", "pos", F.col("at").alias("first"), (F.col("at") + window).alias("last"))
-    again = (others.where("doc = of").groupBy(F.col("of").alias("doc"), F.col("of_row").alias("row"), F.col("of_pos").alias("pos"))
-             .agg(F.collect_set(F.struct("row", "pos")).alias("again")))
-    here = F.array(F.struct("row", "pos"))
-    placed = (found.union(apart).join(again, ["doc", "row", "pos"], "left")
-              .select("doc", "first", "last", F.explode(F.when(F.col("again").isNull(), here).otherwise(F.concat(here, "again"))).alias("p")))
-    return copies.union(placed.select("doc", "p.row", F.col("p.pos") + F.col("first"), F.col("p.pos") + F.col("last")))
+    hits = staged(found.union(apart), "substring-hits")
+    again = staged(others.where("doc = of").select("doc", F.col("of_row").alias("row"), F.col("of_pos").alias("pos"),
+                                                   F.col("row").alias("to_row"), F.col("pos").alias("to")).distinct(), "substring-again")
+    here = hits.select("doc", "row", F.col("pos") + F.col("first"), F.col("pos") + F.col("last"))
+    there = hits.join(checked_broadcast(again, BROADCAST_ROWS), ["doc", "row", "pos"]).select(
+        "doc", "to_row", F.col("to") + F.col("first"), F.col("to") + F.col("last"))
+    return copies.union(here).union(there)
 
 
 def _only(docs: DataFrame, wanted: DataFrame) -> DataFrame:
