@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from civicflow.llm import bpe, decontaminate, edit_counts, jaccard, licenses, lines, substrings, token_files, toxicity, vectors
+from civicflow.llm import (bpe, dataset_manifest, decontaminate, edit_counts, filter_audit, jaccard, licenses, lines,
+                           substrings, token_files, toxicity, vectors)
 from civicflow.llm.common import read
 
 
@@ -46,7 +47,16 @@ def op10_edit_counts(spark, sf_dir):
     return edit_counts.recount(edit_counts.revision_edits(read(spark, sf_dir, "documents")))
 
 
+def op11_dataset_manifest(spark, sf_dir):
+    return dataset_manifest.manifest(read(spark, sf_dir, "documents"))
+
+
+def op13_filter_audit(spark, sf_dir):
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_toxicity, op3_benchmark_decontamination, op4_line_dedup, op5_ngram_jaccard, op6_token_files,
-    op7_bpe, op8_embedding_near_dedup, op9_license_scan, op10_edit_counts)}
-ORACLE_SQL: dict[str, str] = {"op4_line_dedup": lines.SQL}
+    op7_bpe, op8_embedding_near_dedup, op9_license_scan, op10_edit_counts,
+    op11_dataset_manifest, op13_filter_audit)}
+ORACLE_SQL: dict[str, str] = {"op4_line_dedup": lines.SQL, "op11_dataset_manifest": dataset_manifest.SQL, "op13_filter_audit": filter_audit.SQL}
