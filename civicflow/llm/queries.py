@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from civicflow.llm import (bpe, dataset_manifest, decontaminate, edit_counts, filter_audit, jaccard, licenses, lines,
-                           substrings, token_files, toxicity, vectors)
+                           ngram_lm, substrings, token_files, toxicity, vectors)
 from civicflow.llm.common import read
 
 
@@ -51,6 +51,10 @@ def op11_dataset_manifest(spark, sf_dir):
     return dataset_manifest.manifest(read(spark, sf_dir, "documents"))
 
 
+def op12_lm_scoring(spark, sf_dir):
+    return ngram_lm.score_documents(read(spark, sf_dir, "documents"))
+
+
 def op13_filter_audit(spark, sf_dir):
     return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -58,5 +62,5 @@ def op13_filter_audit(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     op1_substring_dedup, op2_toxicity, op3_benchmark_decontamination, op4_line_dedup, op5_ngram_jaccard, op6_token_files,
     op7_bpe, op8_embedding_near_dedup, op9_license_scan, op10_edit_counts,
-    op11_dataset_manifest, op13_filter_audit)}
+    op11_dataset_manifest, op12_lm_scoring, op13_filter_audit)}
 ORACLE_SQL: dict[str, str] = {"op4_line_dedup": lines.SQL, "op11_dataset_manifest": dataset_manifest.SQL, "op13_filter_audit": filter_audit.SQL}
