@@ -48,6 +48,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,20 +116,28 @@ def _hashes(texts: pa.Array):
 
 
 def _block_row(parts, number: int):
-    """Tokens of a block: doc ids, flags, sizes (with the end), distinct hashes in order, an index a token."""
+    """Tokens of a block: doc ids, flags, sizes (with the end), distinct hashes, an index a token."""
     sizes = np.concatenate([p[2] for p in parts])
     words = np.concatenate([p[3] for p in parts])
     tokens = np.empty(len(words) + len(sizes), dtype=np.uint64)
     tokens[np.arange(len(words)) + np.repeat(np.arange(len(sizes)), sizes)] = words
     tokens[np.cumsum(sizes + 1) - 1] = END
-    vocabulary, index = np.unique(tokens, return_inverse=True)
+    vocabulary, index, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+    order = np.argsort(-counts, kind="stable")  # frequent words first: small numbers pack better
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
     return _row("block", number, nums=[len(tokens), len(sizes), len(vocabulary)], a=np.concatenate([p[0] for p in parts]), b=np.concatenate([p[1] for p in parts]),
-                d=(sizes + 1).astype("<u4"), e=vocabulary, f=_planes(index))
+                d=(sizes + 1).astype("<u4"), e=vocabulary[order]) | {"f": _packed(rank[index])}
 
 
-def _planes(index: np.ndarray) -> np.ndarray:
-    """32-bit numbers as four planes of bytes (the high ones compress to nothing)."""
-    return np.ascontiguousarray(index.astype("<u4").view("u1").reshape(-1, 4).T)
+def _packed(index: np.ndarray) -> bytes:
+    """32-bit numbers as four planes of bytes, compressed."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(index.astype("<u4").view("u1").reshape(-1, 4).T))
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), "u1").reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
 def _blocks(docs: DataFrame) -> DataFrame:
@@ -164,9 +173,12 @@ class Block:
 
     @classmethod
     def of(cls, row):
-        planes = np.frombuffer(row["f"], "u1").reshape(4, -1)
+        words, index = np.frombuffer(row["e"], "<u8"), _unpacked(row["f"])
+        order = np.argsort(words)
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
         return cls(row["block"], np.frombuffer(row["a"], "<i8"), np.frombuffer(row["b"], "u1"), np.frombuffer(row["d"], "<u4").astype(np.int64),
-                   np.frombuffer(row["e"], "<u8"), np.ascontiguousarray(planes.T).view("<u4").ravel())
+                   words[order], place[index])
 
     def learns(self) -> np.ndarray:
         return np.repeat(self.state & 1 == 0, self.sizes)
