@@ -1,52 +1,40 @@
-"""Exponential-smoothing forecasts as one distributed job over (series x parameter grid)
-(F1-F6, F9, F13).
+"""Exponential-smoothing forecasts, one job over all series.
 
 Model (additive trend, optional damping phi, optional additive season m):
     forecast  f_t = l + phi*b (+ s_{t-m}),   error e = y - f_t
     level     l'  = alpha*(y - s_{t-m}) + (1 - alpha)*(l + phi*b)   = l + phi*b + alpha*e
     trend     b'  = beta*(l' - l) + (1 - beta)*phi*b                = phi*b + alpha*beta*e
     season    s_t = gamma*(y - l - phi*b) + (1 - gamma)*s_{t-m}     = s_{t-m} + gamma*e
-(the folds use the error-correction form on the right: fewer operations per step).
-
-For fixed smoothing parameters every state is affine in the initial level and
-trend (l0, b0). One ``aggregate`` fold therefore carries three trajectories --
-data from a zero start, unit l0 with zero data, unit b0 with zero data -- and
-accumulates the 2x2 normal equations; the least-squares (l0, b0) and the
-minimum SSE come out in closed form. No optimiser, no Python: each
-(series, grid point) is one row, and rows are spread over tasks by a
-repartition on (series, grid id).
-
-Grid points are generated with ``explode(sequence(...))`` from index arithmetic,
-so no join is needed; a second, finer grid is centred on each series' best
-coarse point. The series arrays are bounded by the number of weeks, not by
-the data volume.
+(the error-correction form on the right is what is computed: fewer operations per step).
+
+For fixed smoothing parameters every state is affine in the initial states, so their
+least-squares values come out in closed form (``operators.smoothing``): no optimiser. A series is
+one row (an array bounded by its number of weeks) and crosses one shuffle, which deals the
+series over the tasks; all grid points of a series are then evaluated together, as vectors, in
+the Arrow batch that holds it. The seasonal candidate's 54 initial states are all fitted, as the
+other candidates' two are.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
-# Candidate model labels, horizon, season length, bootstrap size.
-ADD = "Add only"
-DAMPED = "Damped Add"
-SEASONAL = "Add+Seasonal"
+from civicflow.operators import smoothing
+from civicflow.operators.smoothing import ADD, DAMPED, SEASON, SEASONAL  # noqa: F401
+
+cloudpickle.register_pickle_by_value(smoothing)  # executors need not have this package
+
+# Horizon, bootstrap size.
 HORIZON = 13
-SEASON = 52
 N_BOOT = 500
 BOOT_SEED = 42
-# Grid: coarse alpha/beta step, damping values, fine step / half-width.
-COARSE_STEP = 0.05
-N_ALPHA = 19          # alpha = 0.05 .. 0.95
-N_BETA = 20           # beta  = 0.00 .. 0.95, kept only when beta <= alpha
-PHI_LO, PHI_STEP, N_PHI = 0.80, 0.045, 5  # phi = 0.80 .. 0.98
-FINE_STEP, FINE_HALF = 0.01, 4
-PHI_FINE_STEP, PHI_FINE_HALF, PHI_MAX = 0.01, 2, 0.995
-# Seasonal grid (coarser: each fold carries three season arrays).
-S_N_ALPHA, S_ALPHA_STEP = 9, 0.1
-S_BETAS = (0.0, 0.05)
-S_GAMMAS = (0.0, 0.05, 0.1, 0.2, 0.3)
-RIDGE = 1e-9
+PARAMS = ("alpha", "beta", "phi", "gamma")
+FITTED = "model string, alpha double, beta double, phi double, gamma double, l0 double, b0 double, sse double, aic double, level double, trend double, season array<double>, season0 array<double>"
 
 
 # ---------------------------------------------------------------------------
@@ -68,228 +56,53 @@ def series_arrays(series: DataFrame, value: str = "y") -> DataFrame:
 
 
 # ---------------------------------------------------------------------------
-# Grids
+# Fits
 # ---------------------------------------------------------------------------
 
-def _coarse_grid(rows: DataFrame) -> DataFrame:
-    """Per series: the coarse non-seasonal grid (undamped phi=1 plus damped phis)."""
-    per_model = N_ALPHA * N_BETA
-    gid = F.explode(F.sequence(F.lit(0), F.lit(per_model * (1 + N_PHI) - 1))).alias("gid")
-    g = rows.select("*", gid)
-    pair = F.col("gid") % per_model
-    phi_idx = (F.col("gid") / per_model).cast("int")
-    g = g.select(
-        "*",
-        F.when(phi_idx == 0, F.lit(ADD)).otherwise(F.lit(DAMPED)).alias("model"),
-        ((F.floor(pair / N_BETA) + 1) * COARSE_STEP).alias("alpha"),
-        ((pair % N_BETA) * COARSE_STEP).alias("beta"),
-        F.when(phi_idx == 0, F.lit(1.0)).otherwise(F.lit(PHI_LO) + (phi_idx - 1) * PHI_STEP).alias("phi"),
-        F.lit(0.0).alias("gamma"),
-    )
-    return g.filter(F.col("beta") <= F.col("alpha")).drop("gid")
-
-
-def _fine_grid(best: DataFrame) -> DataFrame:
-    """Per (series, model): a finer grid centred on the best coarse point."""
-    w = 2 * FINE_HALF + 1
-    pw = 2 * PHI_FINE_HALF + 1
-    gid = F.explode(F.sequence(F.lit(0), F.lit(w * w * pw - 1))).alias("gid")
-    g = best.select("*", gid)
-    da = (F.floor(F.col("gid") / (w * pw)) - FINE_HALF) * FINE_STEP
-    db = (F.floor((F.col("gid") % (w * pw)) / pw) - FINE_HALF) * FINE_STEP
-    dp = ((F.col("gid") % pw) - PHI_FINE_HALF) * PHI_FINE_STEP
-    g = g.select(
-        *[c for c in best.columns if c not in ("alpha", "beta", "phi")],
-        (F.col("alpha") + da).alias("alpha"),
-        (F.col("beta") + db).alias("beta"),
-        F.when(F.col("model") == DAMPED, F.col("phi") + dp).otherwise(F.lit(1.0)).alias("phi"),
-    )
-    ok = (
-        (F.col("alpha") > 0.0) & (F.col("alpha") < 1.0)
-        & (F.col("beta") >= 0.0) & (F.col("beta") <= F.col("alpha"))
-        & ((F.col("model") != DAMPED) | ((F.col("phi") >= PHI_LO) & (F.col("phi") <= PHI_MAX)))
-    )
-    # Undamped rows repeat for each phi offset; keep one.
-    return g.filter(ok).dropDuplicates(["series_id", "model", "alpha", "beta", "phi"])
-
-
-def _seasonal_grid(rows: DataFrame) -> DataFrame:
-    nb, ng = len(S_BETAS), len(S_GAMMAS)
-    gid = F.explode(F.sequence(F.lit(0), F.lit(S_N_ALPHA * nb * ng - 1))).alias("gid")
-    g = rows.filter(F.col("n") >= 2 * SEASON).select("*", gid)
-    betas = F.array(*[F.lit(b) for b in S_BETAS])
-    gammas = F.array(*[F.lit(x) for x in S_GAMMAS])
-    g = g.select(
-        "*",
-        F.lit(SEASONAL).alias("model"),
-        ((F.floor(F.col("gid") / (nb * ng)) + 1) * S_ALPHA_STEP).alias("alpha"),
-        F.element_at(betas, (F.floor((F.col("gid") % (nb * ng)) / ng) + 1).cast("int")).alias("beta"),
-        F.lit(1.0).alias("phi"),
-        F.element_at(gammas, ((F.col("gid") % ng) + 1).cast("int")).alias("gamma"),
-    )
-    return g.filter((F.col("beta") <= F.col("alpha")) & (F.col("gamma") <= 1.0 - F.col("alpha"))).drop("gid")
-
-
-# ---------------------------------------------------------------------------
-# The fold
-# ---------------------------------------------------------------------------
-
-def _trend_fold(ys: Column, alpha: Column, beta: Column, phi: Column) -> Column:
-    """Three-trajectory fold for the non-seasonal models (error-correction form:
-    f = l + phi*b, e = y - f, l' = f + alpha*e, b' = phi*b + alpha*beta*e)."""
-    z = F.lit(0.0)
-    ab = alpha * beta
-    init = F.struct(
-        z.alias("lz"), z.alias("bz"), F.lit(1.0).alias("lu"), z.alias("bu"), z.alias("lv"), F.lit(1.0).alias("bv"),
-        z.alias("see"), z.alias("sef1"), z.alias("sef2"), z.alias("sf11"), z.alias("sf12"), z.alias("sf22"),
-    )
-
-    def step(acc, y):
-        fz = acc["lz"] + phi * acc["bz"]
-        fu = acc["lu"] + phi * acc["bu"]
-        fv = acc["lv"] + phi * acc["bv"]
-        e0 = y - fz
-        return F.struct(
-            (fz + alpha * e0).alias("lz"),
-            (phi * acc["bz"] + ab * e0).alias("bz"),
-            (fu - alpha * fu).alias("lu"),
-            (phi * acc["bu"] - ab * fu).alias("bu"),
-            (fv - alpha * fv).alias("lv"),
-            (phi * acc["bv"] - ab * fv).alias("bv"),
-            (acc["see"] + e0 * e0).alias("see"),
-            (acc["sef1"] + e0 * fu).alias("sef1"),
-            (acc["sef2"] + e0 * fv).alias("sef2"),
-            (acc["sf11"] + fu * fu).alias("sf11"),
-            (acc["sf12"] + fu * fv).alias("sf12"),
-            (acc["sf22"] + fv * fv).alias("sf22"),
-        )
-
-    return F.aggregate(ys, init, step)
+def _fitted(rows: DataFrame, fits) -> DataFrame:
+    """``rows`` with the columns of FITTED, a row for each fit that ``fits(row)`` gives."""
+    schema = rows.select(*(c for c in rows.columns if c not in PARAMS + ("model", "wanted"))).schema
+    kept = schema.names
+    schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in schema) + FITTED
+    arrow = to_arrow_schema(rows.sparkSession.createDataFrame([], schema).schema)
 
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                out = [{c: row[c] for c in kept} | {"season": None, "season0": None} | fit for fit in fits(row)]
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-def _seasonal_fold(ys: Column, alpha: Column, beta: Column, gamma: Column, m: int = SEASON) -> Column:
-    """Same fold with additive season (undamped): t = l + b, f = t + s, e = y - f,
-    l' = t + alpha*e, b' = b + alpha*beta*e, s' = s + gamma*e. Initial seasonals =
-    first-season deviations from its mean (fixed); season arrays roll left each step."""
-    first = F.slice(ys, 1, m)
-    mean0 = F.aggregate(first, F.lit(0.0), lambda a, x: a + x) / F.lit(float(m))
-    s0 = F.transform(first, lambda x: x - mean0)
-    zeros = F.array_repeat(F.lit(0.0), m)
-    z = F.lit(0.0)
-    ab = alpha * beta
-    init = F.struct(
-        z.alias("lz"), z.alias("bz"), s0.alias("sz"),
-        F.lit(1.0).alias("lu"), z.alias("bu"), zeros.alias("su"),
-        z.alias("lv"), F.lit(1.0).alias("bv"), zeros.alias("sv"),
-        z.alias("see"), z.alias("sef1"), z.alias("sef2"), z.alias("sf11"), z.alias("sf12"), z.alias("sf22"),
-    )
+    return rows.mapInArrow(run, schema)
 
-    def roll(arr, new):
-        return F.concat(F.slice(arr, 2, m - 1), F.array(new))
 
-    def step(acc, y):
-        tz, tu, tv = acc["lz"] + acc["bz"], acc["lu"] + acc["bu"], acc["lv"] + acc["bv"]
-        sz, su, sv = acc["sz"][0], acc["su"][0], acc["sv"][0]
-        fz, fu, fv = tz + sz, tu + su, tv + sv
-        e0 = y - fz
-        return F.struct(
-            (tz + alpha * e0).alias("lz"), (acc["bz"] + ab * e0).alias("bz"), roll(acc["sz"], sz + gamma * e0).alias("sz"),
-            (tu - alpha * fu).alias("lu"), (acc["bu"] - ab * fu).alias("bu"), roll(acc["su"], su - gamma * fu).alias("su"),
-            (tv - alpha * fv).alias("lv"), (acc["bv"] - ab * fv).alias("bv"), roll(acc["sv"], sv - gamma * fv).alias("sv"),
-            (acc["see"] + e0 * e0).alias("see"),
-            (acc["sef1"] + e0 * fu).alias("sef1"),
-            (acc["sef2"] + e0 * fv).alias("sef2"),
-            (acc["sf11"] + fu * fu).alias("sf11"),
-            (acc["sf12"] + fu * fv).alias("sf12"),
-            (acc["sf22"] + fv * fv).alias("sf22"),
-        )
+def fit_models(arrays: DataFrame, seasonal: bool = True, only: DataFrame | None = None) -> DataFrame:
+    """per (series, candidate model) the minimum-SSE parameters on a coarse, then a finer
+    grid; returns alpha, beta, phi, gamma, l0, b0, sse, aic, the end state and the initial seasons.
+    ``only`` (series_id, model) restricts the search to given models (refit of a winner).
 
-    return F.aggregate(ys, init, step)
-
-
-def _solve(acc: str = "acc") -> dict[str, Column]:
-    """Closed-form least-squares initial states and the resulting SSE / final states."""
-    a, c, d = F.col(f"{acc}.sf11"), F.col(f"{acc}.sf12"), F.col(f"{acc}.sf22")
-    p, q = F.col(f"{acc}.sef1"), F.col(f"{acc}.sef2")
-    ridge = F.lit(RIDGE) * (a + d)
-    det = (a + ridge) * (d + ridge) - c * c
-    l0 = (p * (d + ridge) - q * c) / det
-    b0 = ((a + ridge) * q - c * p) / det
-    return {
-        "l0": l0,
-        "b0": b0,
-        "sse": F.greatest(F.col(f"{acc}.see") - l0 * p - b0 * q, F.lit(1e-12)),
-    }
-
-
-def _n_params(model: Column) -> Column:
-    """Free parameters for AIC: alpha + l0, beta + b0, phi if damped, gamma + m seasonals."""
-    return (
-        F.when(model == ADD, F.lit(4))
-        .when(model == DAMPED, F.lit(5))
-        .otherwise(F.lit(4 + 1 + SEASON))
-    )
+    Series are dealt over at least as many tasks as there are cores: their rows are small, so
+    AQE would otherwise put them into one."""
+    models = [ADD, DAMPED] + ([SEASONAL] if seasonal else [])
+    if only is not None:
+        wanted = only.groupBy("series_id").agg(F.collect_set("model").alias("wanted"))  # three at most
+        arrays = arrays.join(wanted, "series_id")
+    spark = arrays.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
+    def fits(row):
+        return smoothing.fit_series(np.array(row["ys"], dtype=np.float64), [m for m in models if m in row.get("wanted", models)])
 
-def _evaluate(grid: DataFrame, partitions: int | None, seasonal: bool = False) -> DataFrame:
-    """One row per (series, model, grid point) with sse, aic and the fitted end state."""
-    if partitions:
-        grid = grid.repartition(partitions, "series_id", "model", "alpha", "beta", "phi", "gamma")
-    if seasonal:
-        acc = _seasonal_fold(F.col("ys"), F.col("alpha"), F.col("beta"), F.col("gamma"))
-    else:
-        acc = _trend_fold(F.col("ys"), F.col("alpha"), F.col("beta"), F.col("phi"))
-    part = grid.withColumn("acc", acc)
-    s = _solve()
-    part = part.select("*", s["l0"].alias("l0"), s["b0"].alias("b0"), s["sse"].alias("sse"))
-    season = (
-        F.zip_with(
-            F.zip_with(F.col("acc.sz"), F.col("acc.su"), lambda x, u: x + F.col("l0") * u),
-            F.col("acc.sv"),
-            lambda x, v: x + F.col("b0") * v,
-        )
-        if seasonal
-        else F.lit(None).cast("array<double>")
-    )
-    part = part.select(
-        *[c for c in part.columns if c != "acc"],
-        (F.col("acc.lz") + F.col("l0") * F.col("acc.lu") + F.col("b0") * F.col("acc.lv")).alias("level"),
-        (F.col("acc.bz") + F.col("l0") * F.col("acc.bu") + F.col("b0") * F.col("acc.bv")).alias("trend"),
-        season.alias("season"),
-    )
-    n = F.col("n").cast("double")
-    return part.withColumn("aic", n * F.log(F.col("sse") / n) + 2.0 * _n_params(F.col("model")))
+    return _fitted(arrays.repartition(tasks, "series_id"), fits)
 
 
 def _best(evaluated: DataFrame, keys: list[str]) -> DataFrame:
     """min_by over AIC (ties -> smaller alpha, beta, phi, gamma), one row per ``keys``."""
-    order = F.struct("aic", "alpha", "beta", "phi", "gamma")
+    order = F.struct("aic", *PARAMS)
     cols = [c for c in evaluated.columns if c not in keys]
     picked = evaluated.groupBy(*keys).agg(F.min_by(F.struct(*cols), order).alias("_b"))
     return picked.select(*keys, "_b.*")
 
 
-def fit_models(
-    arrays: DataFrame, partitions: int | None = None, seasonal: bool = True, only: DataFrame | None = None
-) -> DataFrame:
-    """per (series, candidate model) the minimum-SSE parameters on a coarse then a fine
-    grid; returns alpha, beta, phi, gamma, l0, b0, sse, aic and the end state.
-    The fine grid contains its centre, so each grid is evaluated exactly once.
-    ``only`` (series_id, model) restricts the search to given models (refit of a winner)."""
-
-    def keep(grid: DataFrame) -> DataFrame:
-        return grid if only is None else grid.join(only, ["series_id", "model"], "left_semi")
-
-    coarse = _best(_evaluate(keep(_coarse_grid(arrays)), partitions), ["series_id", "model"])
-    centre = coarse.select(*arrays.columns, "model", "alpha", "beta", "phi")
-    fine = _fine_grid(centre).withColumn("gamma", F.lit(0.0))
-    best = _best(_evaluate(fine, partitions), ["series_id", "model"])
-    if seasonal:
-        season = _best(_evaluate(keep(_seasonal_grid(arrays)), partitions, True), ["series_id", "model"])
-        best = best.unionByName(season)
-    return best
-
-
 def select_model(fits: DataFrame) -> DataFrame:
     """the AIC winner per series."""
     return _best(fits, ["series_id"])
@@ -322,10 +135,8 @@ def fitted_residuals(model_rows: DataFrame) -> DataFrame:
     phi, alpha, gamma = F.col("phi"), F.col("alpha"), F.col("gamma")
     ab = F.col("alpha") * F.col("beta")
     m = SEASON
-    first = F.slice("ys", 1, m)
-    mean0 = F.aggregate(first, F.lit(0.0), lambda a, v: a + v) / F.lit(float(m))
     use_season = F.col("model") == SEASONAL
-    init_season = F.when(use_season, F.transform(first, lambda x: x - mean0)).otherwise(F.array_repeat(F.lit(0.0), m))
+    init_season = F.when(use_season, F.col("season0")).otherwise(F.array_repeat(F.lit(0.0), m))
     init = F.struct(
         F.col("l0").alias("l"),
         F.col("b0").alias("b"),
@@ -387,7 +198,10 @@ def bootstrap_intervals(
     )
 
 
-def score_params(rows: DataFrame, seasonal: bool = False) -> DataFrame:
-    """Evaluate given (series, model, alpha, beta, phi, gamma) rows: least-squares initial
-    states, SSE, AIC and end state (the same fold the grid search uses)."""
-    return _evaluate(rows, None, seasonal)
+def score_params(rows: DataFrame) -> DataFrame:
+    """Evaluate given (series_id, n, ys, model, alpha, beta, phi, gamma) rows: least-squares initial
+    states, SSE, AIC and end state (the same fits the grid search makes)."""
+    def fits(row):
+        return [smoothing.best_fit(np.array(row["ys"], dtype=np.float64), row["model"], [tuple(row[p] for p in PARAMS)])]
+
+    return _fitted(rows, fits)

@@ -11,8 +11,6 @@ from civicflow.operators import series as S
 from civicflow.plans import forecast_sql as FS
 from civicflow.plans.series import DENSE_SQL, NATION_DENSE_SQL, SPLIT_SQL, dense
 
-# Spread the (series x grid) rows over this many tasks; AQE coalesces if it is too many.
-GRID_PARTITIONS = 64
 _PARAMS = ("alpha", "beta", "phi", "gamma")
 _STATS = ("sse", "aic", "l0", "b0", "level", "trend")
 
@@ -26,7 +24,7 @@ def _arrays(series: DataFrame, train_only: bool) -> DataFrame:
 def fits_on_train(spark, sf_dir) -> DataFrame:
     """F1 on all but the last 13 weeks; checkpointed (shared checkpoint dir) because the
     selection, evaluation and refit all read it."""
-    return FC.fit_models(_arrays(dense(spark, sf_dir), True), GRID_PARTITIONS).checkpoint()
+    return FC.fit_models(_arrays(dense(spark, sf_dir), True)).checkpoint()
 
 
 def winners_on_train(spark, sf_dir) -> DataFrame:
@@ -36,8 +34,7 @@ def winners_on_train(spark, sf_dir) -> DataFrame:
 def refit_full(spark, sf_dir, winners: DataFrame) -> DataFrame:
     """the winning configuration refit on the full series (decision Q3)."""
     only = winners.select("series_id", "model")
-    fits = FC.fit_models(_arrays(dense(spark, sf_dir), False), GRID_PARTITIONS, only=only)
-    return fits.join(only, ["series_id", "model"], "left_semi").checkpoint()
+    return FC.fit_models(_arrays(dense(spark, sf_dir), False), only=only).checkpoint()
 
 
 def _rounded(df: DataFrame, cols) -> list:
@@ -54,9 +51,9 @@ def q_aic_select(spark, sf_dir):
     return best.select("series_id", "model", *_rounded(best, _PARAMS + ("aic",)))
 
 
-def holdout(spark, sf_dir) -> DataFrame:
+def holdout(spark, sf_dir, winners: DataFrame | None = None) -> DataFrame:
     """winner's 13-week forecast from the end of the training part vs the test weeks."""
-    pred = FC.forecast_path(winners_on_train(spark, sf_dir))
+    pred = FC.forecast_path(winners if winners is not None else winners_on_train(spark, sf_dir))
     test = S.split_train_test(dense(spark, sf_dir)).filter(F.col("split") == "test")
     return pred.join(test.select("series_id", "week_start", "y"), ["series_id", "week_start"])
 

@@ -94,28 +94,32 @@ def q_horizon_kpis(spark, sf_dir):
 
 # --- exponential-smoothing chain (rows-only check) ---------------------------
 
-def zone_forecasts_holt(spark, sf_dir) -> DataFrame:
-    """Zone forecasts with bootstrap intervals (F3, F5, F6, F8): own model for regular zones,
-    share of the city forecast for sparse ones."""
-    winners = PF.winners_on_train(spark, sf_dir)
+def _own_and_shared(spark, sf_dir, winners: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(classified zones, refit models, point forecasts): a regular zone has its own model, a sparse
+    one its share of the city forecast (F3, F5, F8)."""
     full = PF.refit_full(spark, sf_dir, winners)
     fc = FC.forecast_path(full)
-    res = FC.fitted_residuals(full)
     cls = S.classify_sparse(dense(spark, sf_dir))
-    own = FC.bootstrap_intervals(fc, res).join(cls.filter(~F.col("is_sparse")).select("series_id"), "series_id")
-    city_fc = fc.filter(F.col("series_id") == S.CITY).select("h", "week_start", F.col("model").alias("city_model"), F.col("forecast").alias("cf"))
-    city_res = res.filter(F.col("series_id") == S.CITY).select("residuals")
-    sparse = cls.filter("is_sparse").select("series_id", "prop_share")
-    prop_fc = sparse.crossJoin(F.broadcast(city_fc)).select(
-        "series_id",
-        F.concat(F.lit("Proportional ("), F.col("city_model"), F.lit(")")).alias("model"),
+    own = fc.join(cls.filter(~F.col("is_sparse")).select("series_id"), "series_id")
+    city = fc.filter(F.col("series_id") == S.CITY).select("h", "week_start", F.col("model").alias("city_model"), F.col("forecast").alias("cf"))
+    shared = cls.filter("is_sparse").select("series_id", "prop_share").crossJoin(F.broadcast(city)).select(  # city: a row a step
+        "series_id", F.concat(F.lit("Proportional ("), F.col("city_model"), F.lit(")")).alias("model"),
         "h", "week_start", (F.col("cf") * F.col("prop_share")).alias("forecast"),
     )
-    prop_res = sparse.crossJoin(F.broadcast(city_res)).select(  # city_res: one row (the residual array)
-        "series_id", F.transform("residuals", lambda r: r * F.col("prop_share")).alias("residuals")
-    ).withColumn("model", F.lit(None).cast("string"))
-    prop = FC.bootstrap_intervals(prop_fc, prop_res.drop("model").join(prop_fc.select("series_id", "model").distinct(), "series_id"))
-    both = own.unionByName(prop).filter(F.col("series_id") != S.CITY)
+    points = own.unionByName(shared).filter(F.col("series_id") != S.CITY)
+    return cls, full, points
+
+
+def zone_forecasts_holt(spark, sf_dir) -> DataFrame:
+    """Zone forecasts with bootstrap intervals."""
+    cls, full, points = _own_and_shared(spark, sf_dir, PF.winners_on_train(spark, sf_dir))
+    res = FC.fitted_residuals(full)
+    city_res = res.filter(F.col("series_id") == S.CITY).select("residuals")
+    scaled = cls.filter("is_sparse").select("series_id", "prop_share").crossJoin(F.broadcast(city_res)).select(  # city_res: one row
+        "series_id", F.transform("residuals", lambda r: r * F.col("prop_share")).alias("residuals"))
+    regular = res.join(cls.filter(~F.col("is_sparse")).select("series_id"), "series_id").select("series_id", "residuals")
+    residuals = regular.unionByName(scaled).join(points.select("series_id", "model").distinct(), "series_id")
+    both = FC.bootstrap_intervals(points, residuals)
     return both.join(cls.select("series_id", "is_sparse"), "series_id").select(
         F.col("series_id").try_cast("int").alias("cluster"),
         "week_start",
@@ -138,8 +142,9 @@ def q_zone_forecast_metrics(spark, sf_dir):
     """per zone model, shares, train length, mean, zero-week %, hold-out errors
     (positive-week MAPE), 13-week total."""
     ser = dense(spark, sf_dir)
-    cls = S.classify_sparse(ser)
-    hold = PF.holdout(spark, sf_dir)
+    winners = PF.winners_on_train(spark, sf_dir)
+    cls, _, points = _own_and_shared(spark, sf_dir, winners)
+    hold = PF.holdout(spark, sf_dir, winners)
     city_pred = hold.filter(F.col("series_id") == S.CITY).select("week_start", F.col("forecast").alias("cf"))
     zones_test = S.split_train_test(ser).filter((F.col("split") == "test") & (F.col("series_id") != S.CITY))
     zones_test = zones_test.join(cls.select("series_id", "is_sparse", "prop_share"), "series_id")
@@ -150,8 +155,9 @@ def q_zone_forecast_metrics(spark, sf_dir):
     train_n = S.split_train_test(ser).filter(F.col("split") == "train").groupBy("series_id").agg(
         F.count(F.lit(1)).cast("long").alias("n_train_weeks"), 
     )
-    fc = zone_forecasts_holt(spark, sf_dir).groupBy("cluster").agg(
-        F.round(F.sum("forecast"), 1).alias("fc_13wk_total"), F.first("model").alias("model")
+    rounded = F.greatest(F.round("forecast", 1), F.lit(0.0))
+    fc = points.groupBy(F.col("series_id").try_cast("int").alias("cluster")).agg(
+        F.round(F.sum(rounded), 1).alias("fc_13wk_total"), F.first("model").alias("model")
     )
     out = cls.join(err, "series_id").join(train_n, "series_id").withColumn("cluster", F.col("series_id").try_cast("int"))
     return out.join(fc, "cluster").select(
