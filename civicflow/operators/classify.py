@@ -2,25 +2,31 @@
 (M8-M10, M13-M15, M19, S21, A14).
 
 The vectoriser is learned on the training split only (vocabulary, document
-frequencies) and applied unchanged to any other text, including a stream. The
-only Python on the row path is ``_sparse`` -- it packs one document's (index,
-weight) arrays into an ML vector; everything else is JVM-side.
+frequencies) and applied unchanged to any other text, including a stream. There
+is no Python on the row path. Training features are written as the struct that a
+sparse vector is stored as, and read back as vectors. Scoring needs no vectors: a
+document's terms meet a (term, idf, weight of each class) table of at most
+``MAX_FEATURES`` rows, one aggregate sums the weighted terms per class, and the
+soft-max is a column expression.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from civicflow.functions import labels as L
 from civicflow.functions import text as T
 from civicflow.operators import text as X
 from civicflow.operators.common import top_k_per_group
+from civicflow.session import scratch_path
 
 # Classifier settings of the reference (C, iterations, vectoriser).
 C = 1.0
@@ -29,12 +35,6 @@ TOL = 1e-4  # the reference solver's default stopping tolerance
 MAX_FEATURES, MIN_DF, MAX_DF = 10000, 2, 0.95
 
 
-@F.udf(VectorUDT())
-def _sparse(size, idx, val):
-    order = sorted(range(len(idx)), key=idx.__getitem__)
-    return SparseVector(size, [idx[i] for i in order], [val[i] for i in order])
-
-
 @dataclass
 class TextModel:
     vocab: DataFrame          # term, idx, idf  (<= MAX_FEATURES rows)
@@ -42,6 +42,12 @@ class TextModel:
     n_features: int
     lr: LogisticRegressionModel
 
+    def weights(self) -> DataFrame:
+        """term, idf, coef (one weight a class): the model as a table of ``n_features`` rows."""
+        coef = pd.DataFrame({"idx": range(self.n_features), "coef": list(self.lr.coefficientMatrix.toArray().T)})
+        table = self.vocab.sparkSession.createDataFrame(coef, "idx int, coef array<double>")
+        return self.vocab.join(table, "idx")
+
 
 def fit_vectoriser(train: DataFrame, id_col: str, norm_col: str, counts: DataFrame | None = None) -> DataFrame:
     """Vocabulary (alphabetical index, like the reference's feature order) and idf of the training texts."""
@@ -54,27 +60,36 @@ def fit_vectoriser(train: DataFrame, id_col: str, norm_col: str, counts: DataFra
     return vocab.withColumn("idx", (F.row_number().over(Window.orderBy("term")) - 1).cast("int"))
 
 
+def _weighted(counts: DataFrame, table: DataFrame) -> DataFrame:
+    """Counted terms that are in the table (at most MAX_FEATURES rows), with tf x idf as ``_w``."""
+    j = counts.join(F.broadcast(table), "term")
+    return j.withColumn("_w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
+
+
 def vectorise(docs: DataFrame, id_col: str, norm_col: str, vocab: DataFrame, n_features: int,
               counts: DataFrame | None = None) -> DataFrame:
     """(id, features) with sublinear tf x train idf, L2-normalised; texts without any
-    vocabulary term get an empty vector."""
+    vocabulary term get an empty vector. ``features`` is the struct that a sparse vector is
+    stored as: ``written_vectors`` makes it one."""
     counts = counts if counts is not None else X.term_counts(docs, id_col, norm_col)
-    j = counts.join(F.broadcast(vocab), "term")  # vocabulary: bounded by MAX_FEATURES
-    j = j.withColumn("_w", (1.0 + F.log(F.col("tf").cast("double"))) * F.col("idf"))
-    per_doc = j.groupBy("doc").agg(
-        F.collect_list("idx").alias("_i"), F.collect_list("_w").alias("_v"), F.sqrt(F.sum(F.col("_w") ** 2)).alias("_n")
+    per_doc = _weighted(counts, vocab).groupBy("doc").agg(
+        F.sort_array(F.collect_list(F.struct("idx", "_w"))).alias("_t"), F.sqrt(F.sum(F.col("_w") ** 2)).alias("_n")
     )  # one document's terms: bounded by MAX_FEATURES
-    per_doc = per_doc.select("doc", "_i", F.transform("_v", lambda v: v / F.col("_n")).alias("_v"))
+    features = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(n_features).alias("size"),
+        F.coalesce(F.col("_t")["idx"], F.array().cast("array<int>")).alias("indices"),
+        F.coalesce(F.transform("_t", lambda t: t["_w"] / F.col("_n")), F.array().cast("array<double>")).alias("values"))
     ids = docs.select(F.col(id_col).alias("doc"))
-    out = ids.join(per_doc, "doc", "left").select(
-        F.col("doc").alias(id_col),
-        _sparse(
-            F.lit(n_features),
-            F.coalesce("_i", F.array().cast("array<int>")),
-            F.coalesce("_v", F.array().cast("array<double>")),
-        ).alias("features"),
-    )
-    return out
+    return ids.join(per_doc, "doc", "left").select(F.col("doc").alias(id_col), features.alias("features"))
+
+
+def written_vectors(data: DataFrame) -> DataFrame:
+    """``data`` written under the shared checkpoint folder and read back with ``features`` as vectors
+    (an iterative fit reads its input many times)."""
+    path = scratch_path(data.sparkSession, f"features-{uuid.uuid4().hex}")
+    data.write.parquet(path)
+    fields = [StructField("features", VectorUDT()) if f.name == "features" else f for f in data.schema]
+    return data.sparkSession.read.schema(StructType(fields)).parquet(path)
 
 
 def prepare(docs: DataFrame, text_col: str) -> DataFrame:
@@ -91,7 +106,7 @@ def fit(train: DataFrame, id_col: str, label_col: str) -> TextModel:
     labels = labels.withColumnRenamed(label_col, "label").checkpoint()  # one row per class
     feats = vectorise(train, id_col, "norm", vocab, n_features, counts)
     data = feats.join(train.select(id_col, F.col(label_col).alias("label")), id_col).join(labels, "label")
-    data = data.select("features", "label_idx").checkpoint()
+    data = written_vectors(data.select("features", "label_idx"))
     n = data.count()
     lr = LogisticRegression(
         featuresCol="features", labelCol="label_idx", family="multinomial",
@@ -101,13 +116,23 @@ def fit(train: DataFrame, id_col: str, label_col: str) -> TextModel:
 
 
 def predict(model: TextModel, docs: DataFrame, id_col: str) -> DataFrame:
-    """Predicted class, max-probability confidence, band (S21), probability array."""
-    feats = vectorise(docs, id_col, "norm", model.vocab, model.n_features)
-    scored = model.lr.transform(feats)
-    probs = vector_to_array("probability")
-    out = scored.select(id_col, F.col("prediction").alias("label_idx"), probs.alias("probs"))
-    out = out.join(model.labels, "label_idx")  # one row per class; AQE sizes the join
+    """Predicted class, max-probability confidence, band (S21), probability array.
+
+    The margin of a class is its intercept plus the sum of the document's normalised weights times
+    the class's weights; all classes and the norm come from one aggregate by document."""
+    intercepts = model.lr.interceptVector.toArray().tolist()
+    counts = X.term_counts(docs, id_col, "norm")
+    sums = _weighted(counts, model.weights()).groupBy("doc").agg(
+        F.sqrt(F.sum(F.col("_w") ** 2)).alias("_n"),
+        *(F.sum(F.col("_w") * F.col("coef")[k]).alias(f"_m{k}") for k in range(len(intercepts))))
+    margins = F.array(*(F.lit(b) + F.coalesce(F.col(f"_m{k}") / F.col("_n"), F.lit(0.0)) for k, b in enumerate(intercepts)))
+    scored = docs.select(F.col(id_col).alias("doc")).join(sums, "doc", "left").select(F.col("doc").alias(id_col), margins.alias("_m"))
+    scored = scored.withColumn("_e", F.transform("_m", lambda m: F.exp(m - F.array_max("_m"))))
+    total = F.aggregate("_e", F.lit(0.0), lambda a, e: a + e)
+    out = scored.select(id_col, F.transform("_e", lambda e: e / total).alias("probs"))
     conf = F.array_max("probs")
+    out = out.withColumn("label_idx", (F.array_position("probs", conf) - 1).cast("double"))
+    out = out.join(model.labels, "label_idx")  # one row per class; AQE sizes the join
     return out.select(
         id_col, F.col("label").alias("predicted"), F.round(conf, 3).alias("confidence"),
         L.confidence_band(conf).alias("confidence_band"), "probs",
@@ -128,11 +153,8 @@ def top_classes(model: TextModel, scored: DataFrame, id_col: str, k: int = 5) ->
 
 def top_terms(model: TextModel, k: int = 10) -> DataFrame:
     """The k largest coefficients per class, joined to their terms and formatted."""
-    spark = model.vocab.sparkSession
-    coef = model.lr.coefficientMatrix.toArray()  # classes x features: the model itself
-    rows = [(float(ci), int(j), float(v)) for ci in range(coef.shape[0]) for j, v in enumerate(coef[ci])]
-    cdf = spark.createDataFrame(rows, "label_idx double, idx int, coef double")
-    j = cdf.join(model.vocab.select("idx", "term"), "idx").join(model.labels, "label_idx")
+    cells = model.weights().select("term", F.posexplode("coef").alias("pos", "coef"))  # the model itself
+    j = cells.join(model.labels, F.col("pos").cast("double") == F.col("label_idx"))
     top = top_k_per_group(j, ["label"], [F.desc("coef"), F.asc("term")], k, ["term"])
     packed = top.groupBy("label").agg(
         F.sort_array(F.collect_list(F.struct("rank", "term", F.col("coef").alias("weight")))).alias("t")

@@ -7,6 +7,7 @@ which the text actually determines; ``source`` is random with respect to text.""
 
 from __future__ import annotations
 
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ from civicflow.operators import evaluation as EV
 from civicflow.plans.text import MIN_CLASS_SIZE, docs
 from civicflow.operators import text as X
 from civicflow.session import scratch_path
-from civicflow.sources.tables import read_table, spread
+from civicflow.sources.tables import read_table, spread, state
 
 LABEL = "lang"
 CV_PARALLEL = 5
@@ -30,8 +31,8 @@ def _split(spark, sf_dir):
 
 
 def trained(spark, sf_dir):
-    """Fit once per session and data folder; inputs and model tables are checkpointed."""
-    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir)
+    """Fit once per session and state of the table; inputs and model tables are checkpointed."""
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), state(spark, sf_dir, "documents"))
     if key not in _MODELS:
         split = _split(spark, sf_dir)
         model = CL.fit(split.filter(F.col("split") == "train"), "doc_id", LABEL)
@@ -123,7 +124,7 @@ def q_text_cv(spark, sf_dir):
 def q_model_roundtrip(spark, sf_dir):
     """Write the fitted model to the shared checkpoint folder, read it back, score the test split."""
     split, model = trained(spark, sf_dir)
-    path = scratch_path(spark, f"text-model-{abs(hash(sf_dir))}")
+    path = scratch_path(spark, f"text-model-{uuid.uuid4().hex}")  # of this call alone
     CL.save(model, path)
     loaded = CL.load(spark, path)
     test = split.filter(F.col("split") == "test")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from civicflow.operators import series as S
 from civicflow.plans.standins import SERIES_START, ZONE_ORDERS_SQL, zone_orders
+from civicflow.sources.tables import state
 
 
 _SERIES: dict = {}
@@ -15,9 +16,10 @@ def dense(spark, sf_dir, zone: str = "cluster"):
     """Dense weekly order series per zone (region by default, or nation) plus the city.
 
     This is the stage boundary between request data and the forecasting stage (the
-    reference writes it to a file): it is checkpointed once per session and data
-    folder into the shared checkpoint dir, and every forecasting query reads it."""
-    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir, zone)
+    reference writes it to a file): it is checkpointed once per session and state of
+    the tables into the shared checkpoint dir, and every forecasting query reads it."""
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""),
+           state(spark, sf_dir, "orders", "customer", "nation"), zone)
     if key not in _SERIES:
         counts = S.weekly_counts(zone_orders(spark, sf_dir), "requested_datetime", zone, SERIES_START)
         _SERIES[key] = S.dense_series(counts).checkpoint()

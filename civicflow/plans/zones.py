@@ -12,7 +12,7 @@ from civicflow.functions import labels as L
 from civicflow.operators import clean, profile
 from civicflow.operators import zones as Z
 from civicflow.plans.standins import RAW_REQUESTS_SQL, raw_requests
-from civicflow.sources.tables import read_table
+from civicflow.sources.tables import read_table, state
 
 _FITS: dict = {}
 
@@ -28,7 +28,7 @@ def points(spark, sf_dir):
 
 
 def fitted(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), sf_dir)
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), state(spark, sf_dir, "embeddings"))
     if key not in _FITS:
         pts = Z.standardise(points(spark, sf_dir)).checkpoint()
         _FITS[key] = (pts, Z.fit_best(pts, Z.K))

@@ -32,6 +32,19 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """What is stored under the tables' paths: (path, length, modification time) of every file. A
+    result kept for a session is kept under this key, so rewritten input gives a new one."""
+    conf, found = spark.sparkContext._jsc.hadoopConfiguration(), []
+    for name in names:
+        target = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
+        files = target.getFileSystem(conf).listFiles(target, True)
+        while files.hasNext():
+            f = files.next()
+            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(table_path(sf_dir, name))
     return df.select(*columns) if columns else df
