@@ -38,8 +38,8 @@ def q_stream_station_daily(spark, sf_dir):
 
 
 def q_stream_dedupe(spark, sf_dir):
-    """Line items re-send their order; keep one record per order."""
-    return jobs.dedupe_stream(spark, table_path(sf_dir, "lineitem"), LINEITEM_SCHEMA, "l_orderkey")
+    """Line items re-send their order; keep one record per order (its items ship within months)."""
+    return jobs.dedupe_stream(spark, table_path(sf_dir, "lineitem"), LINEITEM_SCHEMA, "l_orderkey", "l_shipdate", "130 days")
 
 
 def q_stream_scoring(spark, sf_dir):
@@ -50,8 +50,9 @@ def q_stream_scoring(spark, sf_dir):
         msgs = batch.select((F.col("conv_id") * 1000 + F.col("turn")).alias("msg_id"), "text")
         return CL.predict(model, CL.prepare(msgs, "text"), "msg_id").select("msg_id", "predicted", "confidence")
 
-    return jobs.scoring_stream(spark, table_path(sf_dir, "conversations"), CONV_SCHEMA, score,
-                               "msg_id long, predicted string, confidence double")
+    path = table_path(sf_dir, "conversations")
+    job = jobs.open_job(spark, "scoring", path, CONV_SCHEMA, model.lr.uid)
+    return jobs.scoring_stream(spark, path, CONV_SCHEMA, score, "msg_id long, predicted string, confidence double", job)
 
 
 QUERIES = {

@@ -32,17 +32,21 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
-    """What is stored under the tables' paths: (path, length, modification time) of every file. A
-    result kept for a session is kept under this key, so rewritten input gives a new one."""
+def files_of(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """(path, length, modification time) of every file under a path, in order."""
     conf, found = spark.sparkContext._jsc.hadoopConfiguration(), []
-    for name in names:
-        target = spark._jvm.org.apache.hadoop.fs.Path(table_path(sf_dir, name))
-        files = target.getFileSystem(conf).listFiles(target, True)
-        while files.hasNext():
-            f = files.next()
-            found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
-    return tuple(sorted(found))
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(conf).listFiles(target, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return sorted(found)
+
+
+def state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """The files that are stored under the tables' paths. A result kept for a session is kept
+    under this key, so rewritten input gives a new one."""
+    return tuple(f for name in names for f in files_of(spark, table_path(sf_dir, name)))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

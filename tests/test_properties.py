@@ -102,7 +102,7 @@ def test_streams_count_every_row_of_shuffled_files(spark, tmp_path, monkeypatch)
         return sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in df.collect())
 
     assert rounded(got) == rounded(want)
-    got = jobs.dedupe_stream(spark, path, PS.LINEITEM_SCHEMA, "l_orderkey")
+    got = jobs.dedupe_stream(spark, path, PS.LINEITEM_SCHEMA, "l_orderkey", "l_shipdate")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, items.select("l_orderkey").distinct().collect()))
 
 
