@@ -9,11 +9,11 @@
 * Raster sample (J11): pixel (row, col) from the affine transform, joined to the
   pixel table; points whose centre pixel is invalid take the mean of the valid 3x3
   neighbours in a second, smaller join.
-* Zonal statistics (J12): each point expands to the pixel window of its buffer
-  (bounded by the buffer size), joined to pixels, aggregated per point.
-* Nearest station (J13): stations and points share a grid; candidates come from a
-  growing block of cells and a point is final once its best distance is within the
-  block's guaranteed radius, so the result is exact without an all-pairs join.
+* Zonal statistics (J12): the raster is cut into tiles as high as the window, so a
+  point meets a few tiles whatever the buffer; the window is cut out of their arrays.
+* Nearest station (J13): stations and points share a grid; a 3 x 3 block of cells
+  settles the points near a station, the others descend a pyramid of cells with
+  distance bounds, so the result is exact without an all-pairs join.
 """
 
 from __future__ import annotations
@@ -190,26 +190,39 @@ def sample_raster(points: DataFrame, pixels: DataFrame, t: dict, key: str, lon:
     return out.select(*points.columns, F.round(value, 1).alias("elevation_m"))
 
 
+def tiles(pixels: DataFrame, side: int) -> DataFrame:
+    """(ty, tx, px): the valid pixels of each square of ``side`` x ``side``, one row a square."""
+    return pixels.filter(F.col("value").isNotNull()).groupBy(
+        F.floor(F.col("row") / side).alias("_ty"), F.floor(F.col("col") / side).alias("_tx")).agg(
+        F.collect_list(F.struct("row", "col", "value")).alias("_px"))
+
+
 def zonal_stats(points: DataFrame, pixels: DataFrame, t: dict, key: str, buffer_m: float,
                 lon: str = "long", lat: str = "lat") -> DataFrame:
-    """Statistics of the valid pixels inside +- buffer around each point."""
+    """Statistics of the valid pixels inside +- buffer around each point.
+
+    The raster is cut into tiles as long as the window is high, so a window meets two rows of tiles and,
+    at most, as many columns as it is wider than high (its width grows with 1 / cos(latitude)); a
+    point is joined with these tiles, not with its pixels, and the window is cut out of each tile's
+    array. The rows of the join do not grow with the buffer."""
+    side = max(1, math.ceil(2.0 * buffer_m / 111000.0 / t["dy"]))
     dlat = F.lit(buffer_m / 111000.0)
     dlon = F.lit(buffer_m) / (F.lit(111000.0) * F.cos(F.radians(F.col(lat))))
     r_lo, c_lo = pixel_of(F.col(lon) - dlon, F.col(lat) + dlat, t)
     r_hi, c_hi = pixel_of(F.col(lon) + dlon, F.col(lat) - dlat, t)
     win = points.select(key, r_lo.alias("_r0"), r_hi.alias("_r1"), c_lo.alias("_c0"), c_hi.alias("_c1"))
-    cells = win.select(key, F.explode(F.sequence("_r0", "_r1")).alias("row"), "_c0", "_c1").select(
-        key, "row", F.explode(F.sequence("_c0", "_c1")).alias("col")
-    )
-    vals = cells.join(pixels.filter(F.col("value").isNotNull()), ["row", "col"])
-    stats = vals.groupBy(key).agg(
-        F.count(F.lit(1)).cast("long").alias("n_pixels"),
-        F.round(F.avg("value"), 4).alias("elev_mean"),
-        F.round(F.median("value"), 4).alias("elev_median"),
-        F.min("value").alias("elev_min"),
-        F.max("value").alias("elev_max"),
-        F.round(F.stddev_pop("value"), 4).alias("elev_std"),
-    )
+    probes = win.select("*", F.explode(F.sequence(F.floor(F.col("_r0") / side), F.floor(F.col("_r1") / side))).alias("_ty")).select(
+        "*", F.explode(F.sequence(F.floor(F.col("_c0") / side), F.floor(F.col("_c1") / side))).alias("_tx"))
+    inside = F.filter("_px", lambda p: p["row"].between(F.col("_r0"), F.col("_r1")) & p["col"].between(F.col("_c0"), F.col("_c1")))
+    cut = probes.join(tiles(pixels, side), ["_ty", "_tx"]).select(key, inside["value"].alias("_v")).where(F.size("_v") > 0)
+    windows = cut.groupBy(key).agg(F.flatten(F.collect_list("_v")).alias("_v"))  # one window's pixels
+    v, n = F.array_sort("_v"), F.size("_v")
+    mean = F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + x) / n
+    variance = F.aggregate("_v", F.lit(0.0), lambda acc, x: acc + (x - F.col("_mean")) * (x - F.col("_mean"))) / n
+    middle = (F.element_at("_v", F.floor((n + 1) / 2).cast("int")) + F.element_at("_v", F.floor(n / 2).cast("int") + 1)) / 2.0
+    stats = windows.select(key, v.alias("_v")).withColumn("_mean", mean).select(
+        key, n.cast("long").alias("n_pixels"), F.round("_mean", 4).alias("elev_mean"), F.round(middle, 4).alias("elev_median"),
+        F.element_at("_v", 1).alias("elev_min"), F.element_at("_v", -1).alias("elev_max"), F.round(F.sqrt(variance), 4).alias("elev_std"))
     return points.select(key).join(stats, key, "left")
 
 
@@ -252,49 +265,87 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(a))
 
 
+def _pyramid(st: DataFrame, level: int) -> DataFrame:
+    """Occupied cells of 2^level x 2^level grid cells: the box around their stations and one of them."""
+    return st.groupBy(F.shiftright("_sy", level).alias("_cy"), F.shiftright("_sx", level).alias("_cx")).agg(
+        F.min("_slat").alias("_la0"), F.max("_slat").alias("_la1"), F.min("_slon").alias("_lo0"), F.max("_slon").alias("_lo1"),
+        F.min_by(F.struct("_slat", "_slon"), "_sid").alias("_one"))
+
+
+def box_distance_km(lat: Column, lon: Column, la0: Column, la1: Column, lo0: Column, lo1: Column) -> Column:
+    """A lower bound of the great-circle distance from a point to any place in a box."""
+    zero = F.lit(0.0)
+    dlat = F.radians(F.greatest(la0 - lat, lat - la1, zero))
+    near, far = F.greatest(lo0 - lon, lon - lo1, zero), F.greatest(F.abs(lo0 - lon), F.abs(lo1 - lon))
+    dlon = F.radians(F.when(far <= 180.0, near).otherwise(F.greatest(zero, F.least(near, 360.0 - far))))
+    shrink = F.cos(F.radians(lat)) * F.least(F.cos(F.radians(la0)), F.cos(F.radians(la1)))
+    a = F.sin(dlat / 2) ** 2 + F.greatest(shrink, zero) * F.sin(dlon / 2) ** 2
+    return F.lit(2 * EARTH_KM) * F.asin(F.sqrt(F.least(a, F.lit(1.0))))
+
+
+def _kept_cells(cand: DataFrame, key: str) -> DataFrame:
+    """Candidate cells that may hold the nearest station: no farther at best than some station is."""
+    bounded = cand.withColumn("_low", box_distance_km(F.col("_plat"), F.col("_plon"), F.col("_la0"), F.col("_la1"), F.col("_lo0"), F.col("_lo1")))
+    bounded = bounded.withColumn("_high", haversine_km(F.col("_plat"), F.col("_plon"), F.col("_one._slat"), F.col("_one._slon")))
+    best = F.min("_high").over(Window.partitionBy(key))  # a point's few cells
+    return bounded.withColumn("_best", best).where(F.col("_low") <= F.col("_best") + 1e-9).select(key, "_plat", "_plon", "_cy", "_cx")
+
+
+def _descend(pts: DataFrame, st: DataFrame, key: str, extent) -> DataFrame:
+    """(key, _b): the nearest station of far points, from coarse cells to fine ones.
+
+    The top level covers all stations with at most 3 x 3 cells. On each level a point's cells are
+    pruned by distance bounds, and only the quarters of those that remain are looked up."""
+    top = 0
+    while max((extent["_y1"] >> top) - (extent["_y0"] >> top), (extent["_x1"] >> top) - (extent["_x0"] >> top)) > 2:
+        top += 1
+    probes = pts.select(
+        key, "_plat", "_plon",
+        F.explode(F.sequence(F.lit(extent["_y0"] >> top), F.lit(extent["_y1"] >> top))).alias("_cy")).select(
+        "*", F.explode(F.sequence(F.lit(extent["_x0"] >> top), F.lit(extent["_x1"] >> top))).alias("_cx"))
+    quarter = F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (0, 1) for x in (0, 1)))
+    for level in range(top, -1, -1):
+        cells = _kept_cells(probes.join(_pyramid(st, level), ["_cy", "_cx"]), key)
+        probes = cells.select(key, "_plat", "_plon", "_cy", "_cx", F.explode(quarter).alias("_q")).select(
+            key, "_plat", "_plon", (F.col("_cy") * 2 + F.col("_q.y")).alias("_cy"), (F.col("_cx") * 2 + F.col("_q.x")).alias("_cx"))
+    found = cells.join(st, (F.col("_cy") == F.col("_sy")) & (F.col("_cx") == F.col("_sx")))
+    return _closest(found, key)
+
+
+def _closest(cand: DataFrame, key: str) -> DataFrame:
+    scored = cand.withColumn("_d", haversine_km(F.col("_plat"), F.col("_plon"), F.col("_slat"), F.col("_slon")))
+    return scored.groupBy(key).agg(F.min(F.struct("_d", "_sid")).alias("_b"))
+
+
 def nearest(points: DataFrame, stations: DataFrame, key: str, station_key: str, cell: float) -> DataFrame:
     """Exact nearest station per point (ties -> smaller station key).
 
-    Round r looks at the (2r+1)^2 block of cells around the point's cell. A station
-    outside that block is more than r*cell degrees away in latitude or longitude, so
-    a best distance below that bound is final; so is any result once the block covers
-    every station. Unresolved points go to the next round with r doubled; each round's
-    remainder is checkpointed."""
+    First the 3 x 3 block of cells around the point's cell: a station outside it is more than a cell
+    away in latitude or longitude, so a best distance below that bound is final; so is any result
+    if the block covers every station. The other points, however far away, go from coarse cells
+    to fine ones (``_descend``). The stations and the first pass are checkpointed, as several steps read them."""
     pts = points.select(key, F.col("lat").alias("_plat"), F.col("long").alias("_plon"),
                         F.floor(F.col("lat") / cell).alias("_py"), F.floor(F.col("long") / cell).alias("_px"))
     st = stations.select(F.col(station_key).alias("_sid"), F.col("lat").alias("_slat"), F.col("long").alias("_slon"),
-                         F.floor(F.col("lat") / cell).alias("_sy"), F.floor(F.col("long") / cell).alias("_sx"))
-    ext = st.agg(F.min("_sy").alias("_y0"), F.max("_sy").alias("_y1"), F.min("_sx").alias("_x0"), F.max("_sx").alias("_x1"))
-    done = None
-    todo = pts
-    radius = 1
-    while True:
-        offs = F.explode(F.sequence(F.lit(-radius), F.lit(radius)))
-        probe = todo.select("*", offs.alias("_dy")).select("*", offs.alias("_dx"))
-        probe = probe.select(key, (F.col("_py") + F.col("_dy")).alias("_sy"), (F.col("_px") + F.col("_dx")).alias("_sx"),
-                             "_plat", "_plon")
-        cand = probe.join(st, ["_sy", "_sx"]).withColumn(
-            "_d", haversine_km(F.col("_plat"), F.col("_plon"), F.col("_slat"), F.col("_slon"))
-        )
-        best = cand.groupBy(key).agg(F.min_by(F.struct("_d", "_sid"), F.struct("_d", "_sid")).alias("_b"))
-        bound = F.lit(radius * cell * 111.0) * F.cos(F.radians(F.least(F.abs(F.col("_plat")) + F.lit(radius * cell), F.lit(89.0))))
-        covers = (
-            (F.col("_py") - radius <= F.col("_y0")) & (F.col("_py") + radius >= F.col("_y1"))
-            & (F.col("_px") - radius <= F.col("_x0")) & (F.col("_px") + radius >= F.col("_x1"))
-        )
-        # No station at all, or a point without coordinates: final at once, with a null station.
-        covers = F.coalesce(covers, F.lit(True))
-        scored = todo.join(best, key, "left").crossJoin(F.broadcast(ext))  # ext: one-row frame
-        scored = scored.withColumn("_final", covers | F.coalesce(F.col("_b._d") <= bound, F.lit(False)))
-        final = scored.filter("_final").select(
-            key, F.col("_b._sid").alias("station"), F.round(F.col("_b._d"), 4).alias("distance_km")
-        )
-        done = final if done is None else done.unionByName(final)
-        todo = scored.filter(~F.col("_final")).select(*pts.columns).checkpoint()
-        if todo.isEmpty():
-            break
-        radius *= 2
-    return done
+                         F.floor(F.col("lat") / cell).alias("_sy"), F.floor(F.col("long") / cell).alias("_sx")).where("_sy IS NOT NULL AND _sx IS NOT NULL").checkpoint()  # read on every level
+    extent = st.agg(F.min("_sy").alias("_y0"), F.max("_sy").alias("_y1"), F.min("_sx").alias("_x0"), F.max("_sx").alias("_x1")).first()
+    if extent["_y0"] is None:  # no station at all
+        return pts.select(key, F.lit(None).cast(stations.schema[station_key].dataType).alias("station"), F.lit(None).cast("double").alias("distance_km"))
+    near = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)))).alias("_o")
+    probe = pts.select(key, "_plat", "_plon", "_py", "_px", near)
+    probe = probe.select(key, "_plat", "_plon", (F.col("_py") + F.col("_o.y")).alias("_sy"), (F.col("_px") + F.col("_o.x")).alias("_sx"))
+    best = _closest(probe.join(st, ["_sy", "_sx"]), key)
+    bound = F.lit(cell * 111.0) * F.cos(F.radians(F.least(F.abs(F.col("_plat")) + F.lit(cell), F.lit(89.0))))
+    covers = ((F.col("_py") - 1 <= extent["_y0"]) & (F.col("_py") + 1 >= extent["_y1"])
+              & (F.col("_px") - 1 <= extent["_x0"]) & (F.col("_px") + 1 >= extent["_x1"]))
+    # A point without coordinates: final at once, with a null station.
+    final = F.coalesce(covers, F.lit(True)) | F.coalesce(F.col("_b._d") <= bound, F.lit(False))
+    scored = pts.join(best, key, "left").withColumn("_final", final).checkpoint()
+    rest = scored.where("NOT _final").select(*pts.columns)
+    done = scored.where("_final").select(key, "_b")
+    if not rest.isEmpty():
+        done = done.unionByName(_descend(rest, st, key, extent))
+    return done.select(key, F.col("_b._sid").alias("station"), F.round(F.col("_b._d"), 4).alias("distance_km"))
 
 
 def line_length_km(path: Column) -> Column:
