@@ -1,11 +1,10 @@
 """Geospatial operators as ordinary Spark joins.
 
-* Point in polygon (J9): polygons are exploded onto the grid cells their bounding
-  box covers; points fall in exactly one cell; the equi-join on (cell, salt) finds
-  candidates and an even-odd ray-casting test over all rings (holes included)
-  decides. Half-open edges put a point on a shared edge into exactly one polygon.
-  The point side is salted so a cell holding a third of all points is spread over
-  ``salt`` tasks (the polygon cells are replicated ``salt`` times).
+* Point in polygon (J9): polygons are exploded onto grid cells; points fall in exactly
+  one cell; the equi-join on cells finds candidates. Cells inside a polygon decide at
+  once, on border cells an even-odd ray-casting test over all rings (holes included)
+  does. Half-open edges put a point on a shared edge into exactly one polygon.
+  Only cells with very many points, found by a count, are split over several tasks.
 * Raster sample (J11): pixel (row, col) from the affine transform, joined to the
   pixel table; points whose centre pixel is invalid take the mean of the valid 3x3
   neighbours in a second, smaller join.
@@ -25,7 +24,8 @@ from pyspark.sql import functions as F
 
 from civicflow.functions import labels as L
 
-SALT = 8
+SALT = 8  # ways that a hot cell is split into, at most
+HOT_ROWS = 1_000_000  # points of one cell or pixel from which it is split
 EARTH_KM = 6371.0088
 
 
@@ -55,8 +55,11 @@ def _bbox(rings: Column) -> dict[str, Column]:
     return {"minx": F.array_min(xs), "maxx": F.array_max(xs), "miny": F.array_min(ys), "maxy": F.array_max(ys)}
 
 
-def polygon_cells(polys: DataFrame, cell: float, salt: int = SALT) -> DataFrame:
-    """(geoid, rings, cx, cy, salt) for every grid cell a polygon's bounding box touches."""
+def polygon_cells(polys: DataFrame, cell: float) -> DataFrame:
+    """(..., rings, cx, cy, interior) for every grid cell that a polygon may hold points of.
+
+    A cell that no edge's bounding box touches lies on one side of the polygon: inside it is
+    marked ``interior`` (its points need no ray test), outside it is left out."""
     b = _bbox(F.col("rings"))
     out = polys.select(
         "*",
@@ -65,25 +68,48 @@ def polygon_cells(polys: DataFrame, cell: float, salt: int = SALT) -> DataFrame:
         "*",
         F.explode(F.sequence(F.floor(b["miny"] / cell), F.floor(b["maxy"] / cell))).alias("cy"),
     )
-    return out.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("salt"))
+    x0, y0 = F.col("cx") * F.lit(cell), F.col("cy") * F.lit(cell)
+    slack = cell * 1e-9  # a border on the grid line belongs to the cells on both sides
+
+    def touches(ring):
+        def edge(i):
+            a, b = ring[i], ring[i + 1]
+            return ((F.least(a["x"], b["x"]) <= x0 + cell + slack) & (F.greatest(a["x"], b["x"]) >= x0 - slack)
+                    & (F.least(a["y"], b["y"]) <= y0 + cell + slack) & (F.greatest(a["y"], b["y"]) >= y0 - slack))
+
+        return F.exists(F.sequence(F.lit(0), F.size(ring) - 2), edge)
+
+    border = F.exists("rings", touches)
+    out = out.withColumn("interior", ~border).withColumn("_inside", contains(F.col("rings"), x0 + cell / 2, y0 + cell / 2))
+    return out.where("NOT interior OR _inside").drop("_inside")
+
+
+def split_hot(points: DataFrame, small: DataFrame, keys: list[str], row_key: str, hot_rows: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join on ``keys`` with a further key ``_way``: 0, but for key values with more than
+    ``hot_rows`` points, whose points are dealt over several ways and whose rows of the small side
+    are repeated for each. The values come from a count; at most (points / hot_rows) there are."""
+    hot = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows).select(
+        *keys, F.least(F.ceil(F.col("_n") / hot_rows), F.lit(most)).cast("int").alias("_ways")).checkpoint()
+    if hot.isEmpty():
+        return points.withColumn("_way", F.lit(0)), small.withColumn("_way", F.lit(0))
+    ways = F.coalesce("_ways", F.lit(1))
+    dealt = points.join(F.broadcast(hot), keys, "left").withColumn("_way", F.pmod(F.xxhash64(F.col(row_key)), ways).cast("int"))
+    repeated = small.join(F.broadcast(hot), keys, "left").withColumn("_way", F.explode(F.sequence(F.lit(0), ways - 1)))
+    return dealt.drop("_ways"), repeated.drop("_ways")
 
 
 def point_in_polygon(
     points: DataFrame, polys: DataFrame, x: str, y: str, key: str, cell: float, salt: int = SALT,
-    keep: tuple[str, ...] = ("geoid",),
+    keep: tuple[str, ...] = ("geoid",), hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Left spatial join; points outside every polygon get nulls.
-    Polygons are assumed not to overlap (tracts partition the plane)."""
-    cells = polygon_cells(polys.select(*keep, "rings"), cell, salt)
-    pts = points.select(
-        "*",
-        F.floor(F.col(x) / cell).alias("cx"),
-        F.floor(F.col(y) / cell).alias("cy"),
-        F.pmod(F.xxhash64(F.col(key)), F.lit(salt)).alias("salt"),
-    )
+    Polygons are assumed not to overlap (tracts partition the plane). A cell with more than
+    ``hot_rows`` points is split, at most ``salt`` times; all others meet each polygon cell once."""
+    pts = points.select("*", F.floor(F.col(x) / cell).alias("cx"), F.floor(F.col(y) / cell).alias("cy"))
+    pts, cells = split_hot(pts, polygon_cells(polys.select(*keep, "rings"), cell), ["cx", "cy"], key, hot_rows, salt)
     cond = (
-        (pts.cx == cells.cx) & (pts.cy == cells.cy) & (pts.salt == cells.salt)
-        & contains(cells.rings, pts[x], pts[y])
+        (pts.cx == cells.cx) & (pts.cy == cells.cy) & (pts._way == cells._way)
+        & (cells.interior | contains(cells.rings, pts[x], pts[y]))
     )
     j = pts.join(cells, cond, "left")
     return j.select(*[pts[c] for c in points.columns], *[cells[c] for c in keep])
@@ -167,25 +193,27 @@ def raster_info(pixels: DataFrame, t: dict) -> DataFrame:
 
 
 def sample_raster(points: DataFrame, pixels: DataFrame, t: dict, key: str, lon: str = "long", lat: str = "lat",
-                  salt: int = SALT) -> DataFrame:
+                  salt: int = SALT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Value of the pixel under each point (in-bounds only); an invalid centre takes
-    the mean of the valid pixels of its 3x3 block. Adds ``elevation_m`` rounded to 1."""
+    the mean of the valid pixels of its 3x3 block. Adds ``elevation_m`` rounded to 1. A pixel with more
+    than ``hot_rows`` points is split, at most ``salt`` times."""
     info = pixels.agg((F.max("row") + 1).alias("_h"), (F.max("col") + 1).alias("_w"))
     r, c = pixel_of(F.col(lon), F.col(lat), t)
     pts = points.select("*", r.alias("_row"), c.alias("_col")).crossJoin(F.broadcast(info))  # one-row frame
     pts = pts.withColumn(
         "_in", (F.col("_row") >= 0) & (F.col("_row") < F.col("_h")) & (F.col("_col") >= 0) & (F.col("_col") < F.col("_w"))
-    ).withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salt)))
+    )
     px = pixels.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col("value").alias("_v"))
-    px_salted = px.select("*", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))).alias("_salt"))
-    centre = pts.join(px_salted, ["_row", "_col", "_salt"], "left")
-    need = centre.filter(F.col("_in") & F.col("_v").isNull()).select(key, "_row", "_col", "_salt")
+    pts, px_split = split_hot(pts, px, ["_row", "_col"], key, hot_rows, salt)
+    centre = pts.join(px_split, ["_row", "_col", "_way"], "left")
+    # An invalid centre's block depends on the pixel alone: one mean a pixel, whatever its points.
+    need = centre.filter(F.col("_in") & F.col("_v").isNull()).select("_row", "_col").distinct()
     offs = F.explode(F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr in (-1, 0, 1) for dc in (-1, 0, 1)]))
-    block = need.select(key, "_salt", (F.col("_row")).alias("_r0"), F.col("_col").alias("_c0"), offs.alias("o")).select(
-        key, "_salt", (F.col("_r0") + F.col("o.dr")).alias("_row"), (F.col("_c0") + F.col("o.dc")).alias("_col")
+    block = need.select(F.col("_row").alias("_r0"), F.col("_col").alias("_c0"), offs.alias("o")).select(
+        "_r0", "_c0", (F.col("_r0") + F.col("o.dr")).alias("_row"), (F.col("_c0") + F.col("o.dc")).alias("_col")
     )
-    fallback = block.join(px_salted, ["_row", "_col", "_salt"]).groupBy(key).agg(F.avg("_v").alias("_nb"))
-    out = centre.join(fallback, key, "left")
+    means = block.join(px, ["_row", "_col"]).groupBy(F.col("_r0").alias("_row"), F.col("_c0").alias("_col")).agg(F.avg("_v").alias("_nb"))
+    out = centre.join(means, ["_row", "_col"], "left")
     value = F.when(F.col("_in"), F.coalesce(F.col("_v"), F.col("_nb")))
     return out.select(*points.columns, F.round(value, 1).alias("elevation_m"))
 

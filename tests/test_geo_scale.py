@@ -103,3 +103,67 @@ def test_zonal_rows_do_not_grow_with_the_buffer(spark):
         # a window of side + 1 pixels by 1.3 times that: two rows of tiles, three columns at most
         width = 2 * buffer_m / (111000.0 * math.cos(math.radians(37.97))) / RASTER["dx"]
         assert width / side < 1.35 or side == 2
+
+
+def rings(*paths):
+    return [[{"x": float(x), "y": float(y)} for x, y in path] for path in paths]
+
+
+POLYGONS = [
+    ("ell", rings([(0, 0), (6, 0), (6, 2.5), (2.5, 2.5), (2.5, 6), (0, 6), (0, 0)])),
+    ("holed", rings([(7, 0), (13, 0), (13, 6), (7, 6), (7, 0)], [(8.5, 1.5), (8.5, 4.5), (11.5, 4.5), (11.5, 1.5), (8.5, 1.5)])),
+    ("slanted", rings([(14, 0), (20, 3), (17, 9), (14, 0)])),
+]
+POLYGON_SCHEMA = "geoid string, rings array<array<struct<x:double,y:double>>>"
+
+
+def inside(polygon, x, y):
+    odd = False
+    for ring in polygon:
+        for a, b in zip(ring, ring[1:]):
+            if (a["y"] > y) != (b["y"] > y) and x < (b["x"] - a["x"]) * (y - a["y"]) / (b["y"] - a["y"]) + a["x"]:
+                odd = not odd
+    return odd
+
+
+@pytest.mark.parametrize("cell,hot_rows", [(1.0, 10**6), (0.37, 10**6), (4.0, 20), (1.0, 3)])
+def test_point_in_polygon_equals_ray_test(spark, cell, hot_rows):
+    rng = random.Random(6)
+    points = [(k, rng.uniform(-1, 21), rng.uniform(-1, 10)) for k in range(500)] + [(1000 + k, 1.2, 1.3) for k in range(60)]
+    points += [(2000 + k, float(x), float(y)) for k, (x, y) in enumerate([(6, 1), (0, 0), (7, 3), (8.5, 3), (2.5, 4), (13, 6), (14, 0)])] + [(3000, None, 1.0)]
+    pts, polys = spark.createDataFrame(points, "k int, x double, y double"), spark.createDataFrame(POLYGONS, POLYGON_SCHEMA)
+    found = {r["k"]: r["geoid"] for r in G.point_in_polygon(pts, polys, "x", "y", "k", cell, hot_rows=hot_rows).collect()}
+    assert found == {k: None if x is None else next((g for g, p in POLYGONS if inside(p, x, y)), None) for k, x, y in points}
+
+
+def test_cells_are_marked_and_not_repeated(spark):
+    polys = spark.createDataFrame(POLYGONS, POLYGON_SCHEMA)
+    cells = G.polygon_cells(polys, 0.5)
+    assert cells.count() == cells.select("geoid", "cx", "cy").distinct().count()
+    marked = {(r["geoid"], r["cx"], r["cy"]): r["interior"] for r in cells.select("geoid", "cx", "cy", "interior").collect()}
+    assert sum(marked.values()) > 50 and not all(marked.values())
+    assert ("holed", 19, 5) not in marked  # in the hole
+    pts = spark.range(1000).selectExpr("id k", "cast(id % 20 as double) x", "cast(id % 9 as double) y", "id % 20 cx", "id % 9 cy")
+    dealt, repeated = G.split_hot(pts, cells, ["cx", "cy"], "k", 10**6, 8)
+    assert repeated.count() == cells.count() and dealt.where("_way <> 0").isEmpty()
+    dealt, repeated = G.split_hot(pts.withColumn("cx", F.lit(1).cast("long")).withColumn("cy", F.lit(1).cast("long")), cells, ["cx", "cy"], "k", 200, 8)
+    assert dealt.select("_way").distinct().count() == 5 and dealt.count() == 1000
+    assert repeated.count() == cells.count() + 4 * cells.where("cx = 1 AND cy = 1").count()
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 5])
+def test_raster_sample_equals_pixels(spark, hot_rows):
+    rng = np.random.default_rng(9)
+    grid = np.round(rng.normal(50, 20, (12, 15)), 1)
+    grid[rng.random(grid.shape) < 0.4] = np.nan
+    pixels = spark.createDataFrame([(r, c, None if math.isnan(v) else float(v)) for (r, c), v in np.ndenumerate(grid)], "row int, col int, value double")
+    points = [(k, 38.001 - rng.random() * 0.015, -123.001 + rng.random() * 0.018) for k in range(120)] + [(500 + k, 37.9955, -122.9945) for k in range(40)]
+    pts = spark.createDataFrame([(int(k), float(a), float(b)) for k, a, b in points], "k int, lat double, long double")
+    found = {r["k"]: r["elevation_m"] for r in G.sample_raster(pts, pixels, RASTER, "k", hot_rows=hot_rows).collect()}
+    for k, lat, lon in points:
+        r, c = math.floor((RASTER["y0"] - lat) / RASTER["dy"]), math.floor((lon - RASTER["x0"]) / RASTER["dx"])
+        want = None
+        if 0 <= r < 12 and 0 <= c < 15:
+            block = grid[max(r - 1, 0) : r + 2, max(c - 1, 0) : c + 2]
+            want = grid[r, c] if not math.isnan(grid[r, c]) else None if np.isnan(block).all() else np.nanmean(block)
+        assert (found[k] is None) == (want is None) and (want is None or abs(found[k] - want) < 0.0501)
