@@ -1,8 +1,7 @@
 """Registered zone queries: k-means zones, elbow sweep, per-category k-means,
 service-area box filter, size-ordered relabelling.
 
-Stand-in points for k-means: the first two embedding dimensions with the
-embedding label as category (SURVEY 7.2)."""
+k-means runs on the positions of the stand-in requests inside the service area."""
 
 from __future__ import annotations
 
@@ -18,32 +17,41 @@ _FITS: dict = {}
 
 
 def points(spark, sf_dir):
-    e = read_table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label")
-    return e.select(
-        "vec_id",
-        F.col("embedding")[0].cast("double").alias("lat"),
-        F.col("embedding")[1].cast("double").alias("long"),
-        F.concat(F.lit("c"), F.col("label").cast("string")).alias("category_short"),
-    )
+    """Requests inside the service area (the rows of ``bbox_filter``) with position and category."""
+    raw = raw_requests(spark, sf_dir)
+    inside = raw.filter(clean.in_bbox(F.col("lat"), F.col("long"), clean.SERVICE_AREA))
+    return inside.select(F.col("OBJECTID").alias("object_id"), "lat", "long", F.col("category").alias("category_short"))
 
 
 def fitted(spark, sf_dir):
-    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), state(spark, sf_dir, "embeddings"))
+    """(places by category, standardised places, model), once per session and state of the tables."""
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""),
+           state(spark, sf_dir, "lineitem", "orders", "customer", "nation"))
     if key not in _FITS:
-        pts = Z.standardise(points(spark, sf_dir)).checkpoint()
-        _FITS[key] = (pts, Z.fit_best(pts, Z.K))
+        by_category = Z.places(points(spark, sf_dir), "category_short").checkpoint()
+        pts = by_category.groupBy("lat", "long").agg(F.sum("weight").alias("weight")).checkpoint()
+        scaled = Z.standardise(pts).checkpoint()
+        _FITS[key] = (by_category, scaled, Z.fit_best(scaled, Z.K))
     return _FITS[key]
 
 
 def q_kmeans_zones(spark, sf_dir):
-    pts, model = fitted(spark, sf_dir)
-    return profile.zone_summary(Z.assign(model, pts))
+    by_category, pts, model = fitted(spark, sf_dir)
+    labelled = Z.assign(model, Z.standardise(by_category, stats=Z.statistics(pts)), pts)
+    return Z.zone_summary(labelled, "category_short")
+
+
+def q_request_zones(spark, sf_dir):
+    """M6: the zone of every request inside the service area."""
+    _, pts, model = fitted(spark, sf_dir)
+    rows = Z.standardise(points(spark, sf_dir), stats=Z.statistics(pts))
+    return Z.assign(model, rows, pts).select("object_id", "lat", "long", "cluster")
 
 
 def q_kmeans_metrics(spark, sf_dir):
-    pts, model = fitted(spark, sf_dir)
+    _, pts, model = fitted(spark, sf_dir)
     sil = Z.silhouette(model, pts)
-    return pts.agg(F.count(F.lit(1)).cast("long").alias("n_records")).select(
+    return pts.agg(F.sum("weight").cast("long").alias("n_records")).select(
         F.lit("KMeans").alias("model"), F.lit(Z.K).alias("k"), F.lit(round(sil, 4)).alias("silhouette_score"),
         "n_records", F.lit("fixed k with elbow and silhouette sweep").alias("k_selection"),
         F.lit(round(model.summary.trainingCost, 2)).alias("inertia"),
@@ -51,8 +59,7 @@ def q_kmeans_metrics(spark, sf_dir):
 
 
 def q_kmeans_elbow(spark, sf_dir):
-    pts, _ = fitted(spark, sf_dir)
-    return Z.elbow(pts)
+    return Z.elbow(fitted(spark, sf_dir)[1])
 
 
 def q_category_kmeans(spark, sf_dir):
@@ -79,6 +86,7 @@ def q_zone_relabel_by_size(spark, sf_dir):
 
 QUERIES = {
     "kmeans_zones": q_kmeans_zones,
+    "request_zones": q_request_zones,
     "kmeans_metrics": q_kmeans_metrics,
     "kmeans_elbow": q_kmeans_elbow,
     "category_kmeans": q_category_kmeans,
