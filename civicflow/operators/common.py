@@ -28,15 +28,16 @@ def top_k_per_group(
 RANK_BUCKET_BITS = 16
 
 
-def hash_rank(df: DataFrame, group: list[str], key: str, seed: int) -> DataFrame:
+def hash_rank(df: DataFrame, group: list[str], key: str, seed: int, h: Column | None = None) -> DataFrame:
     """Exact 1-based rank of each row inside its group by (seeded hash of ``key``, key),
-    plus the group size, without sorting a whole group in one task.
+    plus the group size, without sorting a whole group in one task. ``h`` replaces the
+    hash: any evenly spread signed 64-bit column.
 
     The hash's high bits split every group into 2**16 ordered buckets; a bucket's
     offset is the number of rows in the group's earlier buckets (a running sum over at
     most 2**16 small rows per group); a row's rank is offset + its rank inside its
     bucket, where each bucket holds ~1/65536 of the group."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
+    h = F.xxhash64(F.col(key), F.lit(seed)) if h is None else h
     bucket = F.shiftright(h, 64 - RANK_BUCKET_BITS) + F.lit(1 << (RANK_BUCKET_BITS - 1))
     rows = df.withColumn("_h", h).withColumn("_bkt", bucket)
     sizes = rows.groupBy(*group, "_bkt").agg(F.count(F.lit(1)).alias("_c"))

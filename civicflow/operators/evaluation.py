@@ -10,9 +10,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civicflow.functions.draws import SPAN, draw
 from civicflow.operators.common import hash_rank, ntile_of_rank
 
 SUMMARY_ROWS = ("accuracy", "macro avg", "weighted avg")
@@ -91,21 +92,26 @@ def top_confusions(confusion: DataFrame, k: int = 10) -> DataFrame:
     return off.orderBy(F.desc("n"), "true_label", "pred_label").limit(k)
 
 
+def _signed_draw(seed: int, key: str) -> Column:
+    """The seeded draw of a row as a signed 64-bit number, in the same order."""
+    return (draw(seed, F.col(key)) - F.lit(SPAN // 2)) * F.lit((1 << 64) // SPAN)
+
+
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """Per class the round(share * n) rows first in seeded-hash order are 'test'.
+    """Per class the round(share * n) rows first in the order of a seeded draw are 'test'.
     Exact per class and deterministic; ranks come from ``hash_rank``, so a class
     holding a third of all rows is still spread over many tasks."""
-    ranked = hash_rank(df, [label], key, seed)
+    ranked = hash_rank(df, [label], key, seed, _signed_draw(seed, key))
     test = F.col("_rank") <= F.round(F.col("_n") * test_share)
     return ranked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_rank", "_n")
 
 
 def assign_folds(train: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """Stratified k-fold ids (1..k): ntile of the seeded-hash rank inside each class."""
-    ranked = hash_rank(train, [label], key, seed + 1)
+    """Stratified k-fold ids (1..k): ntile of the rank by a seeded draw inside each class."""
+    ranked = hash_rank(train, [label], key, seed + 1, _signed_draw(seed + 1, key))
     return ranked.withColumn("fold", ntile_of_rank(F.col("_rank"), F.col("_n"), k)).drop("_rank", "_n")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """N rows chosen by a seeded hash (a sampling operator: the limit is the feature)."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """N rows chosen by a seeded draw (a sampling operator: the limit is the feature)."""
+    return df.orderBy(draw(seed, F.col(key)), key).limit(n)

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from civicflow.functions.draws import draw
 from civicflow.operators import smoothing
 from civicflow.operators.smoothing import ADD, DAMPED, SEASON, SEASONAL  # noqa: F401
 
@@ -163,7 +164,7 @@ def fitted_residuals(model_rows: DataFrame) -> DataFrame:
 def bootstrap_intervals(
     forecasts: DataFrame, residuals: DataFrame, n_boot: int = N_BOOT, seed: int = BOOT_SEED, cumulative: bool = True
 ) -> DataFrame:
-    """F6 + W8: residual bootstrap. Each (path, step) draws a residual by a seeded hash;
+    """F6 + W8: residual bootstrap. Each (path, step) draws a residual by its own seeded draw;
     cumulative=True sums draws along each path (zone scheme), False sums step+1
     independent draws per step (city scheme). Percentiles 2.5/10/90/97.5, lower bounds floored at 0.
     Work is (series x paths x steps) rows, distributed by series and path."""
@@ -171,17 +172,17 @@ def bootstrap_intervals(
     base = base.withColumn("_nres", F.size("residuals")).filter(F.col("_nres") > 0)
     paths = base.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_boot))).alias("path"))
 
-    def draw(k: Column) -> Column:
-        idx = F.pmod(F.xxhash64(F.col("series_id"), F.col("path"), k, F.lit(seed)), F.col("_nres")) + 1
+    def drawn(k: Column) -> Column:
+        idx = draw(seed, F.col("series_id"), F.col("path"), k) % F.col("_nres") + 1
         return F.element_at(F.col("residuals"), idx.cast("int"))
 
     if cumulative:
-        d = paths.withColumn("_draw", draw(F.col("h")))
+        d = paths.withColumn("_draw", drawn(F.col("h")))
         w = Window.partitionBy("series_id", "path").orderBy("h").rowsBetween(Window.unboundedPreceding, 0)
         d = d.withColumn("_noise", F.sum("_draw").over(w))
     else:
         sums = F.aggregate(
-            F.sequence(F.lit(1), F.col("h")), F.lit(0.0), lambda acc, j: acc + draw(F.col("h") * 1000 + j)
+            F.sequence(F.lit(1), F.col("h")), F.lit(0.0), lambda acc, j: acc + drawn(F.col("h") * 1000 + j)
         )
         d = paths.withColumn("_noise", sums)
     d = d.withColumn("_sim", F.col("forecast") + F.col("_noise"))

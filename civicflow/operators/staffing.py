@@ -34,11 +34,13 @@ def workload_index(forecasts: DataFrame, perf: DataFrame) -> DataFrame:
 
 
 def staffing_summary(index: DataFrame) -> DataFrame:
-    """13-week total, weekly mean, mean workload share and recommended share (%)."""
+    """13-week total, weekly mean, mean workload share and recommended share (%). Shares have four
+    decimals: they are summed as whole ten-thousandths, so the mean does not depend on the order."""
+    share = F.sum(F.round(F.col("workload_share") * 10000.0)) / F.count("workload_share") / 10000.0
     s = index.groupBy(ZONE).agg(
         F.round(F.sum("forecast"), 1).alias("fc_13wk_total"),
         F.round(F.avg("forecast"), 1).alias("mean_weekly_fc"),
-        F.round(F.avg("workload_share"), 3).alias("mean_workload_share"),
+        F.round(share, 3).alias("mean_workload_share"),
         F.max("complexity_weight").alias("complexity_weight"),
         F.max("backlog_rate").alias("backlog_rate"),
         F.max("is_proportional").alias("is_proportional"),

@@ -154,4 +154,6 @@ city AS (SELECT h, week_start, model AS city_model, forecast AS city_forecast FR
 SELECT series_id, h, week_start, 'Proportional (' || city_model || ')' AS model, prop_share,
        round(city_forecast * prop_share, 4) AS forecast
 FROM cls CROSS JOIN city""",
+    "bootstrap_ci": FS.bootstrap_sql(_FULL_FC, FS.residuals_sql(_REFIT)),
+    "bootstrap_ci_independent": FS.bootstrap_sql(_FULL_FC, FS.residuals_sql(_REFIT), cumulative=False),
 }

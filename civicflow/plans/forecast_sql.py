@@ -8,7 +8,8 @@ produce the same doubles; ties are broken the same way.
 from __future__ import annotations
 
 from civicflow.operators import smoothing as FC
-from civicflow.operators.forecast import HORIZON
+from civicflow.functions.draws import draw_sql
+from civicflow.operators.forecast import BOOT_SEED, HORIZON, N_BOOT
 
 
 def _d(x: float) -> str:
@@ -237,3 +238,20 @@ def residuals_sql(rows: str, m: int = FC.SEASON) -> str:
             f"'res': list_concat(acc.res, [{e}])")
     init = f"{{'l': l0, 'b': b0, 's': {init_s}, 'res': CAST([] AS DOUBLE[])}}"
     return f"SELECT series_id, model, list_reduce(ys, lambda acc, y: {{{body}}}, {init}).res AS residuals FROM ({rows}) r"
+
+
+def bootstrap_sql(forecasts: str, residuals: str, cumulative: bool = True, n_boot: int = N_BOOT, seed: int = BOOT_SEED) -> str:
+    """Twin of ``bootstrap_intervals`` over (series_id, model, h, week_start, forecast) and (series_id, model, residuals)."""
+    if cumulative:
+        pick = f"residuals[{draw_sql(seed, 'series_id', 'path', 'h')} % len(residuals) + 1]"
+        noise = f"sum({pick}) OVER (PARTITION BY series_id, path ORDER BY h ROWS UNBOUNDED PRECEDING)"
+    else:
+        pick = f"residuals[{draw_sql(seed, 'series_id', 'path', 'h * 1000 + j')} % len(residuals) + 1]"
+        noise = f"list_reduce(list_transform(range(1, h + 1), lambda j: {pick}), lambda a, x: a + x, {_d(0.0)})"
+    q = {p: f"round(quantile_cont(sim, {p}), 1)" for p in (0.025, 0.1, 0.9, 0.975)}
+    return f"""
+SELECT series_id, model, h, week_start, round(forecast, 1) + {_d(0.0)} AS forecast,
+       greatest({q[0.1]} + {_d(0.0)}, {_d(0.0)}) AS lo_80, {q[0.9]} + {_d(0.0)} AS hi_80, greatest({q[0.025]} + {_d(0.0)}, {_d(0.0)}) AS lo_95, {q[0.975]} + {_d(0.0)} AS hi_95
+FROM (SELECT *, forecast + {noise} AS sim
+      FROM (SELECT * FROM ({forecasts}) f JOIN ({residuals}) r USING (series_id, model)) fr, range(1, {n_boot + 1}) t(path) WHERE len(residuals) > 0) s
+GROUP BY series_id, model, h, week_start, forecast"""

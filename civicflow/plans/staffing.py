@@ -1,9 +1,8 @@
 """Registered staffing / KPI queries.
 
-The SQL-checked variants take a transparent zone forecast (seasonal naive: the
-same week one year earlier) so the whole chain is expressible in DuckDB; the
-``*_holt`` variants run the same operators on the exponential-smoothing
-forecasts with bootstrap intervals (checked on rows and by property tests).
+One variant takes a transparent zone forecast (seasonal naive: the same week one
+year earlier), the ``*_holt`` variant runs the same operators on the
+exponential-smoothing forecasts with bootstrap intervals. Both have SQL twins.
 """
 
 from __future__ import annotations
@@ -92,7 +91,7 @@ def q_horizon_kpis(spark, sf_dir):
     return staffing.horizon_kpis(fc, dense(spark, sf_dir))
 
 
-# --- exponential-smoothing chain (rows-only check) ---------------------------
+# --- exponential-smoothing chain ----------------------------------------------
 
 def _own_and_shared(spark, sf_dir, winners: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(classified zones, refit models, point forecasts): a regular zone has its own model, a sparse
@@ -238,22 +237,55 @@ SELECT cluster, round(mean_days / cm, 4) AS complexity_weight, round(pct_over_30
 FROM ({_ZONE_PERF}) p CROSS JOIN (SELECT avg(mean_days) AS cm FROM ({_ZONE_PERF}) q) c
 """
 
-_INDEX = f"""
+
+
+def _index_sql(forecast: str) -> str:
+    return f"""
 SELECT *, round(raw_workload / city_total, 4) AS workload_share FROM (
   SELECT *, sum(raw_workload) OVER (PARTITION BY week_start) AS city_total FROM (
     SELECT f.*, coalesce(w.complexity_weight, 1.0) AS complexity_weight, coalesce(w.backlog_rate, 0.0) AS backlog_rate,
            round(f.forecast * coalesce(w.complexity_weight, 1.0) * (1.0 + coalesce(w.backlog_rate, 0.0)), 3) AS raw_workload
-    FROM ({_NAIVE}) f LEFT JOIN ({_WEIGHTS}) w USING (cluster)) a) b
+    FROM ({forecast}) f LEFT JOIN ({_WEIGHTS}) w USING (cluster)) a) b
 """
 
-_SUMMARY = f"""
+
+def _summary_sql(index: str) -> str:
+    share = "round(sum(round(workload_share * 10000.0)) / count(workload_share) / 10000.0, 3)"
+    return f"""
 SELECT cluster, round(sum(forecast), 1) AS fc_13wk_total, round(avg(forecast), 1) AS mean_weekly_fc,
-       round(avg(workload_share), 3) AS mean_workload_share, max(complexity_weight) AS complexity_weight,
+       {share} AS mean_workload_share, max(complexity_weight) AS complexity_weight,
        max(backlog_rate) AS backlog_rate, bool_or(is_proportional) AS is_proportional,
-       round(round(avg(workload_share), 3) * 100.0, 1) AS recommended_fte_share
-FROM ({_INDEX}) i GROUP BY cluster
+       round({share} * 100.0, 1) AS recommended_fte_share
+FROM ({index}) i GROUP BY cluster
 """
 
+
+_INDEX = _index_sql(_NAIVE)
+_SUMMARY = _summary_sql(_INDEX)
+
+_CLASSES = f"""
+WITH d AS ({DENSE_SQL}),
+ct AS (SELECT sum(y) AS city_total FROM d WHERE series_id = 'city'),
+z AS (SELECT series_id, avg(y) AS m, avg(CAST(y = 0 AS DOUBLE)) AS zp, sum(y) AS s FROM d
+      WHERE series_id <> 'city' GROUP BY series_id)
+SELECT series_id, (m < 8 OR zp > 0.2) AS is_sparse,
+       round(CASE WHEN city_total > 0 THEN s / city_total ELSE 0.0 END, 4) AS prop_share FROM z CROSS JOIN ct"""
+_RESIDUALS = FS.residuals_sql(PF._REFIT)
+_ZONE_POINTS = f"""
+SELECT f.series_id, f.model, f.h, f.week_start, f.forecast FROM ({PF._FULL_FC}) f JOIN ({_CLASSES}) c USING (series_id) WHERE NOT is_sparse
+UNION ALL
+SELECT c.series_id, 'Proportional (' || f.model || ')', f.h, f.week_start, f.forecast * c.prop_share
+FROM ({_CLASSES}) c CROSS JOIN ({PF._FULL_FC}) f WHERE c.is_sparse AND f.series_id = 'city'"""
+_ZONE_RESIDUALS = f"""
+SELECT r.series_id, r.model, r.residuals FROM ({_RESIDUALS}) r JOIN ({_CLASSES}) c USING (series_id) WHERE NOT is_sparse
+UNION ALL
+SELECT c.series_id, 'Proportional (' || r.model || ')', list_transform(r.residuals, lambda x: x * c.prop_share)
+FROM ({_CLASSES}) c CROSS JOIN ({_RESIDUALS}) r WHERE c.is_sparse AND r.series_id = 'city'"""
+_ZONE_WEEKLY = f"""
+SELECT CAST(series_id AS INTEGER) AS cluster, week_start, greatest(forecast, 0.0) AS forecast, lo_80, hi_80, lo_95, hi_95, model,
+       is_sparse AS is_proportional
+FROM ({FS.bootstrap_sql(_ZONE_POINTS, _ZONE_RESIDUALS)}) b JOIN ({_CLASSES}) c USING (series_id)"""
+
 _PREMIUM = f"""
 SELECT cluster, round(v, 2) AS volume_share, round(recommended_fte_share - v, 2) AS workload_premium,
        recommended_fte_share, complexity_weight, backlog_rate
@@ -277,6 +309,8 @@ FROM ({_ZONE_METRICS}) m WHERE is_proportional""",
 SELECT cluster, week_start, forecast, complexity_weight, backlog_rate, raw_workload, round(city_total, 3) AS city_total,
        workload_share FROM ({_INDEX}) i""",
     "staffing_summary": _SUMMARY,
+    "zone_forecast_weekly": _ZONE_WEEKLY,
+    "staffing_holt": _summary_sql(_index_sql(_ZONE_WEEKLY)),
     "fte_allocation": f"""
 SELECT cluster, recommended_fte_share, round(recommended_fte_share / 100.0 * {float(HEADCOUNT)}, 1) AS fte
 FROM ({_SUMMARY}) s""",

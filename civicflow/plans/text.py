@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from civicflow.functions import stopwords
 from civicflow.functions import text as T
+from civicflow.functions.draws import draw_sql
 from civicflow.operators import evaluation as EV
 from civicflow.operators import text as X
 from civicflow.sources.tables import read_table, spread
@@ -348,4 +349,14 @@ f AS (SELECT source, fold, CAST(n_train // 5 + CASE WHEN fold <= n_train % 5 THE
       FROM t, range(1, 6) r(fold))
 SELECT source, 'test' AS split, CAST(NULL AS INTEGER) AS fold, n_test AS n FROM t WHERE n_test > 0
 UNION ALL SELECT source, 'train', CAST(fold AS INTEGER), n FROM f WHERE n > 0""",
+    "stratified_split": f"""
+WITH u AS ({_USABLE}),
+r AS (SELECT doc_id, source, count(*) OVER (PARTITION BY source) AS n,
+             row_number() OVER (PARTITION BY source ORDER BY {draw_sql(42, 'doc_id')}, doc_id) AS rk FROM u),
+s AS (SELECT doc_id, source, CASE WHEN rk <= round(n * 0.2) THEN 'test' ELSE 'train' END AS split FROM r WHERE n >= {MIN_CLASS_SIZE})
+SELECT doc_id, source, split, CAST(ntile(5) OVER (PARTITION BY source ORDER BY {draw_sql(43, 'doc_id')}, doc_id) AS INTEGER) AS fold
+FROM s WHERE split = 'train'
+UNION ALL SELECT doc_id, source, split, NULL FROM s WHERE split = 'test'""",
+    "seeded_sample": f"""
+SELECT doc_id, source FROM documents ORDER BY {draw_sql(42, 'doc_id')}, doc_id LIMIT 100""",
 }
