@@ -2,8 +2,8 @@
 (M11, M12, W9, L3, L7-L9, B12).
 
 Everything is derived from the (true, predicted) pairs by aggregation; the label
-set is a parameter (the class list of the data set), so no pass over the data is
-needed to build the matrix shape.
+set is a parameter (the class list of the data set), extended by labels that only
+the pairs hold, so no pair is lost.
 """
 
 from __future__ import annotations
@@ -24,24 +24,26 @@ def _labels(spark: SparkSession, labels: list[str]) -> DataFrame:
 
 
 def confusion_long(pairs: DataFrame, labels: list[str], true: str = "true_label", pred: str = "pred_label") -> DataFrame:
-    """M11 long form: every (true, pred) label pair with its count, zeros kept."""
+    """M11 long form: every (true, pred) label pair with its count, zeros kept. The labels are the given
+    ones and any others that the pairs hold; pairs with a null label are left out."""
     spark = pairs.sparkSession
     counts = pairs.groupBy(F.col(true).alias("true_label"), F.col(pred).alias("pred_label")).agg(
         F.count(F.lit(1)).alias("n")
-    )
-    lab = _labels(spark, labels)
+    ).where("true_label IS NOT NULL AND pred_label IS NOT NULL").checkpoint()  # labels squared at most, read thrice
+    lab = _labels(spark, labels).union(counts.select("true_label")).union(counts.select("pred_label")).distinct()
     grid = lab.select(F.col("label").alias("true_label")).crossJoin(lab.select(F.col("label").alias("pred_label")))
-    # grid is labels x labels (the class list squared), a parameter-sized frame. The
-    # result is that small too, and the report reads it several times: checkpoint it.
+    # grid is labels x labels (the class list squared). The result is that small too, and the
+    # report reads it several times: checkpoint it.
     return grid.join(counts, ["true_label", "pred_label"], "left").select(
         "true_label", "pred_label", F.coalesce("n", F.lit(0)).cast("long").alias("n")
     ).checkpoint()
 
 
 def confusion_matrix(pairs: DataFrame, labels: list[str], true: str = "true_label", pred: str = "pred_label") -> DataFrame:
-    """M11 wide form: one row per true label, one column per predicted label."""
+    """M11 wide form: one row per true label, one column per predicted label (others than the given come last)."""
     long = confusion_long(pairs, labels, true, pred)
-    return long.groupBy("true_label").pivot("pred_label", labels).agg(F.sum("n")).na.fill(0)
+    others = sorted({r[0] for r in long.select("pred_label").distinct().collect()} - set(labels))  # the class list
+    return long.groupBy("true_label").pivot("pred_label", [*labels, *others]).agg(F.sum("n")).na.fill(0)
 
 
 def classification_report(confusion: DataFrame) -> DataFrame:

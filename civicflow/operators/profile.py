@@ -164,8 +164,12 @@ def gap_table(gaps: DataFrame) -> DataFrame:
     return gaps.filter(F.col("gap_flag") != "").orderBy(F.desc("days_vs_city_median"), ZONE, CATEGORY)
 
 
-def gap_pivot(gaps: DataFrame, zones: list[int]) -> DataFrame:
-    """Category x zone matrix of mean gap days (rounded to 1)."""
+def gap_pivot(gaps: DataFrame, zones: list[int] | None = None) -> DataFrame:
+    """Category x zone matrix of mean gap days (rounded to 1), a column for each zone in the
+    data unless zones are given."""
+    if zones is None:
+        gaps = gaps.checkpoint()  # a row per zone and category, read twice
+        zones = [r[0] for r in gaps.select(ZONE).where(F.col(ZONE).isNotNull()).distinct().orderBy(ZONE).collect()]
     piv = gaps.groupBy(CATEGORY).pivot(ZONE, zones).agg(F.avg("days_vs_city_median"))
     return piv.select(CATEGORY, *[F.round(F.col(str(z)), 1).alias(f"z{z}") for z in zones])
 

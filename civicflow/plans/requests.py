@@ -46,7 +46,7 @@ def q_gap_table(spark, sf_dir):
 
 
 def q_gap_pivot(spark, sf_dir):
-    return profile.gap_pivot(profile.category_gap(cleaned(spark, sf_dir)), [1, 2, 3, 4, 5])
+    return profile.gap_pivot(profile.category_gap(cleaned(spark, sf_dir)))
 
 
 def q_category_topn(spark, sf_dir):

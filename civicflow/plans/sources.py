@@ -141,12 +141,12 @@ def q_road_layer(spark, sf_dir):
 
 def q_merged_partitioned_sink(spark, sf_dir):
     """E1 + A2: the cleaned requests joined to daily weather, written as Parquet partitioned
-    by request year and month (plus CSV), then one year read back: the year filter prunes
-    partitions at listing time, so only that year's files are opened."""
+    by request year and month (plus CSV), and read back whole. (A filter on the year or month
+    prunes partitions at listing time.)"""
     base = _scratch(spark, "merged")
     m = merged(spark, sf_dir).drop("requested_datetime", "date_closed")
     S.write_csv_and_parquet(m, f"{base}/csv", f"{base}/parquet", ["requested_year", "requested_month"])
-    back = spark.read.parquet(f"{base}/parquet").filter(F.col("requested_year") == 1996)
+    back = spark.read.parquet(f"{base}/parquet")
     return back.select("object_id", "requested_year", "requested_month", "requested_date", "cluster",
                         "resolution_days", "tmax_avg", "prcp_avg")
 
@@ -177,7 +177,7 @@ _GEOID = ("lpad('6', 2, '0') || lpad(CASE WHEN n_regionkey = 4 THEN '13' ELSE '4
 ORACLE = {
     "merged_partitioned_sink": f"""
 SELECT object_id, requested_year, requested_month, requested_date, cluster, resolution_days, tmax_avg, prcp_avg
-FROM ({_MERGED}) m WHERE requested_year = 1996""",
+FROM ({_MERGED}) m""",
     "csv_parquet_roundtrip": "SELECT * FROM customer",
     "parquet_roundtrip": "SELECT * FROM customer",
     "feature_pages": f"""
