@@ -81,7 +81,8 @@ class WordEncoder:
         marked = {}
         for w in [w for w in new if w[-1] in b".,"]:
             stem = w[:-1].decode("utf-8")
-            if stem.isalpha() and max(stem) < "\u0250":  # Latin letters and a mark are always two pieces
+            # Latin letters and a mark are two pieces; not so where a letter's lower case is a letter and a mark
+            if stem.isalpha() and max(stem) < "\u0250" and len(stem.lower()) == len(stem):
                 marked[w] = w[:-1], w[-1:]
                 new.discard(w)
                 new.update(x for x in marked[w] if x not in memo)

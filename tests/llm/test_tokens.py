@@ -109,3 +109,13 @@ def test_recount_null_edits(spark):
     df = spark.sql("select 1L doc_id, 'a b c' text, cast(null as array<struct<start:long,end:long,text:string>>) edits "
                    "union all select 2L, null, array(named_struct('start', null, 'end', null, 'text', null))")
     assert sorted(map(tuple, edit_counts.recount(df).select("doc_id", "n_before", "n_tokens").collect())) == [(1, 3, 3), (2, 0, 0)]
+
+
+def test_letters_before_a_mark_equal_library():
+    path = public_tokenizers.path(token_files.VOCABULARY)
+    library, own = Tokenizer.from_file(path), token_files.encoder(path)
+    rng = random.Random(1)
+    letters = [chr(c) for c in range(0x41, 0x250) if chr(c).isalpha()]
+    texts = ["İ.", "İ,", "aİ.", "İstanbul,", "ŉ,"] + ["".join(rng.choices(letters, k=rng.randint(1, 6))) + rng.choice(".,") for _ in range(3000)]
+    for text in texts:
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
