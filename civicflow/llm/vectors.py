@@ -208,8 +208,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     ship(spark)
     rows = staged(unit_vectors(vectors).withColumn("key", F.when(F.col("vec_id").isNotNull(), F.md5("vec"))), "vectors")
     distinct = rows.where("key is not null").groupBy("key").agg(
-        F.min("vec_id").alias("rid"), F.count("*").alias("weight"), F.first("vec").alias("vec"), F.first("dim").alias("dim"))
-    distinct = staged(distinct, "vectors-distinct")
+        F.min("vec_id").alias("low"), F.count("*").alias("weight"), F.first("vec").alias("vec"), F.first("dim").alias("dim"))
+    # Each distinct vector has a number of its own (a vec_id may stand for several), in the order of its smallest vec_id.
+    distinct = staged(distinct.repartitionByRange("low", "key").sortWithinPartitions("low", "key")
+                      .withColumn("rid", F.monotonically_increasing_id()), "vectors-distinct")
     shape = distinct.groupBy("dim").agg(F.count("*").alias("n")).collect()  # one row per vector length
     plans = {r["dim"]: plan(r["n"], r["dim"], threshold) for r in shape if r["n"] > 1}
     found = None
@@ -221,9 +223,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     found = staged(found, "vectors-links")
     links = found.where("b is null").groupBy("a").agg(F.sum("links").alias("links"))
     components = connected_components(found.where("b is not null").select("a", "b"), "vectors-cc")
-    reps = (distinct.select("key", "rid", "weight").join(links, F.col("rid") == F.col("a"), "left")
-            .join(components, F.col("rid") == F.col("node"), "left")
-            .select("key", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("__links"), F.coalesce("component", "rid").alias("__component")))
+    lowest = components.join(distinct.select(F.col("rid").alias("component"), F.col("low").alias("least")), "component").select("node", "least")
+    reps = (distinct.select("key", "rid", "low", "weight").join(links, F.col("rid") == F.col("a"), "left")
+            .join(lowest, F.col("rid") == F.col("node"), "left")
+            .select("key", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("__links"), F.coalesce("least", "low").alias("__component")))
     out = rows.select("vec_id", "key").join(reps, "key", "left")
     component = F.coalesce("__component", "vec_id")
     return out.select("vec_id", F.coalesce("__links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),

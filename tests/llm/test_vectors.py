@@ -86,3 +86,12 @@ def test_hadamard_is_orthonormal():
 
 def test_empty(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_an_id_with_two_vectors(spark):
+    a, b, c = np.eye(64)[:3]
+    rows = [(1, a), (1, b), (2, a + 0.1 * c), (3, b + 0.1 * c), (5, c), (4, c), (4, c), (4, a + b), (9, 3 * (a + b))]
+    rows = [(k, v.tolist()) for k, v in rows]
+    found = sorted(map(tuple, vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()))
+    assert found == sorted(brute(rows))
+    assert [f[1] for f in found[:4]] == [1, 1, 1, 1]
