@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +18,15 @@ from civicflow.session import scratch_path
 from civicflow.sources.tables import table_path
 
 _shipped: set[str] = set()
+#: Set where the session leaves them unset: a batch of long texts is bounded by its bytes.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable on every executor (once per application)."""
+    """Make this package importable on every executor (once per application); bound Arrow batches."""
+    for key, value in BATCH.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
@@ -60,6 +68,38 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def batched(run):
+    """``run`` for mapInArrow; at the end of a task the Arrow pool and the C heap give their
+    free pages back, so that an idle worker does not keep the task's peak."""
+    def with_release(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return with_release
+
+
+def release_memory() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def without_clash(df: DataFrame, work) -> DataFrame:
+    """``work(df)``, which returns rows of ``df`` with its columns; those that start with
+    ``__``, as the names of helpers do, have other names meanwhile."""
+    prefix = "kept"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    inner = [f"{prefix}{i}" if c.startswith("__") else c for i, c in enumerate(df.columns)]
+    done = work(df.toDF(*inner))
+    own = len(inner)
+    return done.toDF(*df.columns, *done.columns[own:])
+
+
 def checked_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """``df`` (staged, narrow rows) with a broadcast hint if it has at most ``rows`` rows;
     beyond that the join is left to shuffle."""

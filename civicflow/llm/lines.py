@@ -3,7 +3,7 @@
 A line is its words (cut at blanks). Two lines are duplicates if their words are equal, or if
 both have at least ``NEAR_WORDS`` words and one edit (a word replaced, added or missing)
 turns one into the other. Every line that has an earlier duplicate (by doc_id, then line
-number) is removed, judged on the input; lines under ``MIN_WORDS`` words stay.
+number) is removed, judged on the input, however short it is; blank lines stay.
 
 1. Equal lines become one class with its earliest place (one aggregate, map-side combined).
 2. One edit leaves the first or the last half of the words untouched: only classes that share
@@ -18,7 +18,7 @@ number) is removed, judged on the input; lines under ``MIN_WORDS`` words stay.
 5. The earliest partner of each class is verified word by word.
 
 Only DataFrame functions are used. Defined cases: null text stays null, with 0 lines; blank
-lines stay; rows with one doc_id and one text count as one document; a null doc_id counts as
+lines stay; a document may lose all its text and stays; rows with one doc_id and one text count as one document; a null doc_id counts as
 later than all others; all columns of the input stay.
 """
 
@@ -27,9 +27,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import checked_broadcast, staged
+from civicflow.llm.common import checked_broadcast, staged, without_clash
 
-MIN_WORDS = 4
 NEAR_WORDS = 8
 BLANKS = "[ \\\\t\\\\x0B\\\\f\\\\r]+"
 #: Blanks that a line may have beside single spaces between words.
@@ -55,11 +54,11 @@ def _plain_blanks(text: str) -> str:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """One row per line of at least MIN_WORDS words: place, class hash, keys of its halves."""
+    """One row per line that is not blank: place, class hash, keys of its halves."""
     rows = (_identified(docs).where("__text is not null")
             .select("__id", "__row", F.posexplode(F.split(F.expr(_plain_blanks("__text")), "\n")).alias("line_no", "line"))
             .select("__id", "__row", "line_no", F.expr("trim(line)").alias("line"))
-            .withColumn("n", F.expr("cast(octet_length(line) - octet_length(replace(line, ' ', '')) + 1 as int)")).where(f"n >= {MIN_WORDS}"))
+            .where("line <> ''").withColumn("n", F.expr("cast(octet_length(line) - octet_length(replace(line, ' ', '')) + 1 as int)")))
     halves = []
     for j, h in enumerate(("n div 2", "(n - 1) div 2")):
         for side, sign in (("first", ""), ("last", "-")):
@@ -128,6 +127,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 
 def drop_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated lines taken out of text; plus __n_lines and __n_removed."""
+    return without_clash(docs, _without_repeated)
+
+
+def _without_repeated(docs: DataFrame) -> DataFrame:
     marks = removed_lines(docs).select(F.col("__id").alias("__i"), F.col("__row").alias("__r"), "__removed")
     joined = _identified(docs).join(marks, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__row") == F.col("__r")), "left")
     lines = "split(__text, '\\n')"
@@ -151,7 +154,7 @@ WITH l AS (
 w AS (
   SELECT doc_id, i, line, list_filter(regexp_split_to_array(line, '[ \t\x0B\f\r]+'), lambda x: x <> '') AS w FROM l),
 c AS (
-  SELECT w, len(w) AS n, min((doc_id, i)) AS place FROM w WHERE len(w) >= {MIN_WORDS} GROUP BY w),
+  SELECT w, len(w) AS n, min((doc_id, i)) AS place FROM w WHERE len(w) >= 1 GROUP BY w),
 v AS (
   SELECT w, place, p, n - 1 AS m, array_to_string(w[1:p - 1] || w[p + 1:], ' ') AS rest
   FROM (SELECT *, unnest(range(1, n + 1)) AS p FROM c WHERE n >= {NEAR_WORDS})

@@ -26,9 +26,8 @@ def brute(rows):
         for line in text.split("\n"):
             w = line.replace("\r", " ").replace("\t", " ").replace("\x0b", " ").replace("\f", " ").split(" ")
             w = [x for x in w if x]
-            gone = len(w) >= lines.MIN_WORDS and any(
-                w == o or min(len(w), len(o)) >= lines.NEAR_WORDS and one_edit(w, o) for o in seen)
-            if len(w) >= lines.MIN_WORDS:
+            gone = any(w == o or min(len(w), len(o)) >= lines.NEAR_WORDS and one_edit(w, o) for o in seen)
+            if w:
                 seen.append(w)
             if not gone:
                 kept.append(line)
@@ -51,6 +50,7 @@ def rows():
     out = [(i, "\n".join(vary(rng.choice(base)) for _ in range(rng.randint(0, 6))), "x", 1) for i in range(120)]
     long = " ".join(f"w{i}" for i in range(3000))
     out += [(500, None, "x", 1), (501, "", "x", 1), (502, "\n\n", "x", 1), (503, long + "\n" + long.replace("w7 ", "v7 "), "x", 1),
+            (504, "one\ntwo words\none", "x", 1), (505, " two  words\n\tone \n", "x", 1),
             (None, base[3] + "\nsomething new that nobody has written before today", "x", 1), (3, out[3][1], "x", 1)]
     return out
 
@@ -72,3 +72,17 @@ def test_sql_twin(spark):
 
 def test_empty(spark):
     assert lines.dedup_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_short_lines_and_emptied_documents(spark):
+    df = spark.createDataFrame([(1, "Yes.\n\nthree short words"), (2, "Yes.\nthree  short words"), (3, "Yes.\nno\nYes.")], "doc_id long, text string")
+    got = lines.drop_repeated_lines(df).orderBy("doc_id").collect()
+    assert [r["text"] for r in got] == ["Yes.\n\nthree short words", "", "no"]
+    assert [r["__n_removed"] for r in got] == [0, 2, 2]
+
+
+def test_columns_named_as_helpers(spark):
+    df = spark.createDataFrame([(1, "a line that stands twice", 5, 6, 7), (2, "a line that stands twice\nx", 8, 9, 10)],
+                               "doc_id long, text string, __id int, __row int, __removed int")
+    got = lines.drop_repeated_lines(df).orderBy("doc_id").collect()
+    assert [tuple(r)[:5] for r in got] == [(1, "a line that stands twice", 5, 6, 7), (2, "x", 8, 9, 10)]
