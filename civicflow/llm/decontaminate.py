@@ -3,9 +3,11 @@
 Text is lower-cased and cut into words (runs of letters, digits and everything beyond ASCII);
 a shingle is five words, or all words of an item that has fewer.
 
-1. *Windows.* A window has as many words as a benchmark item. Similarity of 0.8 needs shared
-   shingles, so windows are laid where a shingle of the document is one of an item's, at the
-   place that lines the two up. Windows with equal words are one content from then on, so a
+1. *Windows.* A window has as many words as a benchmark item. Of a window and an item with m
+   shingles each, 4/9 of the 2 m must be shared for a similarity of 0.8. Moving a window on to
+   the next shingle that is one of an item's of that size (a hit) loses nothing shared, so windows start
+   at hits (or are the document's last); of these, all with enough hits are taken, in
+   whatever order the hits come. Windows with equal words are one content from then on, so a
    passage that a third of all documents hold is fingerprinted and verified once.
 2. *Fingerprints.* 64-bit SimHash of a window's shingles, each counted as often as it occurs.
 3. *Multi-index.* A fingerprint is cut into four blocks of 16 bits. Within ``RADIUS`` = 15
@@ -32,10 +34,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import checked_broadcast, staged
+from civicflow.llm.common import checked_broadcast, staged, without_clash
 
 SHINGLE = 5
-SIMILARITY = 0.8
+PERCENT = 80
+SIMILARITY = PERCENT / 100
 BLOCKS = 4
 FLIPS = 3
 RADIUS = BLOCKS * (FLIPS + 1) - 1
@@ -93,7 +96,7 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     shingles = items.select("item", "n", "k", F.posexplode("sh").alias("at", "h"))
     if items.select(F.sum(F.size("sh"))).first()[0] in (None,) or not sizes:
         return docs.sparkSession.createDataFrame([], "__id long, __row long, start long, n int, item long, similarity double")
-    known = shingles.select("h", "k", "n", "at").distinct()
+    known = shingles.select("h", "k", "n").distinct()
     if known.count() <= BROADCAST_ROWS:
         known = F.broadcast(known)
 
@@ -103,10 +106,17 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     windows = None
     for k in sizes:
         part = (doc_shingles(k).join(known.where(F.col("k") == k), "h")
-                .selectExpr("__id", "__row", "k", "n", "greatest(0, least(pos - at, __n - n)) start"))
+                .select("__id", "__row", "__n", "k", "n", "pos"))
         windows = part if windows is None else windows.union(part)
-    per_doc = (windows.groupBy(F.col("__id").alias("__i"), F.col("__row").alias("__r"))
-               .agg(F.collect_set(F.struct("k", "n", "start")).alias("found")))
+    # Hits of one document are never more than its words.
+    starts = (windows.groupBy("__id", "__row", "__n", "k", "n").agg(F.sort_array(F.collect_set("pos")).alias("p"))
+              .selectExpr("*", "least(__n, n) - k + 1 m", "greatest(0, __n - n) last")
+              .withColumn("need", F.expr(f"cast(({PERCENT} * (m + n - k + 1) + {99 + PERCENT}) div {100 + PERCENT} as int)"))
+              .where("size(p) >= need")
+              .withColumn("at", F.expr("filter(sequence(0, size(p) - need), i -> p[i + need - 1] < least(p[i], last) + m)"))
+              .where("size(at) > 0"))
+    per_doc = (starts.withColumn("w", F.expr("transform(array_distinct(transform(at, i -> least(p[i], last))), s -> struct(k, n, s as start))"))
+               .groupBy(F.col("__id").alias("__i"), F.col("__row").alias("__r")).agg(F.flatten(F.collect_list("w")).alias("found")))
     source = _identified(docs).dropDuplicates(["__id", "__row"])
     texts = source.join(per_doc, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__row") == F.col("__r")))
     texts = _hashed_words(texts, "__text")
@@ -171,4 +181,4 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    return _marked(docs, benchmark).where("__items is null").select(*docs.columns)
+    return without_clash(docs, lambda rows: _marked(rows, benchmark).where("__items is null").select(*rows.columns))

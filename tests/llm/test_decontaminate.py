@@ -1,4 +1,4 @@
-"""Operator 3 against brute force over all lined-up windows."""
+"""Operator 3 against brute force over all windows."""
 
 import random
 import re
@@ -25,11 +25,9 @@ def brute(docs, items):
     for doc_id, text, *_ in docs:
         w, best = words(text), {}
         for item, (iw, k, sh) in prepared.items():
-            places = {}
-            for at, s in enumerate(sh):
-                places.setdefault(s, []).append(at)
-            mine = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)]
-            starts = {max(0, min(p - at, len(w) - len(iw))) for p, s in enumerate(mine) for at in places.get(s, [])}
+            mine, held, m = [tuple(w[i : i + k]) for i in range(len(w) - k + 1)], set(sh), len(sh)
+            hits = [p for p, s in enumerate(mine) if s in held]
+            starts = {max(0, min(s, len(w) - len(iw))) for p in hits for s in range(p - m + 1, p + 1)}  # all that hold a hit
             for s in starts:
                 a, b = Counter(mine[s : s + len(sh)]), Counter(sh)
                 both = sum((a & b).values())
@@ -67,7 +65,6 @@ def test_equals_brute_force(tables):
     got = op.find_contamination(docs, benchmark).collect()
     want = brute(rows, items)
     assert sum(w[1] for w in want) > 50
-    # Pairs at the very threshold may lie beyond the Hamming radius; here none does.
     assert [(a, b, c, d, round(e, 9)) for a, b, c, d, e in sorted(map(tuple, got), key=str)] == [(a, b, c, d, round(e, 9)) for a, b, c, d, e in want]
 
 
@@ -100,3 +97,21 @@ def test_empty(spark, tables):
     assert op.find_contamination(docs.limit(0), benchmark).count() == 0
     assert op.find_contamination(docs, benchmark.limit(0)).where("contaminated").count() == 0
     assert op.drop_contaminated(docs, benchmark.where("item_id = 901")).count() == docs.count()
+
+
+def test_swapped_halves(spark):
+    w = [f"w{i}" for i in range(60)]
+    docs = [(1, " ".join(["x"] * 9 + w[30:] + w[:30] + ["y"] * 30)), (2, " ".join(w[20:40] + w[:20] + w[40:])), (3, " ".join(w[40:] + w[20:40] + w[:20] + ["y"] * 9)),
+            (4, " ".join(["x"] * 400 + w[30:] + w[:30])), (5, " ".join(w[30:] + w[:25]))]
+    items = [(7, " ".join(w)), (8, " ".join(["z"] * 70))]
+    got = op.find_contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = brute(docs, items)
+    assert [x[1] for x in want] == [True, False, False, True, False]
+    assert [(*tuple(r)[:4], round(r[4], 9)) for r in got.orderBy("doc_id").collect()] == [(*x[:4], round(x[4], 9)) for x in want]
+
+
+def test_columns_named_as_helpers(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six", 4, 5, 6), (2, "other words", 7, 8, 9)], "doc_id long, text string, __id int, __items int, __row int")
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    kept = op.drop_contaminated(docs, items)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(2, "other words", 7, 8, 9)]
