@@ -7,8 +7,9 @@
 5. ``bpe`` (operator 7): the rest is encoded; one row of digests per document.
 
 Each stage's rows are written as Parquet and read back before the next, so a lost executor
-costs a re-read. Stages 1 to 4 return the columns of their input; the rows with null or empty
-texts that they meet stay; empty tables give empty tables.
+costs a re-read. Stages 1 to 4 return the columns of their input, whatever their names; the rows
+with null or empty texts that they meet stay, so does a document that the line stage leaves without text,
+which links with nothing and is encoded as no tokens; empty tables give empty tables.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from civicflow.llm import bpe, decontaminate, jaccard, lines, toxicity
-from civicflow.llm.common import read, staged
+from civicflow.llm.common import read, staged, without_clash
 
 
 def drop_toxic(spark, docs, sf_dir):
@@ -24,11 +25,14 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_repeated_lines(spark, docs, sf_dir):
-    kept = lines.drop_repeated_lines(docs)
-    if "n_chars" in docs.columns:  # stays the length of the text
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        kept = kept.withColumn("n_chars", F.when(F.col("__n_removed") > 0, length).otherwise(F.col("n_chars")))
-    return kept.select(*docs.columns)
+    def work(rows):
+        kept = lines.drop_repeated_lines(rows)
+        if "n_chars" in rows.columns:  # stays the length of the text
+            length = F.length("text").cast(rows.schema["n_chars"].dataType)
+            kept = kept.withColumn("n_chars", F.when(F.col("__n_removed") > 0, length).otherwise(F.col("n_chars")))
+        return kept.select(*rows.columns)
+
+    return without_clash(docs, work)
 
 
 def keep_one_of_similar(spark, docs, sf_dir):
