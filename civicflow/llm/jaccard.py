@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import checked_broadcast, connected_components, ship, staged
+from civicflow.llm.common import batched, checked_broadcast, connected_components, ship, staged, without_clash
 
 RARE = 32
 BLOCK = 1024
@@ -133,7 +133,7 @@ def _sets(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 names=["doc_id", "n", "s1", "s2", "low", "need"])
 
     return docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").mapInArrow(
-        run, "doc_id long, n long, s1 long, s2 long, low array<long>, need long")
+        batched(run), "doc_id long, n long, s1 long, s2 long, low array<long>, need long")
 
 
 def _survivors(sets: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def _tokens(docs: DataFrame, survivors: DataFrame, words: int) -> DataFrame:
 
     rows = docs.selectExpr("cast(doc_id as long) node", "cast(text as string) text")
     wanted = checked_broadcast(staged(survivors.select("node").distinct(), "jaccard-survivors"), BROADCAST_ROWS)
-    return rows.join(wanted, "node", "left_semi").mapInArrow(run, "node long, n long, tokens array<long>").dropDuplicates(["node", "tokens"])
+    return rows.join(wanted, "node", "left_semi").mapInArrow(batched(run), "node long, n long, tokens array<long>").dropDuplicates(["node", "tokens"])
 
 
 def hands(n: int) -> int:
@@ -210,7 +210,7 @@ def _keys(tokens: DataFrame, percent: int) -> DataFrame:
             if node:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (key, node, n, own)], names=["key", "node", "n", "own"])
 
-    return known.mapInArrow(run, "key long, node long, n long, own long")
+    return known.mapInArrow(batched(run), "key long, node long, n long, own long")
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
@@ -248,7 +248,7 @@ def _across(keys: DataFrame, components: DataFrame, tokens: DataFrame, percent:
 
     rows = labelled.join(open_.select("key", "members"), "key")
     sketches = (tokens.join(rows.select("node").distinct(), "node", "left_semi").where(f"n < {1 << 16}")
-                .select("node", "tokens").mapInArrow(sketch, "node long, bins binary"))
+                .select("node", "tokens").mapInArrow(batched(sketch), "node long, bins binary"))
     cells = (rows.join(sketches, "node", "left").withColumn("g", F.expr(f"cast(ceil(members / {BLOCK}) as long)"))
              .withColumn("block", F.expr("pmod(xxhash64(node, 5), g)")).withColumn("other", F.expr("explode(sequence(0L, g - 1))"))
              .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "n", "component", "bins"))
@@ -271,7 +271,7 @@ def _across(keys: DataFrame, components: DataFrame, tokens: DataFrame, percent:
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     order = ["key", "i", "j"]
-    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(compare, "a long, b long").distinct()
+    return cells.repartition(*order).sortWithinPartitions(*order).mapInArrow(batched(compare), "a long, b long").distinct()
 
 
 def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
@@ -306,5 +306,8 @@ def components(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document (the smallest doc_id) of each component; all columns stay.
     Rows with a null doc_id stay; rows that share a doc_id are one document."""
-    gone = staged(components(docs, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
-    return docs.join(checked_broadcast(gone, BROADCAST_ROWS), F.expr("cast(doc_id as long)") == F.col("__gone"), "left_anti")
+    def work(rows):
+        gone = staged(components(rows, words, percent).where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "jaccard-gone")
+        return rows.join(checked_broadcast(gone, BROADCAST_ROWS), F.expr("cast(doc_id as long)") == F.col("__gone"), "left_anti")
+
+    return without_clash(docs, work)

@@ -14,7 +14,7 @@ them are touched.
 *Extreme values.* The best segment S of n tokens is turned into x = S - ln(n), whose
 distribution over non-toxic texts with a segment is fitted by a Gumbel law; -ln of its tail
 probability (0 without a segment) goes through a one-variable logistic fit, which gives the
-score. Too few rows for a calibration lexicon: unit law and slope, training share as intercept. A passage is significant if its
+score. Both fits have a weak prior, the same at every size, which stands alone where no text speaks. A passage is significant if its
 own tail probability is below ``SIGNIFICANT``.
 
 The calibration scores the training rows with crc32 remainder 3 by a lexicon of those with 0
@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civicflow.llm.common import ship, staged
+from civicflow.llm.common import batched, ship, staged, without_clash
 
 MAX_TRAIN = 60_000
 MAX_FEATURES = 30_000
@@ -49,7 +49,9 @@ THRESHOLD = 0.3
 SIGNIFICANT = 0.01
 STEMS = (5, 4)
 WORD = re.compile(r"[^\W\d_]+")
-MEMO = 1_000_000
+MEMO = 100_000
+#: Weight, in texts, of the law (0, 1) of the best segment before any text is seen.
+LAW_PRIOR = 2.0
 
 
 def features(words) -> set[str]:
@@ -78,7 +80,8 @@ def count_features(train: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             counts: dict[tuple[int, int], Counter] = {(p, t): Counter() for p in (0, 1) for t in (0, 1)}
-            for text, toxic, part in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for text, toxic, part in zip(*(batch.column(i) for i in range(3))):
+                text, toxic, part = text.as_py(), toxic.as_py(), part.as_py()
                 words = WORD.findall(text.lower())
                 c = counts[part, min(max(toxic, 0), 1)]
                 c.update(features(words))
@@ -93,7 +96,7 @@ def count_features(train: DataFrame) -> DataFrame:
                     names=["f", "part", "clean", "toxic"])
 
     texts = train.groupBy("text").agg(F.max("toxic").alias("toxic"), F.min("part").alias("part"))
-    return texts.mapInArrow(run, "f string, part int, clean long, toxic long").groupBy("f", "part").agg(
+    return texts.mapInArrow(batched(run), "f string, part int, clean long, toxic long").groupBy("f", "part").agg(
         F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
@@ -146,6 +149,9 @@ def segments(hits: list[tuple[int, float]], gap: float) -> list[tuple[int, int,
     return [(a, b, after - before) for a, b, before, after in out]
 
 
+EULER = 0.5772156649
+
+
 class Scanner:
     """Token scores of one lexicon, remembered by word."""
 
@@ -188,20 +194,22 @@ def calibrate(train: DataFrame, lexicon: dict[str, float], gap: float) -> tuple[
     def run(batches):
         scanner = Scanner(lexicon, gap)
         for batch in batches:
-            stats = [statistic(*scanner.scan(t)) for t in batch.column(0).to_pylist()]
+            stats = [statistic(*scanner.scan(t)) for t in (v.as_py() for v in batch.column(0))]
             bins = [None if x is None else round(8 * min(200.0, max(-30.0, x))) for x in stats]
             yield pa.RecordBatch.from_arrays([pa.array(bins, pa.int64()), batch.column(1)], names=["bin", "toxic"])
 
-    bins = train.where("part = 1").select("text", "toxic").mapInArrow(run, "bin long, toxic int").groupBy("bin").agg(
+    bins = train.where("part = 1").select("text", "toxic").mapInArrow(batched(run), "bin long, toxic int").groupBy("bin").agg(
         F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("toxic") > 0, 0).otherwise(1)).alias("clean")).collect()
     bins = [(None if r["bin"] is None else r["bin"] / 8, r["toxic"], r["clean"]) for r in bins]
     bins.sort(key=lambda b: (b[0] is not None, b[0] or 0.0))
     found = [b for b in bins if b[0] is not None]
     clean = sum(b[2] for b in found)
-    mean = sum(b[0] * b[2] for b in found) / clean if clean else 0.0
-    spread = math.sqrt(sum((b[0] - mean) ** 2 * b[2] for b in found) / clean) if clean else 1.0
-    scale = max(0.25, spread * math.sqrt(6) / math.pi)
-    law = (mean - 0.5772156649 * scale, scale)
+    # Moments of the Gumbel law, those of the law (0, 1) first with the weight of LAW_PRIOR texts.
+    weight = clean + LAW_PRIOR
+    mean = (sum(b[0] * b[2] for b in found) + LAW_PRIOR * EULER) / weight
+    variance = (sum((b[0] - mean) ** 2 * b[2] for b in found) + LAW_PRIOR * (math.pi**2 / 6 + (EULER - mean) ** 2)) / weight
+    scale = max(0.25, math.sqrt(6 * variance) / math.pi)
+    law = (mean - EULER * scale, scale)
     a, b = 0.0, 1.0
     for _ in range(50):  # Newton steps; a weak pull to (-1, 1) keeps separable data finite
         g, h = [-0.5 * (a + 1), -0.5 * (b - 1)], [[0.5, 0.0], [0.0, 0.5]]
@@ -237,14 +245,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     lexicon, gap = fit_lexicon(counted)
     # The calibration rows must be new to the lexicon that scores them.
     half, half_gap = fit_lexicon(counted.where("part = 0"))
-    return Model(lexicon, gap, *(calibrate(train, half, half_gap) if half else uncalibrated(counted)))
-
-
-def uncalibrated(counted: DataFrame) -> tuple[tuple[float, float], tuple[float, float]]:
-    """Law and logistic where the first part gives no lexicon: unit law and slope, and the
-    toxic share of the training texts (one more clean) as the score without evidence."""
-    t = counted.where("f = '#texts'").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).first()
-    return (0.0, 1.0), (math.log(((t["toxic"] or 0) + 0.5) / ((t["clean"] or 0) + 1.5)), 1.0)
+    return Model(lexicon, gap, *calibrate(train, half, half_gap))
 
 
 PASSAGES = "array<struct<first:long,last:long,score:double>>"
@@ -266,8 +267,8 @@ def score_texts(docs: DataFrame, model: Model, column: str = "text", prefix: str
         need = -math.log(SIGNIFICANT)
         for batch in batches:
             scores, passages = [], []
-            for text in batch.column(place).to_pylist():
-                n, found = scanner.scan(text)
+            for text in batch.column(place):
+                n, found = scanner.scan(text.as_py())
                 t = tail(statistic(n, found), law)
                 scores.append(1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * t)))) if lexicon else 0.0)
                 passages.append([{"first": i, "last": j, "score": s} for i, j, s in found if tail(s - math.log(max(n, 1)), law) >= need])
@@ -275,7 +276,7 @@ def score_texts(docs: DataFrame, model: Model, column: str = "text", prefix: str
                 [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= THRESHOLD) for s in scores], pa.int32()),
                  pa.array(passages, passage_type)], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(batched(run), schema)
 
 
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -289,5 +290,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows predicted toxic; all columns stay."""
-    scored = score_texts(docs, fit(docs, labels), prefix="__toxic_")
-    return scored.where("__toxic_predicted = 0").select(*docs.columns)
+    def work(rows):
+        return score_texts(rows, fit(rows, labels), prefix="__toxic_").where("__toxic_predicted = 0").select(*rows.columns)
+
+    return without_clash(docs, work)
