@@ -24,6 +24,12 @@ def top_k_per_group(
     return out.drop("_bucket", "_r1")
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """``df`` with a broadcast hint if it holds at most ``max_rows`` rows (counted first, so hand
+    in what is cheap to count: a checkpointed or written frame of narrow rows); else unchanged."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 # Hash-order ranks are computed through this many buckets per group (high hash bits).
 RANK_BUCKET_BITS = 16
 

@@ -6,11 +6,13 @@ tokens with >= 2 word characters, document-frequency pruning (min_df count,
 max_df fraction), the ``max_features`` terms with the largest corpus counts,
 tf' = 1 + ln(tf), idf = ln((1 + n) / (1 + df)) + 1, then L2 per document.
 
-Scale: tokenising and n-gramming are array functions on each row (narrow);
-(doc, term) counts are combined map-side before the shuffle; document
-frequencies are a partial+final aggregate per term (hot terms are pre-combined);
-the vocabulary is bounded by ``max_features`` so it is broadcast; per-group
-rankings use a salted two-stage top-k (no whole group is sorted in one task).
+Scale: tokenising, n-gramming and the counting of a document's terms are array
+functions on its row (``row_terms``: no exchange, no text shuffled). The vocabulary
+comes from ``heavy_vocabulary``: hash buckets bound every term's count from above, and
+only the terms of buckets that can reach the vocabulary are counted exactly, so the rare
+terms (most of a corpus's bigrams) never cross a shuffle. The vocabulary is bounded by
+``max_features`` so it is broadcast; per-group rankings use a salted two-stage top-k (no
+whole group is sorted in one task).
 An optional ``group`` column runs independent TF-IDF models per corpus slice.
 """
 
@@ -21,7 +23,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.functions import text as T
-from civicflow.operators.common import top_k_per_group
+from civicflow.operators.common import broadcast_if_small, top_k_per_group
+
+# Hash buckets of ``heavy_vocabulary``: a parameter of speed only, the result is exact for any.
+TERM_BUCKETS = 1 << 20
+# Buckets counted in its first pass, at least (more for vocabularies that are larger).
+FIRST_BUCKETS = 4096
+# A frame of at most this many (group, bucket) rows, 16 bytes and a short name each, is broadcast.
+BROADCAST_BUCKETS = 1 << 20
 
 
 def normalise(docs: DataFrame, text_col: str, strip_accents: bool = True) -> Column:
@@ -36,18 +45,15 @@ def ngram_terms(tokens: Column, max_n: int = 2) -> Column:
     return F.concat(tokens, T.bigrams(tokens))
 
 
-def term_counts(
+def document_terms(
     docs: DataFrame,
     id_col: str,
     norm_col: str,
-    group: list[str] | None = None,
-    stop_words: list[str] | None = None,
-    max_n: int = 2,
-    per_doc: bool = True,
+    group: list[str],
+    stop_words: list[str] | None,
+    max_n: int,
 ) -> DataFrame:
-    """(group..., doc, term, tf) from normalised text; with ``per_doc=False`` the
-    counts are summed straight to (group..., term) (zones as documents)."""
-    group = group or []
+    """(group..., doc, _terms): the array of a document's terms, repeats included."""
     toks = docs.select(*group, F.col(id_col).alias("doc"), T.tokens(F.col(norm_col)).alias("_tok"))
     if stop_words:
         # Stop words go before pairing (as the reference vectoriser does); the JVM
@@ -55,9 +61,52 @@ def term_counts(
         remover = StopWordsRemover(inputCol="_tok", outputCol="_kept", stopWords=sorted(set(stop_words)),
                                    caseSensitive=True)
         toks = remover.transform(toks).drop("_tok").withColumnRenamed("_kept", "_tok")
-    terms = toks.select(*group, "doc", F.explode(ngram_terms(F.col("_tok"), max_n)).alias("term"))
-    keys = [*group, "doc", "term"] if per_doc else [*group, "term"]
-    return terms.groupBy(*keys).agg(F.count(F.lit(1)).alias("tf"))
+    return toks.select(*group, "doc", ngram_terms(F.col("_tok"), max_n).alias("_terms"))
+
+
+def row_terms(
+    docs: DataFrame,
+    id_col: str,
+    norm_col: str,
+    group: list[str] | None = None,
+    stop_words: list[str] | None = None,
+    max_n: int = 2,
+) -> DataFrame:
+    """(group..., doc, term, tf) counted inside each row: the terms are sorted and each run's
+    length is its count, so the plan has no exchange. A null text has no terms. Rows that
+    share a ``doc`` keep their counts apart (``heavy_vocabulary`` and ``tfidf`` add them up
+    where ``one_row_docs`` is false)."""
+    group = group or []
+    rows = document_terms(docs, id_col, norm_col, group, stop_words, max_n)
+    rows = rows.select(*group, "doc", F.sort_array("_terms").alias("_terms"))
+    at = F.col("_terms")
+    # No filter on empty arrays: it would be pushed to the scan, with the whole tokenising in it.
+    first = F.when(F.size(at) > 0, F.filter(
+        F.sequence(F.lit(0), F.size(at) - 1),
+        lambda i: (i == 0) | (F.get(at, i) != F.get(at, i - 1)),
+    ))
+    rows = rows.select(*group, "doc", "_terms", first.alias("_first"))
+    runs = F.transform(
+        F.col("_first"),
+        lambda i, n: F.struct(
+            F.get(at, i).alias("term"),
+            (F.coalesce(F.get(F.col("_first"), n + 1), F.size(at)) - i).cast("long").alias("tf"),
+        ),
+    )
+    return rows.select(*group, "doc", F.inline(runs))
+
+
+def term_counts(
+    docs: DataFrame,
+    id_col: str,
+    norm_col: str,
+    group: list[str] | None = None,
+    stop_words: list[str] | None = None,
+    max_n: int = 2,
+) -> DataFrame:
+    """(group..., doc, term, tf) from normalised text, rows of one ``doc`` summed."""
+    rows = row_terms(docs, id_col, norm_col, group, stop_words, max_n)
+    return rows.groupBy(*(group or []), "doc", "term").agg(F.sum("tf").alias("tf"))
 
 
 def vocabulary(
@@ -87,13 +136,84 @@ def vocabulary(
     return stats.select(*group, "term", "df", "total", "n_docs")
 
 
+def heavy_vocabulary(
+    counts: DataFrame,
+    n_docs: DataFrame,
+    group: list[str] | None = None,
+    min_df: int = 2,
+    max_df: float | int = 1.0,
+    max_features: int = 10000,
+    one_row_docs: bool = True,
+    buckets: int = TERM_BUCKETS,
+) -> DataFrame:
+    """``vocabulary`` with the ``max_features`` cut, the same rows, without counting every term.
+
+    1. Term counts are summed per hash bucket (at most ``buckets`` rows a group and task
+       cross the shuffle). A bucket's sum bounds the count of each of its terms.
+    2. The terms of the largest buckets are counted exactly, pruned and cut. The smallest
+       count kept (0 where fewer than ``max_features`` are found) is a floor: a term of a
+       bucket below it cannot enter.
+    3. Buckets that reach the floor and were not counted yet are counted too, and the cut
+       is made over both. Any term outside has a smaller count than the floor: the result
+       is exact, ties included.
+
+    ``counts`` is computed once a pass (from the scan, with no checkpoint); the buckets and the cut
+    vocabularies, both bounded, are checkpointed. The result is too."""
+    group = group or []
+    keyed = counts.withColumn("_hash", F.pmod(F.xxhash64("term"), F.lit(buckets)))
+    sums = keyed.groupBy(*group, "_hash").agg(F.sum("tf").alias("_bound")).checkpoint()
+    ranked = max(FIRST_BUCKETS, 4 * max_features)
+    order = [F.desc("_bound"), F.asc("_hash")]
+    if group:
+        chosen = top_k_per_group(sums, group, order, ranked, ["_hash"]).select(*group, "_hash")
+    else:
+        chosen = sums.orderBy(*order).limit(ranked).select("_hash")
+    chosen = chosen.checkpoint()
+    on = [*group, "_hash"]
+
+    def exact(which: DataFrame) -> DataFrame:
+        rows = keyed.join(broadcast_if_small(which, BROADCAST_BUCKETS), on, "left_semi")
+        if not one_row_docs:
+            rows = rows.groupBy(*group, "doc", "term").agg(F.sum("tf").alias("tf"))
+        return vocabulary(rows, n_docs, group, min_df, max_df, max_features)
+
+    found = exact(chosen).checkpoint()
+    full = F.count(F.lit(1)) >= max_features
+    if group:
+        floors = found.groupBy(*group).agg(F.when(full, F.min("total")).alias("_floor"))
+        rest = sums.join(F.broadcast(chosen), on, "left_anti")
+        rest = rest.join(broadcast_if_small(floors, BROADCAST_BUCKETS), group, "left")
+        rest = rest.filter(F.col("_bound") >= F.coalesce("_floor", F.lit(0)))
+    else:
+        floor = found.agg(F.when(full, F.min("total"))).first()[0] or 0
+        rest = sums.join(F.broadcast(chosen), on, "left_anti").filter(F.col("_bound") >= floor)
+    rest = rest.select(*on).checkpoint()
+    if rest.isEmpty():
+        return found
+    both = found.unionByName(exact(rest))
+    order = [F.desc("total"), F.asc("term")]
+    if group:
+        cut = top_k_per_group(both, group, order, max_features, ["term"]).drop("rank")
+    else:
+        cut = both.orderBy(*order).limit(max_features)
+    return cut.checkpoint()
+
+
+def counts_of(counts: DataFrame, vocab: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """(group..., doc, term, tf) of the vocabulary's terms, the rows of a ``doc`` added up."""
+    group = group or []
+    terms = broadcast_if_small(vocab.select(*group, "term"), BROADCAST_BUCKETS)
+    kept = counts.join(terms, [*group, "term"], "left_semi")
+    return kept.groupBy(*group, "doc", "term").agg(F.sum("tf").alias("tf"))
+
+
 def tfidf(counts: DataFrame, vocab: DataFrame, group: list[str] | None = None) -> DataFrame:
     """(group..., doc, term, weight): sublinear tf x smooth idf, L2-normalised per document."""
     group = group or []
     # Ungrouped, the vocabulary is bounded by max_features, so it is broadcast; per-slice
-    # vocabularies grow with the number of slices and are left to AQE's size check.
+    # vocabularies grow with the number of slices and are broadcast behind a count.
     v = vocab.select(*group, "term", "df", "n_docs")
-    j = counts.join(v if group else F.broadcast(v), [*group, "term"])
+    j = counts.join(broadcast_if_small(v, BROADCAST_BUCKETS) if group else F.broadcast(v), [*group, "term"])
     idf = F.log((1.0 + F.col("n_docs")) / (1.0 + F.col("df"))) + 1.0
     w = (1.0 + F.log(F.col("tf").cast("double"))) * idf
     j = j.withColumn("_w", w)
@@ -127,6 +247,14 @@ def font_sizes(top: DataFrame, group: list[str], score: str = "score") -> Column
     return (F.lit(12.0) + (F.col(score) - lo) / (hi - lo + F.lit(1e-9)) * F.lit(36.0)).cast("int")
 
 
+def class_support(docs: DataFrame, text_col: str, label: str, min_size: int) -> DataFrame:
+    """B5 + B6: (label, n, viable) over usable texts, one row a class, in one scan."""
+    from civicflow.functions.labels import usable_text
+
+    usable = docs.filter(usable_text(F.col(text_col)) & F.col(label).isNotNull())
+    return usable.groupBy(label).agg(F.count(F.lit(1)).alias("n")).withColumn("viable", F.col("n") >= min_size)
+
+
 def usable_with_support(docs: DataFrame, text_col: str, label: str, min_size: int) -> tuple[DataFrame, DataFrame]:
     """B5 + B6 + J6 + J7: usable texts of classes with >= min_size of them; also the
     excluded classes with their counts."""

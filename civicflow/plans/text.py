@@ -29,10 +29,9 @@ EVAL_LABELS = ["good", "poor", "toxic"]
 
 
 def docs(spark, sf_dir) -> DataFrame:
-    """Documents hash-partitioned by id: every later per-document step -- the
-    (doc, term) aggregation, the L2 window -- is then satisfied by this one shuffle of
-    the raw text instead of two shuffles of the (larger) exploded term rows."""
-    return read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source").repartition("doc_id")
+    """Documents as scanned: terms are counted inside the row, so no text is shuffled (but for
+    ``spread``, where the table has fewer row groups than there are cores)."""
+    return spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source"))
 
 
 def q_text_normalise(spark, sf_dir):
@@ -43,10 +42,8 @@ def q_text_normalise(spark, sf_dir):
 def tfidf_weights(spark, sf_dir) -> DataFrame:
     d = docs(spark, sf_dir)
     norm = d.select("doc_id", X.normalise(d, "text").alias("norm"))
-    # Read twice (vocabulary, weights): materialised once in the shared checkpoint folder
-    # instead of re-tokenising for each branch (and no session-long cache is left behind).
-    counts = X.term_counts(norm, "doc_id", "norm").checkpoint()
-    vocab = X.vocabulary(counts, X.doc_count(d), min_df=MIN_DF, max_df=MAX_DF, max_features=MAX_FEATURES)
+    counts = X.row_terms(norm, "doc_id", "norm")
+    vocab = X.heavy_vocabulary(counts, X.doc_count(d), min_df=MIN_DF, max_df=MAX_DF, max_features=MAX_FEATURES)
     return X.tfidf(counts, vocab)
 
 
@@ -58,10 +55,9 @@ def q_tfidf_terms(spark, sf_dir):
 def slice_scores(spark, sf_dir) -> DataFrame:
     d = docs(spark, sf_dir)
     norm = d.select("lang", "doc_id", X.normalise(d, "text", strip_accents=False).alias("norm"))
-    counts = X.term_counts(norm, "doc_id", "norm", group=["lang"], stop_words=list(stopwords.english()))
-    counts = counts.checkpoint()
+    counts = X.row_terms(norm, "doc_id", "norm", group=["lang"], stop_words=list(stopwords.english()))
     n = X.doc_count(d, ["lang"])
-    vocab = X.vocabulary(counts, n, ["lang"], min_df=MIN_DF, max_features=SLICE_MAX_FEATURES)
+    vocab = X.heavy_vocabulary(counts, n, ["lang"], min_df=MIN_DF, max_features=SLICE_MAX_FEATURES)
     return X.mean_weights(X.tfidf(counts, vocab, ["lang"]), n, ["lang"])
 
 
@@ -90,11 +86,10 @@ def zone_scores(spark, sf_dir) -> DataFrame:
     term counts are summed per zone (so no bigram spans two descriptions)."""
     d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "source")).withColumnRenamed("source", "zone")
     norm = d.select("zone", "doc_id", T.normalise_text(F.col("text"), strip_urls=False).alias("norm"))
-    per_zone = X.term_counts(norm, "doc_id", "norm", group=["zone"], stop_words=stopwords.ZONE_STOP_WORDS,
-                             per_doc=False).withColumnRenamed("zone", "doc").checkpoint()
-    n_zones = per_zone.agg(F.count_distinct("doc").alias("n_docs"))
-    vocab = X.vocabulary(per_zone, n_zones, min_df=1, max_features=ZONE_MAX_FEATURES)
-    w = X.tfidf(per_zone, vocab).withColumnRenamed("doc", "zone")
+    counts = X.row_terms(norm, "zone", "norm", stop_words=stopwords.ZONE_STOP_WORDS)
+    n_zones = d.agg(F.count_distinct("zone").alias("n_docs"))
+    vocab = X.heavy_vocabulary(counts, n_zones, min_df=1, max_features=ZONE_MAX_FEATURES, one_row_docs=False)
+    w = X.tfidf(X.counts_of(counts, vocab), vocab).withColumnRenamed("doc", "zone")
     return X.top_terms(w.withColumnRenamed("weight", "score"), ["zone"], ZONE_TOP)
 
 
@@ -114,11 +109,8 @@ def q_all_zone_terms(spark, sf_dir):
 
 
 def q_min_support_filter(spark, sf_dir):
-    d = docs(spark, sf_dir)
-    kept, excluded = X.usable_with_support(d, "text", "source", MIN_CLASS_SIZE)
-    k = kept.groupBy("source").agg(F.count(F.lit(1)).cast("long").alias("n")).withColumn("viable", F.lit(True))
-    e = excluded.select("source", F.col("n").cast("long").alias("n"), F.lit(False).alias("viable"))
-    return k.unionByName(e)
+    d = read_table(spark, sf_dir, "documents", "text", "source")
+    return X.class_support(d, "text", "source", MIN_CLASS_SIZE)
 
 
 def labelled(spark, sf_dir) -> DataFrame:
