@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from civicflow.plans import geo as PG
-from civicflow.plans.weather import _MERGED, merged
-from civicflow.plans.standins import key_to_lat, key_to_lon, sql_lat, sql_lon
+from civicflow.plans.weather import _DAILY, _MERGED, merged
+from civicflow.operators import clean, weather
+from civicflow.plans.standins import (
+    CLEAN_REQUESTS_SQL, RAW_REQUESTS_SQL, key_to_lat, key_to_lon, raw_requests, sql_lat, sql_lon, station_day,
+)
 from civicflow.session import scratch_path
 from civicflow.sources import files as S
+from civicflow.sources import ingest as I
 from civicflow.sources.tables import read_table
 
 CUSTOMER_SCHEMA = T.StructType([
@@ -156,7 +160,53 @@ def q_row_cap(spark, sf_dir):
     return S.first_rows(read_table(spark, sf_dir, "orders", "o_orderkey", "o_orderdate"), "o_orderkey", 100)
 
 
+# Landed requests without coordinates, and with the placeholder closing date.
+UNPLACED_EVERY, PLACEHOLDER_EVERY = 31, 37
+
+
+def landed_requests(spark, sf_dir):
+    """Requests as a portal lands them: some without coordinates, some closed on 1900-01-01."""
+    r = raw_requests(spark, sf_dir)
+    placed = F.col("OBJECTID") % UNPLACED_EVERY != 0
+    placeholder = F.lit("1900-01-01").cast(r.schema["date_closed"].dataType)
+    return r.withColumns({
+        "lat": F.when(placed, F.col("lat")),
+        "date_closed": F.when(F.col("OBJECTID") % PLACEHOLDER_EVERY == 0, placeholder).otherwise(F.col("date_closed")),
+    })
+
+
+def _ingest(spark, sf_dir, folder):
+    missing = F.col("lat").isNull() | F.col("long").isNull()
+    datasets = {
+        "requests": I.Dataset(lambda: landed_requests(spark, sf_dir), "requests portal", clean.clean_requests,
+                              missing, "requested_date"),
+        "weather": I.Dataset(lambda: weather.daily_weather(station_day(spark, sf_dir)), "stations", date="date"),
+        "unshipped": I.Dataset(lambda: read_table(spark, sf_dir, "lineitem").filter(F.col("l_shipdate").isNull()),
+                               "open lines"),
+        "permits": I.Dataset(lambda: read_table(spark, sf_dir, "permits"), "not landed"),
+    }
+    return I.ingest(spark, datasets, folder)
+
+
+def q_ingest_report(spark, sf_dir):
+    """A10 + A13 + B3: a run over four datasets, of which one is empty and one was not landed."""
+    return _ingest(spark, sf_dir, _scratch(spark, "ingest")).select(
+        "dataset", "source", "status", "n_rows", "n_dropped", "n_columns", "min_date", "max_date", "error"
+    )
+
+
+def q_ingested_requests(spark, sf_dir):
+    """S2 + B3: the requests that the run wrote: none without coordinates, no placeholder date."""
+    folder = _scratch(spark, "ingest")
+    _ingest(spark, sf_dir, folder)
+    return spark.read.parquet(f"{folder}/requests").select(
+        "object_id", "requested_date", "date_closed", "resolution_days", "lat", "long"
+    )
+
+
 QUERIES = {
+    "ingest_report": q_ingest_report,
+    "ingested_requests": q_ingested_requests,
     "csv_parquet_roundtrip": q_csv_parquet_roundtrip,
     "parquet_roundtrip": q_parquet_roundtrip,
     "feature_pages": q_feature_pages,
@@ -173,8 +223,26 @@ _GEOID = ("lpad('6', 2, '0') || lpad(CASE WHEN n_regionkey = 4 THEN '13' ELSE '4
           "|| lpad(CAST(n_nationkey * 100 + 1 AS VARCHAR), 6, '0')")
 
 
+_LANDED = f"""
+SELECT * REPLACE (CASE WHEN object_id % {UNPLACED_EVERY} <> 0 THEN lat END AS lat,
+                  CASE WHEN object_id % {PLACEHOLDER_EVERY} = 0 THEN TIMESTAMP '1900-01-01' ELSE date_closed END AS date_closed)
+FROM ({RAW_REQUESTS_SQL}) landed"""
+_INGESTED = CLEAN_REQUESTS_SQL.replace(RAW_REQUESTS_SQL, _LANDED)
 
 ORACLE = {
+    "ingest_report": f"""
+SELECT 'requests' AS dataset, 'requests portal' AS source, 'success' AS status, CAST(count(*) AS BIGINT) AS n_rows,
+       CAST((SELECT count(*) FILTER (WHERE lat IS NULL OR long IS NULL) FROM ({_LANDED}) r) AS BIGINT) AS n_dropped,
+       23 AS n_columns, min(requested_date) AS min_date, max(requested_date) AS max_date, CAST(NULL AS VARCHAR) AS error
+FROM ({_INGESTED}) c
+UNION ALL SELECT 'weather', 'stations', 'success', CAST(count(*) AS BIGINT), 0, 6, min(date), max(date), NULL
+FROM ({_DAILY}) d
+UNION ALL SELECT 'unshipped', 'open lines', CASE WHEN count(*) > 0 THEN 'success' ELSE 'failed' END,
+       CAST(count(*) AS BIGINT), 0, (SELECT CAST(count(*) AS INTEGER) FROM (DESCRIBE lineitem)), NULL, NULL, NULL
+FROM lineitem WHERE l_shipdate IS NULL
+UNION ALL SELECT 'permits', 'not landed', 'error', NULL, NULL, NULL, NULL, NULL, 'PATH_NOT_FOUND'""",
+    "ingested_requests": f"""
+SELECT object_id, requested_date, date_closed, resolution_days, lat, long FROM ({_INGESTED}) c""",
     "merged_partitioned_sink": f"""
 SELECT object_id, requested_year, requested_month, requested_date, cluster, resolution_days, tmax_avg, prcp_avg
 FROM ({_MERGED}) m""",
