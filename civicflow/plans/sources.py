@@ -90,8 +90,8 @@ def _layer(spark, sf_dir):
         F.concat(F.lit("Tract "), F.col("n_nationkey").cast("string")).alias("NAME"), "rings",
     )
     path = _scratch(spark, "layer")
-    S.write_geojson(t, ["GEOID", "COUNTYFP", "NAME"], path, "COUNTYFP")
-    return S.read_geojson(spark, path, LAYER_PROPS)
+    S.write_feature_lines(t, ["GEOID", "COUNTYFP", "NAME"], path)
+    return S.read_feature_lines(spark, path, LAYER_PROPS)
 
 
 def q_polygon_layer(spark, sf_dir):
@@ -137,8 +137,8 @@ def q_road_layer(spark, sf_dir):
         F.transform("_p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y"))).alias("path"),
     )
     path = _scratch(spark, "roads")
-    S.write_geojson_lines(roads, ["ROAD_ID", "REGION"], path, "REGION")
-    layer = S.read_geojson_lines(spark, path, ROAD_PROPS)
+    S.write_feature_lines(roads, ["ROAD_ID", "REGION"], path, "path")
+    layer = S.read_feature_lines_of_roads(spark, path, ROAD_PROPS)
     return layer.select("ROAD_ID", "REGION", "part", F.size("path").alias("n_vertices"),
                         F.round(line_length_km(F.col("path")), 4).alias("length_km"))
 

@@ -26,12 +26,13 @@ def write_csv_and_parquet(df: DataFrame, csv_path: str, parquet_path: str, parti
     w.parquet(parquet_path)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """A1: header CSV with an explicit schema; multi-line quoted fields allowed."""
+def read_csv(spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False) -> DataFrame:
+    """A1: header CSV with an explicit schema. A file is read by several tasks unless
+    ``multi_line`` is set, which quoted fields with line breaks need (then one task a file)."""
     return (
         spark.read.schema(schema)
         .option("header", True)
-        .option("multiLine", True)
+        .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
     )
@@ -117,12 +118,48 @@ _COORDS = T.ArrayType(T.ArrayType(T.ArrayType(T.DoubleType())))
 _MULTI = T.ArrayType(_COORDS)
 
 
-def geojson_schema(props: T.StructType) -> T.StructType:
+def feature_schema(props: T.StructType) -> T.StructType:
     geom = T.StructType([T.StructField("type", T.StringType()), T.StructField("coordinates", T.StringType())])
-    feat = T.StructType([
+    return T.StructType([
         T.StructField("type", T.StringType()), T.StructField("properties", props), T.StructField("geometry", geom)
     ])
-    return T.StructType([T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(feat))])
+
+
+def geojson_schema(props: T.StructType) -> T.StructType:
+    return T.StructType([
+        T.StructField("type", T.StringType()), T.StructField("features", T.ArrayType(feature_schema(props)))
+    ])
+
+
+def write_feature_lines(features: DataFrame, props: list[str], path: str, geometry: str = "rings") -> None:
+    """A6-A8 sink: one GeoJSON feature per line, written where the row is (no shuffle, no row that
+    holds a layer). ``geometry`` names the column: ``rings`` gives Polygons, ``parts`` (an array
+    of rings) MultiPolygons, ``path`` LineStrings."""
+    def positions(points):
+        return F.transform(points, lambda p: F.array(p["x"], p["y"]))
+
+    def polygon(rings):
+        return F.transform(rings, positions)
+
+    kinds = {"rings": ("Polygon", polygon), "path": ("LineString", positions),
+             "parts": ("MultiPolygon", lambda parts: F.transform(parts, polygon))}
+    kind, coordinates = kinds[geometry]
+    features.select(
+        F.lit("Feature").alias("type"),
+        F.struct(*[F.col(p) for p in props]).alias("properties"),
+        F.struct(F.lit(kind).alias("type"), coordinates(F.col(geometry)).alias("coordinates")).alias("geometry"),
+    ).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def read_feature_lines(spark: SparkSession, path: str, props: T.StructType) -> DataFrame:
+    """One feature per line -> one row per polygon part, as ``read_geojson`` gives; a file is
+    read by as many tasks as it has splits."""
+    return _polygon_parts(spark.read.schema(feature_schema(props)).json(path).select(F.struct("*").alias("f")))
+
+
+def read_feature_lines_of_roads(spark: SparkSession, path: str, props: T.StructType) -> DataFrame:
+    """One line feature per line of text -> one row per part, as ``read_geojson_lines`` gives."""
+    return _line_parts(spark.read.schema(feature_schema(props)).json(path).select(F.struct("*").alias("f")))
 
 
 def write_geojson(polys: DataFrame, props: list[str], path: str, group: str) -> None:
@@ -144,7 +181,10 @@ def read_geojson(spark: SparkSession, path: str, props: T.StructType) -> DataFra
     """FeatureCollections -> one row per polygon part: properties + rings
     (array<array<struct<x,y>>>, outer ring first). MultiPolygons yield one row per part."""
     docs = spark.read.text(path).select(F.from_json("value", geojson_schema(props)).alias("d"))
-    f = docs.select(F.explode("d.features").alias("f"))
+    return _polygon_parts(docs.select(F.explode("d.features").alias("f")))
+
+
+def _polygon_parts(f: DataFrame) -> DataFrame:
     g = f.select(
         "f.properties.*",
         F.col("f.geometry.type").alias("gtype"),
@@ -189,7 +229,11 @@ def read_geojson_lines(spark: SparkSession, path: str, props: T.StructType) -> D
     """Road-style line layers; LineString and MultiLineString -> one row per part
     with ``path`` array<struct<x,y>>."""
     docs = spark.read.text(path).select(F.from_json("value", geojson_schema(props)).alias("d"))
-    f = docs.select(F.explode("d.features").alias("f")).select(
+    return _line_parts(docs.select(F.explode("d.features").alias("f")))
+
+
+def _line_parts(f: DataFrame) -> DataFrame:
+    f = f.select(
         "f.properties.*", F.col("f.geometry.type").alias("gtype"), F.col("f.geometry.coordinates").alias("coords")
     )
     multi = F.when(F.col("gtype") == "MultiLineString", F.from_json("coords", _MULTILINE)).otherwise(
