@@ -15,7 +15,6 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, Window
@@ -44,7 +43,7 @@ class TextModel:
 
     def weights(self) -> DataFrame:
         """term, idf, coef (one weight a class): the model as a table of ``n_features`` rows."""
-        coef = pd.DataFrame({"idx": range(self.n_features), "coef": list(self.lr.coefficientMatrix.toArray().T)})
+        coef = list(enumerate(self.lr.coefficientMatrix.toArray().T.tolist()))  # plain floats, whether Arrow is on or off
         table = self.vocab.sparkSession.createDataFrame(coef, "idx int, coef array<double>")
         return self.vocab.join(table, "idx")
 

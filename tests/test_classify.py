@@ -47,6 +47,21 @@ def test_scores_equal_the_model(spark, corpus):
         assert next(r for r in found if r["doc_id"] == k)["probs"] == pytest.approx(expected[1000]["p"])
 
 
+@pytest.mark.parametrize("arrow", ["false", "true"])
+def test_scores_whether_arrow_is_on_or_off(spark, corpus, arrow):
+    docs, model = corpus
+    name = "spark.sql.execution.arrow.pyspark.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, arrow)
+    try:
+        coef = {r["term"]: r["coef"] for r in model.weights().collect()}
+        scored = CL.predict(model, docs, "doc_id").count()
+    finally:
+        spark.conf.set(name, before)
+    matrix = model.lr.coefficientMatrix.toArray()
+    assert coef == {r["term"]: matrix[:, r["idx"]].tolist() for r in model.vocab.collect()} and scored == docs.count()
+
+
 def test_vectors_equal_tf_idf(spark, corpus):
     docs, model = corpus
     vocab = {r["term"]: (r["idx"], r["idf"]) for r in model.vocab.collect()}
