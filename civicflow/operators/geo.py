@@ -10,9 +10,9 @@
   neighbours in a second, smaller join.
 * Zonal statistics (J12): the raster is cut into tiles as high as the window, so a
   point meets a few tiles whatever the buffer; the window is cut out of their arrays.
-* Nearest station (J13): stations and points share a grid; a 3 x 3 block of cells
-  settles the points near a station, the others descend a pyramid of cells with
-  distance bounds, so the result is exact without an all-pairs join.
+* Nearest station (J13): stations and points share a grid, as fine as the stations are
+  dense; a 3 x 3 block of cells settles the points near a station, the others descend a
+  pyramid of cells with distance bounds, so the result is exact without an all-pairs join.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from civicflow.functions import labels as L
 
 SALT = 8  # ways that a hot cell is split into, at most
 HOT_ROWS = 1_000_000  # points of one cell or pixel from which it is split
+CELL_STATIONS, HOT_STATIONS = 3, 32  # places of stations in a cell: on average, and from which it is crowded
+MAX_HALVINGS = 24  # of the cell that nearest stations are looked up by
 EARTH_KM = 6371.0088
 
 
@@ -345,30 +347,59 @@ def _closest(cand: DataFrame, key: str) -> DataFrame:
     return scored.groupBy(key).agg(F.min(F.struct("_d", "_sid")).alias("_b"))
 
 
+def _station_levels(places: DataFrame, cell: float) -> tuple[int, int]:
+    """(k, fine): how often to halve the cell until its occupied cells hold ``CELL_STATIONS`` places on
+    average, and until none holds more than ``HOT_STATIONS``. One small aggregate a halving."""
+    k, first = 0, None
+    while True:
+        cells = places.groupBy(F.floor(F.col("_slat") / (cell / 2 ** k)), F.floor(F.col("_slon") / (cell / 2 ** k))).agg(F.count(F.lit(1)).alias("n"))
+        row = cells.agg(F.avg("n").alias("mean"), F.max("n").alias("most")).first()
+        if first is None and (row["mean"] <= CELL_STATIONS or k == MAX_HALVINGS):
+            first = k
+        if first is not None and (row["most"] <= HOT_STATIONS or k == MAX_HALVINGS):
+            return first, k
+        k += 1
+
+
 def nearest(points: DataFrame, stations: DataFrame, key: str, station_key: str, cell: float) -> DataFrame:
     """Exact nearest station per point (ties -> smaller station key).
 
-    First the 3 x 3 block of cells around the point's cell: a station outside it is more than a cell
-    away in latitude or longitude, so a best distance below that bound is final; so is any result
-    if the block covers every station. The other points, however far away, go from coarse cells
-    to fine ones (``_descend``). The stations and the first pass are checkpointed, as several steps read them."""
+    Stations at one place are one, the smallest key. ``cell`` is halved until its cells hold a few
+    places, so the candidates of a point do not grow with the stations. First the 3 x 3 block of cells
+    around the point's cell: a station outside it is more than a cell away in latitude or longitude, so
+    a best distance below that bound is final; so is any result if the block covers every station. Points beside a
+    crowded cell, and those far from any station, go from coarse cells to fine ones (``_descend``), as fine
+    as the crowded cells need. The stations and the first pass are checkpointed, as several steps read them."""
+    places = stations.where("lat IS NOT NULL AND long IS NOT NULL").groupBy(F.col("lat").alias("_slat"), F.col("long").alias("_slon")).agg(
+        F.min(F.struct(station_key))[station_key].alias("_sid")).checkpoint()
+    if places.isEmpty():  # no station at all
+        return points.select(key, F.lit(None).cast(stations.schema[station_key].dataType).alias("station"), F.lit(None).cast("double").alias("distance_km"))
+    level, fine = _station_levels(places, cell)
+    tiny, up = cell / 2 ** fine, fine - level
+    cell = cell / 2 ** level
+    st = places.select("_sid", "_slat", "_slon", F.floor(F.col("_slat") / tiny).alias("_sy"), F.floor(F.col("_slon") / tiny).alias("_sx")).checkpoint()  # read on every level
+    extent = st.agg(F.min("_sy").alias("_y0"), F.max("_sy").alias("_y1"), F.min("_sx").alias("_x0"), F.max("_sx").alias("_x1")).first()
     pts = points.select(key, F.col("lat").alias("_plat"), F.col("long").alias("_plon"),
                         F.floor(F.col("lat") / cell).alias("_py"), F.floor(F.col("long") / cell).alias("_px"))
-    st = stations.select(F.col(station_key).alias("_sid"), F.col("lat").alias("_slat"), F.col("long").alias("_slon"),
-                         F.floor(F.col("lat") / cell).alias("_sy"), F.floor(F.col("long") / cell).alias("_sx")).where("_sy IS NOT NULL AND _sx IS NOT NULL").checkpoint()  # read on every level
-    extent = st.agg(F.min("_sy").alias("_y0"), F.max("_sy").alias("_y1"), F.min("_sx").alias("_x0"), F.max("_sx").alias("_x1")).first()
-    if extent["_y0"] is None:  # no station at all
-        return pts.select(key, F.lit(None).cast(stations.schema[station_key].dataType).alias("station"), F.lit(None).cast("double").alias("distance_km"))
     near = F.explode(F.array(*(F.struct(F.lit(y).alias("y"), F.lit(x).alias("x")) for y in (-1, 0, 1) for x in (-1, 0, 1)))).alias("_o")
     probe = pts.select(key, "_plat", "_plon", "_py", "_px", near)
     probe = probe.select(key, "_plat", "_plon", (F.col("_py") + F.col("_o.y")).alias("_sy"), (F.col("_px") + F.col("_o.x")).alias("_sx"))
-    best = _closest(probe.join(st, ["_sy", "_sx"]), key)
+    local = st.withColumns({"_sy": F.shiftright("_sy", up), "_sx": F.shiftright("_sx", up)})
+    crowded = None
+    if up:
+        hot = local.groupBy("_sy", "_sx").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_STATIONS).select("_sy", "_sx").checkpoint()
+        local = local.join(hot, ["_sy", "_sx"], "left_anti")
+        crowded = probe.join(hot, ["_sy", "_sx"], "left_semi").select(key).distinct().withColumn("_crowded", F.lit(True))
+    best = _closest(probe.join(local, ["_sy", "_sx"]), key)
     bound = F.lit(cell * 111.0) * F.cos(F.radians(F.least(F.abs(F.col("_plat")) + F.lit(cell), F.lit(89.0))))
-    covers = ((F.col("_py") - 1 <= extent["_y0"]) & (F.col("_py") + 1 >= extent["_y1"])
-              & (F.col("_px") - 1 <= extent["_x0"]) & (F.col("_px") + 1 >= extent["_x1"]))
+    covers = ((F.col("_py") - 1 <= extent["_y0"] >> up) & (F.col("_py") + 1 >= extent["_y1"] >> up)
+              & (F.col("_px") - 1 <= extent["_x0"] >> up) & (F.col("_px") + 1 >= extent["_x1"] >> up))
     # A point without coordinates: final at once, with a null station.
     final = F.coalesce(covers, F.lit(True)) | F.coalesce(F.col("_b._d") <= bound, F.lit(False))
-    scored = pts.join(best, key, "left").withColumn("_final", final).checkpoint()
+    scored = pts.join(best, key, "left")
+    if crowded is not None:
+        scored, final = scored.join(crowded, key, "left"), final & F.col("_crowded").isNull()
+    scored = scored.withColumn("_final", final).checkpoint()
     rest = scored.where("NOT _final").select(*pts.columns)
     done = scored.where("_final").select(key, "_b")
     if not rest.isEmpty():

@@ -212,7 +212,7 @@ def q_raster_info(spark, sf_dir):
 def stations(spark, sf_dir) -> DataFrame:
     """Candidate stations that actually have data (shipped at least one line)."""
     s = read_table(spark, sf_dir, "supplier", "s_suppkey")
-    active = read_table(spark, sf_dir, "lineitem", "l_suppkey").select(F.col("l_suppkey").alias("s_suppkey"))
+    active = read_table(spark, sf_dir, "lineitem", "l_suppkey").select(F.col("l_suppkey").alias("s_suppkey")).distinct()
     s = s.join(active, "s_suppkey", "left_semi")
     k = F.col("s_suppkey") * 31 + 17
     return s.select("s_suppkey", key_to_lat(k).alias("lat"), key_to_lon(k).alias("long"))

@@ -38,6 +38,27 @@ def test_nearest_equals_brute_force(places, cell):
     assert found[1003][0] == 500  # of two stations at one place the smaller key
 
 
+def test_candidates_do_not_grow_with_the_stations(spark, monkeypatch):
+    """Some 2,000 stations in four cells of the grid that is asked for, 300 of them in a thousandth of a cell."""
+    rng = random.Random(8)
+    stations = [(k, 38.0 + rng.random() * 0.04, -122.5 + rng.random() * 0.04) for k in range(1700)]
+    stations += [(2000 + k, 38.01 + rng.random() * 2e-5, -122.49 + rng.random() * 2e-5) for k in range(300)]
+    points = [(k, 38.0 + rng.random() * 0.04, -122.5 + rng.random() * 0.04) for k in range(200)]
+    points += [(500 + k, 38.01 + rng.random() * 2e-5, -122.49 + rng.random() * 2e-5) for k in range(50)]
+    pts = spark.createDataFrame(points, "k int, lat double, long double")
+    st = spark.createDataFrame(stations, "sid int, lat double, long double")
+    tried, closest = [], G._closest
+
+    def counted(cand, key):
+        tried.append(cand.groupBy(key).count().agg(F.max("count")).first()[0])
+        return closest(cand, key)
+
+    monkeypatch.setattr(G, "_closest", counted)
+    found = {r["k"]: r["station"] for r in G.nearest(pts, st, "k", "sid", 0.02).collect()}
+    assert found == {k: min((km((a, b), s[1:]), s[0]) for s in stations)[1] for k, a, b in points}
+    assert len(tried) == 2 and max(tried) <= 9 * G.HOT_STATIONS
+
+
 def test_far_points_cost_few_cells_a_level(places, spark, monkeypatch):
     *_, pts, st = places
     seen = []
