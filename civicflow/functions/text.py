@@ -21,6 +21,9 @@ _WS = r"\p{Z}\t\n\x0B\f\r"
 URL_PATTERN = r"http\S+"
 NON_WORD_PATTERN = r"[^\p{L}\p{N}_" + _WS + r"]"
 WS_RUN_PATTERN = r"[" + _WS + r"]+"
+# Punctuation and whitespace in one pass: what the two patterns above leave between words.
+# (The ASCII letters are in \p{L}: listed first, they are told without the Unicode tables.)
+BETWEEN_WORDS_PATTERN = r"[^a-zA-Z0-9_\p{L}\p{N}]+"
 
 
 def shorten_category(c: Column) -> Column:
@@ -30,12 +33,7 @@ def shorten_category(c: Column) -> Column:
 
 def normalise_text(c: Column, strip_urls: bool = True) -> Column:
     """Lower, strip URLs, punctuation -> space, collapse whitespace, trim."""
-    t = F.lower(c)
-    if strip_urls:
-        t = F.regexp_replace(t, URL_PATTERN, " ")
-    t = F.regexp_replace(t, NON_WORD_PATTERN, " ")
-    t = F.regexp_replace(t, WS_RUN_PATTERN, " ")
-    return F.trim(t)
+    return F.trim(F.regexp_replace(word_text(c, strip_urls), BETWEEN_WORDS_PATTERN, " "))
 
 
 def _accent_table() -> tuple[str, str]:
@@ -59,22 +57,24 @@ def strip_accents(c: Column) -> Column:
     return F.translate(c, ACCENT_SRC, ACCENT_DST)
 
 
-SHORT_WORD_PATTERN = r"(?<!\S)\S(?!\S)"
+TOKEN_PATTERN = r"[a-zA-Z0-9_\p{L}\p{N}]{2,}"
+
+
+def word_text(c: Column, strip_urls: bool = True) -> Column:
+    """Text whose ``tokens`` are those of ``normalise_text``: punctuation still stands between them."""
+    return F.regexp_replace(F.lower(c), URL_PATTERN, " ") if strip_urls else F.lower(c)
 
 
 def tokens(c: Column) -> Column:
-    """Words of at least two characters from normalised (single-spaced) text.
-    One-character words are removed by a regex, so no per-element lambda runs."""
-    kept = F.trim(F.regexp_replace(F.regexp_replace(c, SHORT_WORD_PATTERN, ""), " +", " "))
-    return F.array_remove(F.split(kept, " "), "")
+    """Words of at least two characters from normalised text or ``word_text``, by one regex."""
+    return F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def bigrams(words: Column) -> Column:
-    """Neighbouring word pairs of a token array, built by one regex on the joined
-    text: every inner word is doubled around a '|' ("a b c" -> "a b|b c"), then split."""
-    joined = F.array_join(words, " ")
-    paired = F.regexp_replace(joined, r"(?<= )(\S+)(?= )", "$1|$1")
-    return F.when(F.size(words) >= 2, F.split(paired, r"\|")).otherwise(F.array().cast("array<string>"))
+    """Neighbouring word pairs of a token array, joined by a space."""
+    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1),
+                       lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.when(F.size(words) >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
 def format_terms(terms: Column, term_field: str = "term", weight_field: str = "weight") -> Column:

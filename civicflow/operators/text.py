@@ -18,12 +18,15 @@ An optional ``group`` column runs independent TF-IDF models per corpus slice.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from civicflow.functions import text as T
 from civicflow.operators.common import broadcast_if_small, top_k_per_group
+from civicflow.session import scratch_path
 
 # Hash buckets of ``heavy_vocabulary``: a parameter of speed only, the result is exact for any.
 TERM_BUCKETS = 1 << 20
@@ -38,6 +41,12 @@ def normalise(docs: DataFrame, text_col: str, strip_accents: bool = True) -> Col
     return T.strip_accents(t) if strip_accents else t
 
 
+def words(docs: DataFrame, text_col: str, strip_accents: bool = True) -> Column:
+    """``normalise`` for counting terms: the same tokens, without the pass that drops punctuation."""
+    t = T.word_text(F.col(text_col))
+    return T.strip_accents(t) if strip_accents else t
+
+
 def ngram_terms(tokens: Column, max_n: int = 2) -> Column:
     """Unigrams plus, when max_n == 2, space-joined neighbouring pairs."""
     if max_n == 1:
@@ -158,8 +167,34 @@ def heavy_vocabulary(
        is exact, ties included.
 
     ``counts`` is computed once a pass (from the scan, with no checkpoint); the buckets and the cut
-    vocabularies, both bounded, are checkpointed. The result is too."""
-    group = group or []
+    vocabularies, both bounded, are checkpointed. The result is too. The counts of step 2 (and 3) are
+    written as Parquet: of the vocabulary's buckets only, some bytes a row."""
+    return _heavy(counts, n_docs, group, min_df, max_df, max_features, one_row_docs, buckets)[0]
+
+
+def heavy_counts(
+    counts: DataFrame,
+    n_docs: DataFrame,
+    group: list[str] | None = None,
+    min_df: int = 2,
+    max_df: float | int = 1.0,
+    max_features: int = 10000,
+    one_row_docs: bool = True,
+    buckets: int = TERM_BUCKETS,
+) -> tuple[DataFrame, DataFrame]:
+    """``heavy_vocabulary`` and the (group..., doc, term, tf) of its terms, from the written rows that it
+    was found in: the texts are read for the buckets and once for the counts."""
+    vocab, parts = _heavy(counts, n_docs, group, min_df, max_df, max_features, one_row_docs, buckets)
+    rows = parts[0]
+    for part in parts[1:]:  # the first buckets and the rest: no term is in both
+        rows = rows.unionByName(part)
+    terms = [*(group or []), "term"]
+    return vocab, rows.join(broadcast_if_small(vocab.select(*terms), BROADCAST_BUCKETS), terms, "left_semi")
+
+
+def _heavy(counts, n_docs, group, min_df, max_df, max_features, one_row_docs, buckets) -> tuple[DataFrame, list[DataFrame]]:
+    """The vocabulary and the written (group..., doc, term, tf) of the buckets that were counted exactly."""
+    group, spark, written = group or [], counts.sparkSession, []
     keyed = counts.withColumn("_hash", F.pmod(F.xxhash64("term"), F.lit(buckets)))
     sums = keyed.groupBy(*group, "_hash").agg(F.sum("tf").alias("_bound")).checkpoint()
     ranked = max(FIRST_BUCKETS, 4 * max_features)
@@ -175,6 +210,10 @@ def heavy_vocabulary(
         rows = keyed.join(broadcast_if_small(which, BROADCAST_BUCKETS), on, "left_semi")
         if not one_row_docs:
             rows = rows.groupBy(*group, "doc", "term").agg(F.sum("tf").alias("tf"))
+        path = scratch_path(spark, f"counts-{uuid.uuid4().hex}")  # terms are dictionary-encoded, a document's rows stand together
+        rows.select(*group, "doc", "term", "tf").write.parquet(path)
+        rows = spark.read.schema(rows.select(*group, "doc", "term", "tf").schema).parquet(path)
+        written.append(rows)
         return vocabulary(rows, n_docs, group, min_df, max_df, max_features)
 
     found = exact(chosen).checkpoint()
@@ -189,14 +228,14 @@ def heavy_vocabulary(
         rest = sums.join(F.broadcast(chosen), on, "left_anti").filter(F.col("_bound") >= floor)
     rest = rest.select(*on).checkpoint()
     if rest.isEmpty():
-        return found
+        return found, written
     both = found.unionByName(exact(rest))
     order = [F.desc("total"), F.asc("term")]
     if group:
         cut = top_k_per_group(both, group, order, max_features, ["term"]).drop("rank")
     else:
         cut = both.orderBy(*order).limit(max_features)
-    return cut.checkpoint()
+    return cut.checkpoint(), written
 
 
 def counts_of(counts: DataFrame, vocab: DataFrame, group: list[str] | None = None) -> DataFrame:

@@ -41,9 +41,9 @@ def q_text_normalise(spark, sf_dir):
 
 def tfidf_weights(spark, sf_dir) -> DataFrame:
     d = docs(spark, sf_dir)
-    norm = d.select("doc_id", X.normalise(d, "text").alias("norm"))
-    counts = X.row_terms(norm, "doc_id", "norm")
-    vocab = X.heavy_vocabulary(counts, X.doc_count(d), min_df=MIN_DF, max_df=MAX_DF, max_features=MAX_FEATURES)
+    words = d.select("doc_id", X.words(d, "text").alias("words"))
+    counts = X.row_terms(words, "doc_id", "words")
+    vocab, counts = X.heavy_counts(counts, X.doc_count(d), min_df=MIN_DF, max_df=MAX_DF, max_features=MAX_FEATURES)
     return X.tfidf(counts, vocab)
 
 
@@ -54,10 +54,10 @@ def q_tfidf_terms(spark, sf_dir):
 
 def slice_scores(spark, sf_dir) -> DataFrame:
     d = docs(spark, sf_dir)
-    norm = d.select("lang", "doc_id", X.normalise(d, "text", strip_accents=False).alias("norm"))
-    counts = X.row_terms(norm, "doc_id", "norm", group=["lang"], stop_words=list(stopwords.english()))
+    words = d.select("lang", "doc_id", X.words(d, "text", strip_accents=False).alias("words"))
+    counts = X.row_terms(words, "doc_id", "words", group=["lang"], stop_words=list(stopwords.english()))
     n = X.doc_count(d, ["lang"])
-    vocab = X.heavy_vocabulary(counts, n, ["lang"], min_df=MIN_DF, max_features=SLICE_MAX_FEATURES)
+    vocab, counts = X.heavy_counts(counts, n, ["lang"], min_df=MIN_DF, max_features=SLICE_MAX_FEATURES)
     return X.mean_weights(X.tfidf(counts, vocab, ["lang"]), n, ["lang"])
 
 
@@ -85,11 +85,11 @@ def zone_scores(spark, sf_dir) -> DataFrame:
     """M17 + G24: zones as documents without building one text per zone: per-description
     term counts are summed per zone (so no bigram spans two descriptions)."""
     d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "source")).withColumnRenamed("source", "zone")
-    norm = d.select("zone", "doc_id", T.normalise_text(F.col("text"), strip_urls=False).alias("norm"))
-    counts = X.row_terms(norm, "zone", "norm", stop_words=stopwords.ZONE_STOP_WORDS)
+    words = d.select("zone", "doc_id", T.word_text(F.col("text"), strip_urls=False).alias("words"))
+    counts = X.row_terms(words, "zone", "words", stop_words=stopwords.ZONE_STOP_WORDS)
     n_zones = d.agg(F.count_distinct("zone").alias("n_docs"))
-    vocab = X.heavy_vocabulary(counts, n_zones, min_df=1, max_features=ZONE_MAX_FEATURES, one_row_docs=False)
-    w = X.tfidf(X.counts_of(counts, vocab), vocab).withColumnRenamed("doc", "zone")
+    vocab, zone_counts = X.heavy_counts(counts, n_zones, min_df=1, max_features=ZONE_MAX_FEATURES, one_row_docs=False)
+    w = X.tfidf(zone_counts, vocab).withColumnRenamed("doc", "zone")
     return X.top_terms(w.withColumnRenamed("weight", "score"), ["zone"], ZONE_TOP)
 
 

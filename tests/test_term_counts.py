@@ -5,6 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from civicflow.functions import text as T
 from civicflow.operators import text as X
 
 
@@ -92,3 +93,28 @@ def test_support_is_one_scan(spark):
     docs = spark.createDataFrame(rows, "label string, text string")
     got = {tuple(r) for r in X.class_support(docs, "text", "label", 2).collect()}
     assert got == {("a", 2, True), ("b", 1, False)}
+
+
+def test_texts_are_read_for_the_buckets_and_once_for_the_counts(spark, frame):
+    """The counts of the vocabulary come from the written rows: the plan reads no text."""
+    counts = X.row_terms(frame, "doc_id", "norm")
+    vocab, kept = X.heavy_counts(counts, X.doc_count(frame), min_df=2, max_df=0.9, max_features=12, buckets=64)
+    assert sorted(vocab.collect()) == sorted(X.heavy_vocabulary(counts, X.doc_count(frame), min_df=2, max_df=0.9, max_features=12, buckets=64).collect())
+    assert sorted(kept.collect()) == sorted(X.counts_of(counts, vocab).select(*kept.columns).collect())
+    assert "regexp" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_are_those_of_the_normalised_text(spark):
+    texts = ["", None, "a", "Caf\u00e9-Bar, d'\u00c9t\u00e9!  x\tyy\u00a0zz", "see https://a.b/c?d xhttp://e f_1 \u0660\u0661 \u4e2d\u6587\u3002\u4e2d", "e\u0301a\u0308 \U0001d400b \U0001d400 \x85ab\x1ccd|ef",
+             "one two three"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    old = F.lower("text")
+    for pattern in (T.URL_PATTERN, T.NON_WORD_PATTERN, T.WS_RUN_PATTERN):
+        old = F.regexp_replace(old, pattern, " ")
+    old = T.strip_accents(F.trim(old))
+    alone = F.trim(F.regexp_replace(F.regexp_replace(old, r"(?<!\S)\S(?!\S)", ""), " +", " "))
+    rows = df.select(old.alias("old"), X.normalise(df, "text").alias("new"), F.array_remove(F.split(alone, " "), "").alias("was"),
+                     T.tokens(X.normalise(df, "text")).alias("of_norm"), T.tokens(X.words(df, "text")).alias("of_words")).collect()
+    assert all(r["old"] == r["new"] and r["was"] == r["of_norm"] == r["of_words"] for r in rows)
+    pairs = df.select(T.bigrams(T.tokens(X.words(df, "text"))).alias("p")).collect()
+    assert [r["p"] for r in pairs] == [[f"{a} {b}" for a, b in zip(r["was"] or [], (r["was"] or [])[1:])] for r in rows]
