@@ -69,6 +69,7 @@ def document_terms(
         # remover does a hash-set lookup per token.
         remover = StopWordsRemover(inputCol="_tok", outputCol="_kept", stopWords=sorted(set(stop_words)),
                                    caseSensitive=True)
+        toks = toks.withColumn("_tok", F.coalesce("_tok", F.array().cast("array<string>")))  # it takes no null
         toks = remover.transform(toks).drop("_tok").withColumnRenamed("_kept", "_tok")
     return toks.select(*group, "doc", ngram_terms(F.col("_tok"), max_n).alias("_terms"))
 

@@ -118,3 +118,8 @@ def test_words_are_those_of_the_normalised_text(spark):
     assert all(r["old"] == r["new"] and r["was"] == r["of_norm"] == r["of_words"] for r in rows)
     pairs = df.select(T.bigrams(T.tokens(X.words(df, "text"))).alias("p")).collect()
     assert [r["p"] for r in pairs] == [[f"{a} {b}" for a, b in zip(r["was"] or [], (r["was"] or [])[1:])] for r in rows]
+
+
+def test_stop_words_and_null_texts(spark, frame):
+    kept = X.row_terms(frame, "doc_id", "norm", stop_words=["common"], max_n=1).filter("doc IN (0, 61, 62)")
+    assert sorted((r["doc"], r["term"], r["tf"]) for r in kept.collect()) == [(0, "once0", 1), (0, "pair0", 1), (0, "w0", 1)]
