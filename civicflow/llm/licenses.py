@@ -180,9 +180,11 @@ def _literal(text: str) -> str:
 def intervals(docs: DataFrame) -> DataFrame:
     """doc_id, row (unique), n_words, found: array of (first, last, rule, priority, base)
     for every match of every rule. Words are counted from 0."""
-    rule_array = "array(" + ", ".join(
-        f"named_struct('no', {i}, 'key', {_literal(key)}, 'priority', {priority}, 'pattern', {_literal(f' (?:{pattern})(?= )')})"
-        for i, (_, priority, key, pattern) in enumerate(RULES)) + ")"
+    by_key = {}  # a keyword is looked for once, whatever the number of its rules
+    for i, (_, priority, key, pattern) in enumerate(RULES):
+        by_key.setdefault(key, []).append(f"named_struct('no', {i}, 'priority', {priority}, 'pattern', {_literal(f' (?:{pattern})(?= )')})")
+    key_array = "array(" + ", ".join(f"named_struct('key', {_literal(k)}, 'rules', array({', '.join(r)}))" for k, r in by_key.items()) + ")"
+    held = f"flatten(transform(filter({key_array}, k -> contains(__words, k.key)), k -> k.rules))"
     gate = " or ".join(f"contains(__words, {_literal(k)})" for k in GATE)
     # Pieces between matches and the matches themselves; spaces before a match = its first word.
     places = """transform(
@@ -200,7 +202,7 @@ def intervals(docs: DataFrame) -> DataFrame:
             .selectExpr("doc_id", r"concat(' ', trim(regexp_replace(__text, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ')), ' ') __words")
             .selectExpr("doc_id", "monotonically_increasing_id() row",
                         "if(__words = '  ', 0L, cast(length(__words) - length(replace(__words, ' ', '')) - 1 as bigint)) n_words",
-                        f"case when {gate} then flatten(transform(filter({rule_array}, r -> contains(__words, r.key)), r -> {places})) end found"))
+                        f"case when {gate} then flatten(transform({held}, r -> {places})) end found"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
