@@ -18,9 +18,13 @@ from pyspark.sql import types as T
 
 
 def write_csv_and_parquet(df: DataFrame, csv_path: str, parquet_path: str, partition_by: list[str] | None = None) -> None:
-    """A2: the same table as header CSV (quotes / newlines escaped) and as Parquet."""
+    """A2: the same table as header CSV (quotes / newlines escaped) and as Parquet.
+
+    A task sorts its rows by the partition columns before it writes them, so these are rebalanced
+    first: a task then holds rows of one or a few partitions, as many as AQE's advisory size allows,
+    whatever the size of the task that made them (which AQE sizes by the narrower rows it read)."""
     df.write.mode("overwrite").option("header", True).option("escape", '"').csv(csv_path)
-    w = df.write.mode("overwrite")
+    w = (df.hint("rebalance", *partition_by) if partition_by else df).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(parquet_path)
