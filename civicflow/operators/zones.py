@@ -35,6 +35,8 @@ CATEGORY_K = 3
 TOP_N_CATEGORIES = 5
 MIN_CATEGORY_SIZE = 200
 PARALLEL_FITS = 8
+# Places that one task of a fit works through before there are more tasks.
+PLACES_PER_TASK = 1 << 20
 
 
 def places(requests: DataFrame, category: str | None = None, cols=("lat", "long")) -> DataFrame:
@@ -67,6 +69,13 @@ def standardise(df: DataFrame, cols=("lat", "long"), group: str | None = None, s
     return VectorAssembler(inputCols=[f"{c}_z" for c in cols], outputCol="features").transform(out)
 
 
+def gathered(points: DataFrame, n: int) -> DataFrame:
+    """``points`` (``n`` rows) in no more partitions than their number asks for. Every iteration of every
+    fit sends the result of two tasks a partition to the driver, and the fits run side by side as it is, so
+    small partitions cost results and gain nothing."""
+    return points.coalesce(max(1, -(-n // PLACES_PER_TASK)))
+
+
 def _kmeans(k: int, seed: int) -> KMeans:
     return KMeans(k=k, seed=seed, maxIter=MAX_ITER, featuresCol="features", predictionCol="raw_cluster", weightCol="weight")
 

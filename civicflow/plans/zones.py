@@ -30,7 +30,7 @@ def fitted(spark, sf_dir):
     if key not in _FITS:
         by_category = Z.places(points(spark, sf_dir), "category_short").checkpoint()
         pts = by_category.groupBy("lat", "long").agg(F.sum("weight").alias("weight")).checkpoint()
-        scaled = Z.standardise(pts).checkpoint()
+        scaled = Z.gathered(Z.standardise(pts), pts.count()).checkpoint()
         _FITS[key] = (by_category, scaled, Z.fit_best(scaled, Z.K))
     return _FITS[key]
 
