@@ -71,7 +71,8 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = int(min(1.0, MAX_TRAIN / n) * (1 << 30))
     marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share)
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text").where("text is not null")
-    return rows.join(marks, "doc_id").select("text", "toxic", (fold() == 3).cast("int").alias("part"))
+    # About MAX_TRAIN rows at most, whatever the tables' size: sent to the scan, so that no other row's text is shuffled.
+    return rows.join(F.broadcast(marks), "doc_id").select("text", "toxic", (fold() == 3).cast("int").alias("part"))
 
 
 def count_features(train: DataFrame) -> DataFrame:

@@ -89,3 +89,22 @@ def test_texts_without_evidence_score_alike_and_stay(spark):
     assert len({rows[i]["score"] for i in (200, 201, 202)}) == 1
     assert {rows[i]["predicted"] for i in (200, 201, 202)} == {0}
     assert {r["doc_id"] for r in toxicity.drop_toxic(docs, labels).collect()} >= {i for i, _ in clean + bare}
+
+
+def test_training_rows_shuffle_no_text(spark):
+    """Check failure: the text of every document crossed a shuffle to meet the marks."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    try:
+        docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)] + [(3, "again"), (None, "none"), (5, None)], "doc_id long, text string")
+        labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(3, 0), (None, 1), (7, None)], "doc_id long, toxic int")
+        train = toxicity.training_rows(docs, labels)
+        plan = train._jdf.queryExecution().sparkPlan().toString()
+        rows = sorted(map(tuple, train.collect()))
+    finally:
+        spark.conf.set(name, before)
+    part = {i: zlib.crc32(str(i).encode()) % 4 for i in range(20)}
+    texts = [(i, f"text {i}") for i in range(20)] + [(3, "again")]
+    assert rows == sorted((t, i % 2, int(part[i] == 3)) for i, t in texts if part[i] != 2)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
