@@ -22,7 +22,8 @@ a shingle is five words, or all words of an item that has fewer.
    occurrences), exactly, by one join on (item, shingle).
 
 Only DataFrame functions are used. The benchmark's shingles are broadcast if there are at
-most ``BROADCAST_ROWS`` of them (checked), and joined by shuffle if not.
+most ``BROADCAST_ROWS`` of them (checked), and joined by shuffle if not. The index of 3. and the
+contents are always joined by shuffle.
 
 Defined cases: null and empty texts and items match nothing; a document shorter than the
 item is compared whole; rows keep their multiplicity, null doc_id included; benchmark items
@@ -138,24 +139,26 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     stored = (item_fp.selectExpr("item", "k", "fp item_fp", f"explode(array({', '.join(blocks)})) b")
               .selectExpr("item", "k", "item_fp", "b.block block", f"explode(transform(array({masks}), m -> b.value ^ m)) value"))
     asked = content_fp.selectExpr(*CONTENT, "k", "fp", f"explode(array({', '.join(blocks)})) b").selectExpr(*CONTENT, "k", "fp", "b.block block", "b.value value")
-    within = asked.join(stored, ["block", "value", "k"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS}").select(*CONTENT, "item")
+    # 697 rows an item and block: however small the items look, this is not broadcast. Nor are the joins by CONTENT:
+    # a broadcast table with a key of two columns takes 64 MB of the driver at least.
+    within = asked.join(stored.hint("merge"), ["block", "value", "k"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS}").select(*CONTENT, "item")
 
     weights = content_rows.groupBy(*CONTENT, "k", "h").agg(F.count("*").alias("a"))
     item_weights = shingles.groupBy("item", "k", "h").agg(F.count("*").alias("b"))
     held = staged(item_weights.groupBy("h").agg(F.count("*").alias("f")), "decontaminate-held")
     first = staged(prefixes(item_weights.join(held, "h"), ["item"], "b"), "decontaminate-prefixes")
     own = weights.join(checked_broadcast(held, BROADCAST_ROWS), "h", "left").withColumn("f", F.coalesce("f", F.lit(0)))
-    beyond = prefixes(own, CONTENT, "a").join(checked_broadcast(first, BROADCAST_ROWS), ["k", "h"]).select(*CONTENT, "item")
+    beyond = prefixes(own, CONTENT, "a").drop("k").join(checked_broadcast(first.drop("k"), BROADCAST_ROWS), "h").select(*CONTENT, "item")  # h is of k too
     candidates = within.union(beyond).distinct()
 
     weights, item_weights = weights.drop("k"), item_weights.drop("k")
     totals = content_rows.groupBy(*CONTENT).agg(F.count("*").alias("na"))
     item_totals = items.select("item", F.size("sh").alias("nb"))
-    shared = (candidates.join(weights, CONTENT).join(item_weights, ["item", "h"])
+    shared = (candidates.join(weights.hint("merge"), CONTENT).join(item_weights, ["item", "h"])
               .groupBy(*CONTENT, "item").agg(F.sum(F.least("a", "b")).alias("both")))
-    verified = (shared.join(totals, CONTENT).join(item_totals, "item")
+    verified = (shared.join(totals.hint("merge"), CONTENT).join(item_totals, "item")
                 .selectExpr(*CONTENT, "item", "both / (na + nb - both) similarity").where(f"similarity >= {SIMILARITY}"))
-    return found.join(verified, CONTENT).selectExpr("__id", "__row", "cast(start as long) start", "n", "item", "similarity")
+    return found.join(verified.hint("merge"), CONTENT).selectExpr("__id", "__row", "cast(start as long) start", "n", "item", "similarity")
 
 
 def _by_document(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
