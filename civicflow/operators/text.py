@@ -8,7 +8,7 @@ tf' = 1 + ln(tf), idf = ln((1 + n) / (1 + df)) + 1, then L2 per document.
 
 Scale: tokenising, n-gramming and the counting of a document's terms are array
 functions on its row (``row_terms``: no exchange, no text shuffled). The vocabulary
-comes from ``heavy_vocabulary``: hash buckets bound every term's count from above, and
+comes from ``heavy_vocabulary`` (over words written once by ``written_tokens``): hash buckets bound every term's count from above, and
 only the terms of buckets that can reach the vocabulary are counted exactly, so the rare
 terms (most of a corpus's bigrams) never cross a shuffle. The vocabulary is bounded by
 ``max_features`` so it is broadcast; per-group rankings use a salted two-stage top-k (no
@@ -54,15 +54,15 @@ def ngram_terms(tokens: Column, max_n: int = 2) -> Column:
     return F.concat(tokens, T.bigrams(tokens))
 
 
-def document_terms(
+def document_tokens(
     docs: DataFrame,
     id_col: str,
     norm_col: str,
-    group: list[str],
-    stop_words: list[str] | None,
-    max_n: int,
+    group: list[str] | None = None,
+    stop_words: list[str] | None = None,
 ) -> DataFrame:
-    """(group..., doc, _terms): the array of a document's terms, repeats included."""
+    """(group..., doc, _tok): the array of a document's words that are not stop words, in order."""
+    group = group or []
     toks = docs.select(*group, F.col(id_col).alias("doc"), T.tokens(F.col(norm_col)).alias("_tok"))
     if stop_words:
         # Stop words go before pairing (as the reference vectoriser does); the JVM
@@ -71,7 +71,31 @@ def document_terms(
                                    caseSensitive=True)
         toks = toks.withColumn("_tok", F.coalesce("_tok", F.array().cast("array<string>")))  # it takes no null
         toks = remover.transform(toks).drop("_tok").withColumnRenamed("_kept", "_tok")
-    return toks.select(*group, "doc", ngram_terms(F.col("_tok"), max_n).alias("_terms"))
+    return toks
+
+
+def written_tokens(
+    docs: DataFrame,
+    id_col: str,
+    norm_col: str,
+    group: list[str] | None = None,
+    stop_words: list[str] | None = None,
+) -> DataFrame:
+    """``document_tokens`` written under the shared checkpoint folder and read back: the texts are scanned
+    and cut into words once, whatever the number of passes over the words (less than the text in bytes)."""
+    toks = document_tokens(docs, id_col, norm_col, group, stop_words)
+    path = scratch_path(docs.sparkSession, f"tokens-{uuid.uuid4().hex}")
+    toks.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(toks.schema).parquet(path)
+
+
+def occurrences(tokens: DataFrame, group: list[str] | None = None) -> DataFrame:
+    """(group..., term): a row for each place of a term (1-2 words) in ``document_tokens``, for sums
+    that need no count by document. Each word meets the next one in the row: no sort, no lambda."""
+    following = F.expr("slice(_tok, 2, greatest(size(_tok) - 1, 0))")
+    pairs = tokens.select(*(group or []), F.inline(F.arrays_zip(F.col("_tok").alias("_a"), following.alias("_b"))).alias("_a", "_b"))
+    terms = F.array("_a", F.concat("_a", F.lit(" "), "_b"))  # no pair after a document's last word
+    return pairs.select(*(group or []), F.explode(terms).alias("term")).where("term IS NOT NULL")
 
 
 def row_terms(
@@ -86,8 +110,13 @@ def row_terms(
     length is its count, so the plan has no exchange. A null text has no terms. Rows that
     share a ``doc`` keep their counts apart (``heavy_vocabulary`` and ``tfidf`` add them up
     where ``one_row_docs`` is false)."""
+    return counted_tokens(document_tokens(docs, id_col, norm_col, group, stop_words), group, max_n)
+
+
+def counted_tokens(tokens: DataFrame, group: list[str] | None = None, max_n: int = 2) -> DataFrame:
+    """``row_terms`` of ``document_tokens``."""
     group = group or []
-    rows = document_terms(docs, id_col, norm_col, group, stop_words, max_n)
+    rows = tokens.select(*group, "doc", ngram_terms(F.col("_tok"), max_n).alias("_terms"))
     rows = rows.select(*group, "doc", F.sort_array("_terms").alias("_terms"))
     at = F.col("_terms")
     # No filter on empty arrays: it would be pushed to the scan, with the whole tokenising in it.
@@ -170,7 +199,7 @@ def heavy_vocabulary(
     ``counts`` is computed once a pass (from the scan, with no checkpoint); the buckets and the cut
     vocabularies, both bounded, are checkpointed. The result is too. The counts of step 2 (and 3) are
     written as Parquet: of the vocabulary's buckets only, some bytes a row."""
-    return _heavy(counts, n_docs, group, min_df, max_df, max_features, one_row_docs, buckets)[0]
+    return _heavy(counts, None, n_docs, group, min_df, max_df, max_features, one_row_docs, buckets)[0]
 
 
 def heavy_counts(
@@ -182,10 +211,12 @@ def heavy_counts(
     max_features: int = 10000,
     one_row_docs: bool = True,
     buckets: int = TERM_BUCKETS,
+    places: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """``heavy_vocabulary`` and the (group..., doc, term, tf) of its terms, from the written rows that it
-    was found in: the texts are read for the buckets and once for the counts."""
-    vocab, parts = _heavy(counts, n_docs, group, min_df, max_df, max_features, one_row_docs, buckets)
+    was found in: the texts are read for the buckets and once for the counts. ``places`` (``occurrences``
+    of the same tokens) spares the buckets the count by document."""
+    vocab, parts = _heavy(counts, places, n_docs, group, min_df, max_df, max_features, one_row_docs, buckets)
     rows = parts[0]
     for part in parts[1:]:  # the first buckets and the rest: no term is in both
         rows = rows.unionByName(part)
@@ -193,11 +224,16 @@ def heavy_counts(
     return vocab, rows.join(broadcast_if_small(vocab.select(*terms), BROADCAST_BUCKETS), terms, "left_semi")
 
 
-def _heavy(counts, n_docs, group, min_df, max_df, max_features, one_row_docs, buckets) -> tuple[DataFrame, list[DataFrame]]:
+def _heavy(counts, places, n_docs, group, min_df, max_df, max_features, one_row_docs, buckets) -> tuple[DataFrame, list[DataFrame]]:
     """The vocabulary and the written (group..., doc, term, tf) of the buckets that were counted exactly."""
     group, spark, written = group or [], counts.sparkSession, []
-    keyed = counts.withColumn("_hash", F.pmod(F.xxhash64("term"), F.lit(buckets)))
-    sums = keyed.groupBy(*group, "_hash").agg(F.sum("tf").alias("_bound")).checkpoint()
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets))
+    keyed = counts.withColumn("_hash", bucket)
+    if places is None:
+        sums = keyed.groupBy(*group, "_hash").agg(F.sum("tf").alias("_bound"))
+    else:
+        sums = places.select(*group, bucket.alias("_hash")).groupBy(*group, "_hash").agg(F.count(F.lit(1)).alias("_bound"))
+    sums = sums.checkpoint()
     ranked = max(FIRST_BUCKETS, 4 * max_features)
     order = [F.desc("_bound"), F.asc("_hash")]
     if group:

@@ -42,8 +42,9 @@ def q_text_normalise(spark, sf_dir):
 def tfidf_weights(spark, sf_dir) -> DataFrame:
     d = docs(spark, sf_dir)
     words = d.select("doc_id", X.words(d, "text").alias("words"))
-    counts = X.row_terms(words, "doc_id", "words")
-    vocab, counts = X.heavy_counts(counts, X.doc_count(d), min_df=MIN_DF, max_df=MAX_DF, max_features=MAX_FEATURES)
+    tokens = X.written_tokens(words, "doc_id", "words")
+    vocab, counts = X.heavy_counts(X.counted_tokens(tokens), X.doc_count(tokens), min_df=MIN_DF, max_df=MAX_DF, max_features=MAX_FEATURES,
+                                   places=X.occurrences(tokens))
     return X.tfidf(counts, vocab)
 
 
@@ -55,9 +56,10 @@ def q_tfidf_terms(spark, sf_dir):
 def slice_scores(spark, sf_dir) -> DataFrame:
     d = docs(spark, sf_dir)
     words = d.select("lang", "doc_id", X.words(d, "text", strip_accents=False).alias("words"))
-    counts = X.row_terms(words, "doc_id", "words", group=["lang"], stop_words=list(stopwords.english()))
+    tokens = X.written_tokens(words, "doc_id", "words", group=["lang"], stop_words=list(stopwords.english()))
     n = X.doc_count(d, ["lang"])
-    vocab, counts = X.heavy_counts(counts, n, ["lang"], min_df=MIN_DF, max_features=SLICE_MAX_FEATURES)
+    vocab, counts = X.heavy_counts(X.counted_tokens(tokens, ["lang"]), n, ["lang"], min_df=MIN_DF, max_features=SLICE_MAX_FEATURES,
+                                   places=X.occurrences(tokens, ["lang"]))
     return X.mean_weights(X.tfidf(counts, vocab, ["lang"]), n, ["lang"])
 
 
@@ -86,9 +88,10 @@ def zone_scores(spark, sf_dir) -> DataFrame:
     term counts are summed per zone (so no bigram spans two descriptions)."""
     d = spread(read_table(spark, sf_dir, "documents", "doc_id", "text", "source")).withColumnRenamed("source", "zone")
     words = d.select("zone", "doc_id", T.word_text(F.col("text"), strip_urls=False).alias("words"))
-    counts = X.row_terms(words, "zone", "words", stop_words=stopwords.ZONE_STOP_WORDS)
+    tokens = X.written_tokens(words, "zone", "words", stop_words=stopwords.ZONE_STOP_WORDS)
     n_zones = d.agg(F.count_distinct("zone").alias("n_docs"))
-    vocab, zone_counts = X.heavy_counts(counts, n_zones, min_df=1, max_features=ZONE_MAX_FEATURES, one_row_docs=False)
+    vocab, zone_counts = X.heavy_counts(X.counted_tokens(tokens), n_zones, min_df=1, max_features=ZONE_MAX_FEATURES, one_row_docs=False,
+                                        places=X.occurrences(tokens))
     w = X.tfidf(zone_counts, vocab).withColumnRenamed("doc", "zone")
     return X.top_terms(w.withColumnRenamed("weight", "score"), ["zone"], ZONE_TOP)
 

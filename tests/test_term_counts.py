@@ -123,3 +123,19 @@ def test_words_are_those_of_the_normalised_text(spark):
 def test_stop_words_and_null_texts(spark, frame):
     kept = X.row_terms(frame, "doc_id", "norm", stop_words=["common"], max_n=1).filter("doc IN (0, 61, 62)")
     assert sorted((r["doc"], r["term"], r["tf"]) for r in kept.collect()) == [(0, "once0", 1), (0, "pair0", 1), (0, "w0", 1)]
+
+
+def test_places_give_the_same_counts_from_words_written_once(spark, frame, monkeypatch):
+    """Bucket sums need no count by document: an exchange of (bucket, count) and no sort; nothing reads the texts again."""
+    monkeypatch.setattr(X, "FIRST_BUCKETS", 2)
+    for group, stop in (([], None), (["grp"], ["common"])):
+        tokens = X.written_tokens(frame, "doc_id", "norm", group, stop)
+        places = X.occurrences(tokens, group)
+        assert "regexp" not in (plan := places._jdf.queryExecution().executedPlan().toString()) and "sort_array" not in plan
+        counts = X.row_terms(frame, "doc_id", "norm", group, stop)
+        of = [*group, "term"]
+        assert sorted(places.groupBy(*of).count().collect()) == sorted(counts.groupBy(*of).agg(F.sum("tf")).collect())
+        n = X.doc_count(frame, group)
+        old, kept = X.heavy_counts(counts, n, group, max_features=7, buckets=64)
+        new, mine = X.heavy_counts(X.counted_tokens(tokens, group), n, group, max_features=7, buckets=64, places=places)
+        assert sorted(new.collect()) == sorted(old.collect()) and sorted(mine.collect()) == sorted(kept.collect())
