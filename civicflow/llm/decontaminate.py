@@ -132,7 +132,10 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     contents = found.groupBy(*CONTENT).agg(F.first("k").alias("k"), F.first("sh").alias("sh"))
     content_rows = staged(contents.select(*CONTENT, "k", F.explode("sh").alias("h")), "decontaminate-contents")
-    content_fp = fingerprints(content_rows, [*CONTENT, "k"])
+    # Each step is written before the next: one plan of them all has some twenty shuffles at once, whose plans,
+    # task binaries and codegen the driver would hold together.
+    weights = staged(content_rows.groupBy(*CONTENT, "k", "h").agg(F.count("*").alias("a")), "decontaminate-weights")
+    content_fp = staged(fingerprints(content_rows, [*CONTENT, "k"]), "decontaminate-content-fingerprints")
     item_fp = staged(fingerprints(shingles, ["item", "k"]), "decontaminate-fingerprints")
     blocks = [f"struct({j} as block, shiftrightunsigned(fp, {16 * j}) & 65535L as value)" for j in range(BLOCKS)]
     masks = ", ".join(f"{m}L" for m in range(1 << 16) if m.bit_count() <= FLIPS)  # 697 values
@@ -142,20 +145,21 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # 697 rows an item and block: however small the items look, this is not broadcast. Nor are the joins by CONTENT:
     # a broadcast table with a key of two columns takes 64 MB of the driver at least.
     within = asked.join(stored.hint("merge"), ["block", "value", "k"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS}").select(*CONTENT, "item")
+    within = staged(within.distinct(), "decontaminate-within")
 
-    weights = content_rows.groupBy(*CONTENT, "k", "h").agg(F.count("*").alias("a"))
     item_weights = shingles.groupBy("item", "k", "h").agg(F.count("*").alias("b"))
     held = staged(item_weights.groupBy("h").agg(F.count("*").alias("f")), "decontaminate-held")
     first = staged(prefixes(item_weights.join(held, "h"), ["item"], "b"), "decontaminate-prefixes")
     own = weights.join(checked_broadcast(held, BROADCAST_ROWS), "h", "left").withColumn("f", F.coalesce("f", F.lit(0)))
     beyond = prefixes(own, CONTENT, "a").drop("k").join(checked_broadcast(first.drop("k"), BROADCAST_ROWS), "h").select(*CONTENT, "item")  # h is of k too
-    candidates = within.union(beyond).distinct()
+    candidates = staged(within.union(beyond).distinct(), "decontaminate-candidates")
 
+    totals = weights.groupBy(*CONTENT).agg(F.sum("a").alias("na"))
     weights, item_weights = weights.drop("k"), item_weights.drop("k")
-    totals = content_rows.groupBy(*CONTENT).agg(F.count("*").alias("na"))
     item_totals = items.select("item", F.size("sh").alias("nb"))
     shared = (candidates.join(weights.hint("merge"), CONTENT).join(item_weights, ["item", "h"])
               .groupBy(*CONTENT, "item").agg(F.sum(F.least("a", "b")).alias("both")))
+    shared = staged(shared, "decontaminate-shared")
     verified = (shared.join(totals.hint("merge"), CONTENT).join(item_totals, "item")
                 .selectExpr(*CONTENT, "item", "both / (na + nb - both) similarity").where(f"similarity >= {SIMILARITY}"))
     return found.join(verified.hint("merge"), CONTENT).selectExpr("__id", "__row", "cast(start as long) start", "n", "item", "similarity")

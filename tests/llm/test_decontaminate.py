@@ -125,3 +125,10 @@ def test_index_and_contents_are_not_broadcast(spark, tables):
     plan = got._jdf.queryExecution().executedPlan().toString()
     joins = [line for line in plan.splitlines() if "BroadcastHashJoin" in line]
     assert joins and not any("block#" in line or "c1#" in line.split("],")[0] for line in joins)
+
+
+def test_no_plan_holds_all_steps(spark, tables):
+    """The steps are written one after the other, so that the driver never plans and launches all their shuffles at once."""
+    docs, benchmark, *_ = tables
+    plan = op.drop_contaminated(docs, benchmark)._jdf.queryExecution().executedPlan().toString()
+    assert 0 < sum(line.lstrip(" :+-").startswith("Exchange ") for line in plan.splitlines()) <= 8
