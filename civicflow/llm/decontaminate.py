@@ -143,7 +143,7 @@ def contaminated_windows(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
               .selectExpr("item", "k", "item_fp", "b.block block", f"explode(transform(array({masks}), m -> b.value ^ m)) value"))
     asked = content_fp.selectExpr(*CONTENT, "k", "fp", f"explode(array({', '.join(blocks)})) b").selectExpr(*CONTENT, "k", "fp", "b.block block", "b.value value")
     # 697 rows an item and block: however small the items look, this is not broadcast. Nor are the joins by CONTENT:
-    # a broadcast table with a key of two columns takes 64 MB of the driver at least.
+    # a broadcast table with a key of two columns takes a memory page of the driver at least (up to 64 MB, by its heap).
     within = asked.join(stored.hint("merge"), ["block", "value", "k"]).where(f"bit_count(fp ^ item_fp) <= {RADIUS}").select(*CONTENT, "item")
     within = staged(within.distinct(), "decontaminate-within")
 
