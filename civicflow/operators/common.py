@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,6 +64,42 @@ def hash_rank(df: DataFrame, group: list[str], key: str, seed: int, h: Column |
     return out.withColumn("_rank", F.col("_offset") + F.col("_r")).drop("_h", "_bkt", "_r", "_offset")
 
 
+def rank_pieces(df: DataFrame, group: list[str], key: str, h: Column, piece: Callable[[Column, Column], Column]) -> DataFrame:
+    """``df`` with an int ``_piece``: ``piece(rank, size)`` of ``hash_rank`` by (``h``, key), a whole number that
+    never falls as the rank rises (few values a group).
+
+    Only groups and keys are ranked and shuffled. The last (h, key) of each piece, a few for a group, tell every
+    row its piece where it stands, so ``df`` may hold whole texts. Rows of one key that fall into two pieces
+    are the exception: they alone are numbered, in an order that depends on their content."""
+    rows = df.withColumn("_o", h)
+    at = F.struct(F.col("_o"), F.col(key).alias("_k"))
+    keys = rows.select(*(F.col(g) for g in group), F.col(key).alias("_k"), "_o")
+    ranked = hash_rank(keys, group, "_k", 0, F.col("_o")).withColumn("_piece", piece(F.col("_rank"), F.col("_n")).cast("int"))
+    ends = ranked.groupBy(*group, "_piece").agg(
+        F.min(F.struct("_o", "_k")).alias("_from"), F.max(F.struct("_o", "_k")).alias("_to")
+    ).checkpoint()  # a row for each piece of a group
+    edges = ends.groupBy(*group).agg(F.sort_array(F.collect_list(F.struct("_piece", "_to"))).alias("_ends")).checkpoint()
+    placed = rows.join(F.broadcast(edges), group)
+    placed = placed.withColumn("_piece", F.get(F.filter("_ends", lambda e: at <= e["_to"]), F.lit(0))["_piece"])
+    columns = [*df.columns, "_piece"]
+    again = [f"_g{i}" for i in range(len(group))]
+    later = ends.select(*group, F.col("_from").alias("_at"), F.col("_piece").alias("_later"))
+    shared = ends.withColumn("_at", F.col("_to")).join(later, [*group, "_at"]).filter("_piece < _later")
+    shared = shared.select(*(F.col(g).alias(a) for g, a in zip(group, again)), F.col("_at._o").alias("_o2"), F.col("_at._k").alias("_k2")).distinct().checkpoint()
+    if shared.isEmpty():
+        return placed.select(*columns)
+
+    def same(k: str) -> Column:
+        return reduce(and_, (F.col(g) == F.col(a) for g, a in zip(group, again)), (F.col("_o") == F.col("_o2")) & F.col(k).eqNullSafe(F.col("_k2")))
+
+    shared = ranked.join(F.broadcast(shared), same("_k")).groupBy(*again, "_o2", "_k2").agg((F.min("_rank") - 1).alias("_before"), F.max("_n").alias("_n"))
+    told = placed.join(F.broadcast(shared.checkpoint()), same(key), "left")
+    w = Window.partitionBy(*group, "_o", key).orderBy(F.xxhash64(*(F.col(c) for c in df.columns)))
+    tied = told.filter("_before IS NOT NULL").withColumn("_r", F.col("_before") + F.row_number().over(w))
+    tied = tied.withColumn("_piece", piece(F.col("_r"), F.col("_n")).cast("int"))
+    return told.filter("_before IS NULL").select(*columns).unionByName(tied.select(*columns))
+
+
 def ntile_of_rank(rank, n, k: int):
     """Bucket 1..k of a 1-based rank among n rows, with the same sizes as SQL ntile(k)."""
     q = F.floor(n / k)

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civicflow.functions.draws import SPAN, draw
-from civicflow.operators.common import hash_rank, ntile_of_rank
+from civicflow.operators.common import ntile_of_rank, rank_pieces
 
 SUMMARY_ROWS = ("accuracy", "macro avg", "weighted avg")
 
@@ -101,17 +101,16 @@ def _signed_draw(seed: int, key: str) -> Column:
 
 def stratified_split(df: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
     """Per class the round(share * n) rows first in the order of a seeded draw are 'test'.
-    Exact per class and deterministic; ranks come from ``hash_rank``, so a class
-    holding a third of all rows is still spread over many tasks."""
-    ranked = hash_rank(df, [label], key, seed, _signed_draw(seed, key))
-    test = F.col("_rank") <= F.round(F.col("_n") * test_share)
-    return ranked.withColumn("split", F.when(test, "test").otherwise("train")).drop("_rank", "_n")
+    Exact per class and deterministic; only keys are ranked (``rank_pieces``), so a class
+    holding a third of all rows is still spread over many tasks and no text is shuffled."""
+    cut = rank_pieces(df, [label], key, _signed_draw(seed, key), lambda rank, n: F.when(rank <= F.round(n * test_share), 0).otherwise(1))
+    return cut.withColumn("split", F.when(F.col("_piece") == 0, "test").otherwise("train")).drop("_piece")
 
 
 def assign_folds(train: DataFrame, label: str, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     """Stratified k-fold ids (1..k): ntile of the rank by a seeded draw inside each class."""
-    ranked = hash_rank(train, [label], key, seed + 1, _signed_draw(seed + 1, key))
-    return ranked.withColumn("fold", ntile_of_rank(F.col("_rank"), F.col("_n"), k)).drop("_rank", "_n")
+    cut = rank_pieces(train, [label], key, _signed_draw(seed + 1, key), lambda rank, n: ntile_of_rank(rank, n, k))
+    return cut.withColumnRenamed("_piece", "fold")
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:

@@ -23,6 +23,7 @@ import uuid
 from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from civicflow.functions import text as T
 from civicflow.operators.common import broadcast_if_small, top_k_per_group
@@ -61,9 +62,11 @@ def document_tokens(
     group: list[str] | None = None,
     stop_words: list[str] | None = None,
 ) -> DataFrame:
-    """(group..., doc, _tok): the array of a document's words that are not stop words, in order."""
+    """(group..., doc, _tok): the array of a document's words that are not stop words, in order.
+    ``norm_col`` holds normalised text, or its words already (``written_words``)."""
     group = group or []
-    toks = docs.select(*group, F.col(id_col).alias("doc"), T.tokens(F.col(norm_col)).alias("_tok"))
+    cut = F.col(norm_col) if isinstance(docs.schema[norm_col].dataType, ArrayType) else T.tokens(F.col(norm_col))
+    toks = docs.select(*group, F.col(id_col).alias("doc"), cut.alias("_tok"))
     if stop_words:
         # Stop words go before pairing (as the reference vectoriser does); the JVM
         # remover does a hash-set lookup per token.
@@ -89,6 +92,14 @@ def written_tokens(
     return docs.sparkSession.read.schema(toks.schema).parquet(path)
 
 
+def written_words(docs: DataFrame, norm_col: str) -> DataFrame:
+    """``docs`` with the words of ``norm_col`` in its place, written under the shared checkpoint folder and read back."""
+    rows = docs.withColumn(norm_col, T.tokens(F.col(norm_col)))
+    path = scratch_path(docs.sparkSession, f"words-{uuid.uuid4().hex}")
+    rows.write.option("compression", "zstd").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def occurrences(tokens: DataFrame, group: list[str] | None = None) -> DataFrame:
     """(group..., term): a row for each place of a term (1-2 words) in ``document_tokens``, for sums
     that need no count by document. Each word meets the next one in the row: no sort, no lambda."""
@@ -184,6 +195,7 @@ def heavy_vocabulary(
     max_features: int = 10000,
     one_row_docs: bool = True,
     buckets: int = TERM_BUCKETS,
+    places: DataFrame | None = None,
 ) -> DataFrame:
     """``vocabulary`` with the ``max_features`` cut, the same rows, without counting every term.
 
@@ -197,9 +209,10 @@ def heavy_vocabulary(
        is exact, ties included.
 
     ``counts`` is computed once a pass (from the scan, with no checkpoint); the buckets and the cut
-    vocabularies, both bounded, are checkpointed. The result is too. The counts of step 2 (and 3) are
-    written as Parquet: of the vocabulary's buckets only, some bytes a row."""
-    return _heavy(counts, None, n_docs, group, min_df, max_df, max_features, one_row_docs, buckets)[0]
+    vocabularies, both bounded, are checkpointed. The result is too. No count by document is written
+    (``heavy_counts`` writes those of steps 2 and 3 as Parquet, for its second result). ``places``
+    (``occurrences`` of the same tokens) spares the buckets the count by document."""
+    return _heavy(counts, places, n_docs, group, min_df, max_df, max_features, one_row_docs, buckets, keep=False)[0]
 
 
 def heavy_counts(
@@ -224,8 +237,8 @@ def heavy_counts(
     return vocab, rows.join(broadcast_if_small(vocab.select(*terms), BROADCAST_BUCKETS), terms, "left_semi")
 
 
-def _heavy(counts, places, n_docs, group, min_df, max_df, max_features, one_row_docs, buckets) -> tuple[DataFrame, list[DataFrame]]:
-    """The vocabulary and the written (group..., doc, term, tf) of the buckets that were counted exactly."""
+def _heavy(counts, places, n_docs, group, min_df, max_df, max_features, one_row_docs, buckets, keep=True) -> tuple[DataFrame, list[DataFrame]]:
+    """The vocabulary and, to ``keep``, the written (group..., doc, term, tf) of the buckets that were counted exactly."""
     group, spark, written = group or [], counts.sparkSession, []
     bucket = F.pmod(F.xxhash64("term"), F.lit(buckets))
     keyed = counts.withColumn("_hash", bucket)
@@ -247,6 +260,8 @@ def _heavy(counts, places, n_docs, group, min_df, max_df, max_features, one_row_
         rows = keyed.join(broadcast_if_small(which, BROADCAST_BUCKETS), on, "left_semi")
         if not one_row_docs:
             rows = rows.groupBy(*group, "doc", "term").agg(F.sum("tf").alias("tf"))
+        if not keep:
+            return vocabulary(rows, n_docs, group, min_df, max_df, max_features)
         path = scratch_path(spark, f"counts-{uuid.uuid4().hex}")  # terms are dictionary-encoded, a document's rows stand together
         rows.select(*group, "doc", "term", "tf").write.parquet(path)
         rows = spark.read.schema(rows.select(*group, "doc", "term", "tf").schema).parquet(path)
@@ -275,6 +290,48 @@ def _heavy(counts, places, n_docs, group, min_df, max_df, max_features, one_row_
     return cut.checkpoint(), written
 
 
+def left_out_vocabularies(
+    tokens: DataFrame,
+    part: str,
+    min_df: int = 2,
+    max_df: float = 1.0,
+    max_features: int = 10000,
+    buckets: int = TERM_BUCKETS,
+) -> DataFrame:
+    """(part, term, df, total, n_docs): for each part of the rows (few, each a number) the ``vocabulary`` of the rows
+    of all others; the documents are rows of their own. ``tokens`` holds (part, doc, _tok).
+
+    As ``heavy_vocabulary``, once for all: a bucket's sum over every part bounds its terms in any of them, so
+    the least floor decides which buckets are counted, and a term's counts by part give those without one."""
+    bucket = F.pmod(F.xxhash64("term"), F.lit(buckets)).alias("_hash")
+    sizes = {r[0]: r[1] for r in tokens.groupBy(part).count().collect()}  # the parts are few
+    sums = occurrences(tokens).select(bucket).groupBy("_hash").agg(F.count(F.lit(1)).alias("_bound")).checkpoint()
+    chosen = sums.orderBy(F.desc("_bound"), F.asc("_hash")).limit(max(FIRST_BUCKETS, 4 * max_features)).select("_hash").checkpoint()
+    keyed = counted_tokens(tokens, [part]).withColumn("_hash", bucket)
+    order = [F.desc("total"), F.asc("term")]
+
+    def exact(which: DataFrame) -> DataFrame:
+        rows = keyed.join(broadcast_if_small(which, BROADCAST_BUCKETS), "_hash", "left_semi")
+        sums_of = [f(F.when(F.col(part) == p, x)).alias(f"_{n}{i}") for i, p in enumerate(sizes)
+                   for f, n, x in ((F.count, "d", F.lit(1)), (F.sum, "t", F.col("tf")))]
+        terms = rows.groupBy("term").agg(F.count(F.lit(1)).alias("_d"), F.sum("tf").alias("_t"), *sums_of)
+        without = [F.struct(F.lit(p).alias(part), (F.col("_d") - F.col(f"_d{i}")).alias("df"), (F.col("_t") - F.coalesce(f"_t{i}", F.lit(0))).alias("total"),
+                            F.lit(sum(sizes.values()) - n).alias("n_docs")) for i, (p, n) in enumerate(sizes.items())]
+        kept = terms.select("term", F.inline(F.array(*without))).filter((F.col("df") >= min_df) & (F.col("df") <= float(max_df) * F.col("n_docs")))
+        return top_k_per_group(kept, [part], order, max_features, ["term"]).drop("rank")
+
+    if not sizes:
+        return tokens.select(part, F.lit("").alias("term"), *(F.lit(0).cast("long").alias(c) for c in ("df", "total", "n_docs")))
+    found = exact(chosen).checkpoint()
+    full = F.count(F.lit(1)) >= max_features
+    floors = {r[0]: r[1] for r in found.groupBy(part).agg(F.when(full, F.min("total"))).collect()}
+    rest = sums.join(F.broadcast(chosen), "_hash", "left_anti").filter(F.col("_bound") >= min((floors.get(p) or 0) for p in sizes))
+    rest = rest.select("_hash").checkpoint()
+    if not rest.isEmpty():
+        found = top_k_per_group(found.unionByName(exact(rest)), [part], order, max_features, ["term"]).drop("rank").checkpoint()
+    return found.select(part, "term", "df", "total", "n_docs")
+
+
 def counts_of(counts: DataFrame, vocab: DataFrame, group: list[str] | None = None) -> DataFrame:
     """(group..., doc, term, tf) of the vocabulary's terms, the rows of a ``doc`` added up."""
     group = group or []
@@ -339,6 +396,6 @@ def usable_with_support(docs: DataFrame, text_col: str, label: str, min_size: in
     usable = docs.filter(usable_text(F.col(text_col)) & F.col(label).isNotNull())
     counts = usable.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
     viable = counts.filter(F.col("n") >= min_size)
-    kept = usable.join(viable.select(label), label, "left_semi")
+    kept = usable.join(F.broadcast(viable.select(label)), label, "left_semi")  # the class list: no text is shuffled for it
     excluded = counts.join(viable.select(label), label, "left_anti")
     return kept, excluded

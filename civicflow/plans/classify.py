@@ -27,11 +27,11 @@ _MODELS: dict = {}
 def _split(spark, sf_dir):
     kept, _ = X.usable_with_support(docs(spark, sf_dir), "text", LABEL, MIN_CLASS_SIZE)
     split = EV.stratified_split(CL.prepare(kept, "text"), LABEL, "doc_id")
-    return split.checkpoint()
+    return X.written_words(split.select("doc_id", LABEL, "split", "norm"), "norm")  # cut into words once for all that reads it
 
 
 def trained(spark, sf_dir):
-    """Fit once per session and state of the table; inputs and model tables are checkpointed."""
+    """Fit once per session and state of the table; the split's words are written and the model tables are checkpointed."""
     key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", ""), state(spark, sf_dir, "documents"))
     if key not in _MODELS:
         split = _split(spark, sf_dir)

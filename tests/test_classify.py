@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import functions as F
 
 from civicflow.operators import classify as CL
 from civicflow.operators import text as X
@@ -101,3 +102,60 @@ def test_state_follows_the_files(spark, tmp_path):
     assert before == state(spark, folder, "documents")
     spark.range(7).write.mode("overwrite").parquet(f"{folder}/documents.parquet")
     assert before != state(spark, folder, "documents")
+
+
+def written(spark):
+    base = pathlib.Path(spark.sparkContext.getCheckpointDir().removeprefix("file:")).parent
+    return sum(f.stat().st_size for f in base.rglob("*") if f.is_file())
+
+
+def test_a_fit_and_its_scores_write_less_than_the_texts_twice(spark):
+    """Most terms of a corpus are rare: no row for each (document, term) is kept on disk."""
+    rng = random.Random(3)
+    rows = [(k, "ab"[k % 2], " ".join([("road", "tree")[k % 2]] * 3 + [f"w{rng.randrange(10**7)}" for _ in range(12000)])) for k in range(120)]
+    docs = CL.prepare(spark.createDataFrame(rows, "doc_id long, label string, text string"), "text")
+    before = written(spark)
+    model = CL.fit(docs, "doc_id", "label")
+    assert CL.predict(model, docs, "doc_id").where("predicted IS NOT NULL").count() == 120
+    assert written(spark) - before < 2 * sum(len(text) for *_, text in rows)
+
+
+def test_models_without_a_fold_equal_fits_of_their_own(spark, corpus, monkeypatch):
+    monkeypatch.setattr(CL, "MAX_FEATURES", 23)  # the cut differs from fold to fold
+    train = corpus[0].withColumn("fold", F.col("doc_id") % 3 + 1)
+    vectors = CL.left_out_vectors(train, "doc_id", "label", "fold")
+    assert sorted(vectors) == [1, 2, 3]
+    for k in vectors:
+        part, held = train.filter(F.col("fold") != k), train.filter(F.col("fold") == k)
+        own, shared = CL.fit(part, "doc_id", "label"), CL.fit(part, "doc_id", "label", vectors[k])
+        assert {r["term"]: r["idf"] for r in own.vocab.collect()} == {r["term"]: r["idf"] for r in shared.vocab.collect()}
+        a, b = ({r["doc_id"]: r["probs"] for r in CL.predict(m, held, "doc_id").collect()} for m in (own, shared))
+        assert len(a) == held.count() and a.keys() == b.keys()
+        for d in a:
+            np.testing.assert_allclose(a[d], b[d], rtol=0, atol=1e-6)
+
+
+def test_vectors_counted_in_the_row_equal_those_added_up_by_document(spark, corpus, monkeypatch):
+    docs = others(spark, corpus[0])
+
+    def found():
+        rows = CL.scaled(CL.training_vectors(docs, "doc_id", "label")).collect()
+        return sorted((r["label"], r["features"].indices.tolist(), np.round(r["features"].values, 9).tolist()) for r in rows)
+
+    single = found()
+    monkeypatch.setattr(CL, "one_row_ids", lambda *_: False)
+    assert single == found() and len(single) == 244
+
+
+def test_rows_of_one_document_are_added_up(spark):
+    rows = [(1, "a", "leak pipe"), (1, "b", "leak leak"), (2, "a", "pipe drain"), (3, "b", "drain leak"), (None, "a", "leak drain")]
+    docs = CL.prepare(spark.createDataFrame(rows, "doc_id long, label string, text string"), "text")
+    assert CL.left_out_vectors(docs.withColumn("fold", F.lit(1)), "doc_id", "label", "fold") is None
+    vectors = CL.training_vectors(docs, "doc_id", "label")
+    idf = {r["term"]: r["idf"] for r in vectors.vocab.collect()}
+    assert idf == pytest.approx({t: np.log(6 / (1 + df)) + 1 for t, df in {"leak": 3, "pipe": 2, "drain": 3}.items()})
+    weight = {"leak": (1 + np.log(3)) * idf["leak"], "pipe": idf["pipe"]}  # document 1: three leaks, a pipe, no pair of two rows
+    at = {r["term"]: r["idx"] for r in vectors.vocab.collect()}
+    norm = np.sqrt(sum(w * w for w in weight.values()))
+    same = [r["label"] for r in vectors.rows.collect() if dict(zip(r["features"].indices.tolist(), r["features"].values)) == pytest.approx({at[t]: w / norm for t, w in weight.items()})]
+    assert sorted(same) == ["a", "a", "b", "b"] and vectors.rows.count() == 6

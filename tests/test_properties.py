@@ -123,3 +123,19 @@ def test_scoring_covers_every_turn(spark):
     for query in (PC.q_live_scoring, PS.q_stream_scoring):
         got = query(spark, SF_SMALL).select("msg_id").distinct()
         assert turns.exceptAll(got).count() == 0 and got.exceptAll(turns).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 1, 40])
+def test_pieces_of_ranks_leave_the_texts_where_they_are(spark, hot):
+    """Same pieces as by ranking whole rows, keys that repeat or are null included; no wide row crosses an exchange."""
+    rows = [(f"g{k % 3}", k, f"text {k}") for k in range(200)] + [("g1", 7, f"again {k}") for k in range(hot)] + [("g2", None, f"null {k}") for k in range(hot)]
+    df = spark.createDataFrame(rows, "g string, k long, text string")
+    h = F.xxhash64(F.coalesce("k", F.lit(-1)))
+    got = common.rank_pieces(df, ["g"], "k", h, lambda rank, n: common.ntile_of_rank(rank, n, 5))
+    w = Window.partitionBy("g").orderBy(h, "k")
+    ref = df.withColumn("_piece", F.ntile(5).over(w))
+    count = lambda d: sorted((tuple(r) for r in d.groupBy("g", "k", "_piece").count().collect()), key=repr)
+    assert count(got) == count(ref)
+    assert sorted(r["text"] for r in got.collect()) == sorted(text for *_, text in rows)
+    if hot < 40:
+        assert " Exchange" not in got._jdf.queryExecution().executedPlan().toString()
